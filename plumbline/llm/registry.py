@@ -1,10 +1,12 @@
 """The queries of this subpackage, and their SQL."""
 
-from plumbline.llm import exact_dedup, simhash
+from plumbline.llm import exact_dedup, mixing, packing, simhash
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op6_simhash": simhash.op6_simhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
