@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import packed, power_of_two
+from plumbline.llm.common import Scratch, packed, power_of_two
 
 #: One run of these becomes one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -45,37 +45,47 @@ def _bit(half: int, bits: int) -> Column:
     return F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False))
 
 
-def marked(rows: DataFrame, n: int, filter_bits: int = 1 << 28) -> DataFrame:
-    """rows (with _sha) plus _maybe: whether the text may occur twice. n: about how many rows there are."""
-    bits = min(filter_bits, max(CELLS, power_of_two(16 * n)))
+def _bits(n: int, filter_bits: int) -> int:
+    return min(filter_bits, max(CELLS, power_of_two(16 * n)))
+
+
+def marked(rows: DataFrame, maps: list[DataFrame], bits: int) -> DataFrame:
+    """rows (with _sha) plus _maybe: whether the text may occur twice. maps: the two tables, of bits cells each."""
     out = rows
     for half in (0, 1):
-        out = out.withColumn(f"_bucket{half}", F.floor(_cell(half, bits) / CELLS)).join(F.broadcast(_repeated_cells(rows, half, bits)), f"_bucket{half}", "left")
+        out = out.withColumn(f"_bucket{half}", F.floor(_cell(half, bits) / CELLS)).join(F.broadcast(maps[half]), f"_bucket{half}", "left")
     return out.withColumn("_maybe", _bit(0, bits) & _bit(1, bits)).drop("_bucket0", "_bucket1", "_map0", "_map1")
 
 
-def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", filter_bits: int = 1 << 28) -> DataFrame:
-    """One row for each row of df: key, keep_id, group_size, kept, text_sha256, and _row with all columns of df."""
-    rows = packed(df).select(F.col(f"_row.{key}").alias("_id"), digest(F.col(f"_row.{text}")).alias("_sha"), "_row")
-    known = marked(rows, df.count(), filter_bits)
-    alone = known.filter(~F.col("_maybe")).select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha", "_row")
-    several = known.filter("_maybe").drop("_maybe")
-    groups = several.groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # The join is a sort-merge join, whose hot keys adaptive execution splits.
-    several = several.hint("merge").join(groups.hint("merge"), "_sha").select("_id", "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "_sha", "_row")
-    return alone.unionByName(several).select(F.col("_id").alias(key), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"), "_row")
+def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", filter_bits: int = 1 << 28, carry: bool = False) -> DataFrame:
+    """One row for each row of df: key, keep_id, group_size, kept, text_sha256; with carry also _row, all of df.
+
+    Digests are taken once and kept in the shared folder; texts are read again only if the rows are to be carried.
+    """
+    scratch = Scratch(df.sparkSession)
+    rows = packed(df).select(F.col(f"_row.{key}").alias("_id"), digest(F.col(f"_row.{text}")).alias("_sha"), *["_row"] * carry)
+    digests = scratch.save(rows.select("_id", "_sha"))
+    n = digests.count()
+    maps = [scratch.save(_repeated_cells(digests, half, _bits(n, filter_bits))) for half in (0, 1)]
+    groups = scratch.save(marked(digests, maps, _bits(n, filter_bits)).filter("_maybe").groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    known = marked(rows if carry else digests, maps, _bits(n, filter_bits))
+    more = ["_row"] * carry
+    alone = known.filter(~F.col("_maybe")).select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha", *more)
+    # Both sides of this sort-merge join are plain exchanges, so adaptive execution can split a hot key.
+    several = known.filter("_maybe").drop("_maybe").hint("merge").join(groups.hint("merge"), "_sha")
+    several = several.select("_id", "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "_sha", *more)
+    return alone.unionByName(several).select(F.col("_id").alias(key), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"), *more)
 
 
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of df that stay, one for each text, with df's own columns."""
-    kept = exact_dedup(df, text, key).filter("kept")
+    kept = exact_dedup(df, text, key, carry=True).filter("kept")
     alone, several = kept.filter("group_size = 1"), kept.filter("group_size > 1").dropDuplicates(["text_sha256"])
     return alone.unionByName(several).select("_row.*")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 ORACLE_SQL = r"""
