@@ -55,8 +55,6 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
-def unpacked(df: DataFrame) -> DataFrame:
-    return df.select("_row.*")
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int = 2) -> Column:
