@@ -99,7 +99,7 @@ def plan(blocks: dict[tuple[int, int], int], n_sources: int, per_source: int, sh
     return goal, sizes, [(s, b, at, need) for (s, b), (at, need) in rows.items()]
 
 
-def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 20, max_blocks: int = 1 << 20, max_sources: int = 10_000, words_per_shard: int = 50_000_000, carry: bool = False) -> DataFrame:
+def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 20, max_blocks: int = 1 << 20, max_sources: int = 10_000, words_per_shard: int = 500_000, carry: bool = False) -> DataFrame:
     """One row for each row of df: key, size, source_size, target, taken, shards (of each copy), place; with carry
     also _row, all of df. A row's copies follow each other through the shards; place orders a shard's rows."""
     spark = df.sparkSession
@@ -120,7 +120,8 @@ def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "s
         return df.join(index, F.col("_source").eqNullSafe(F.col("_name"))).drop("_source", "_name").withColumn("_block", block)
 
     blocks = {(r["_s"], r["_block"]): r["n"] for r in placed(slim).groupBy("_s", "_block").agg(F.sum("_size").alias("n")).collect()}  # max_blocks rows
-    shards = min(4096, power_of_two(sum(blocks.values()) // words_per_shard + 1))
+    # The tree's leaves are a table of shards by colours on the driver: 4 million numbers at most.
+    shards = min(power_of_two((1 << 21) // (4 * len(names) + 4) + 1), power_of_two(sum(blocks.values()) // words_per_shard + 1))
     goal, sizes, plans = plan(blocks, len(names), per_source, shards, seed)
     planned = F.broadcast(spark.createDataFrame(plans, "_s int, _block int, _shards array<int>, _need long"))  # max_blocks rows
     aims = F.broadcast(spark.createDataFrame([(i, goal[i], sizes[i]) for i in range(len(names))], "_s int, target double, source_size long"))
