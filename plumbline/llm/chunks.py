@@ -51,6 +51,41 @@ def gather(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int,
         yield first + count, keys, texts
 
 
+def parts_for(total: int, least: int = 12, part_bytes: int = 24 << 20) -> int:
+    """Hash partitions, a power of two, for so many bytes of text.
+
+    A part holds the questions about part_bytes of text, up to 512 MB of it as the input grows with the square root,
+    so that neither a part's memory nor the number of rows (chunks times parts) runs away.
+    """
+    each = min(512 << 20, part_bytes * max(1.0, (total / (1 << 30)) ** 0.5))
+    return 1 << max(int(least) - 1, int(total / each)).bit_length()
+
+
+def ipc(**columns: pa.Array) -> bytes:
+    """Columns as packed bytes."""
+    sink = pa.BufferOutputStream()
+    table = pa.table(columns)
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return pack(sink.getvalue().to_pybytes())
+
+
+def unipc(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(unpack(data)).read_all()
+
+
+def arrow_type(kind: str) -> pa.DataType:
+    """The Arrow type of an id column."""
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def repeated_bits(asked: list[np.ndarray]) -> list[np.ndarray]:
+    """For each array of keys, each distinct in it: which of them also come in another."""
+    keys, counts = np.unique(np.concatenate(asked), return_counts=True)
+    again = keys[counts > 1]
+    return [np.isin(a, again, kind="sort") for a in asked]
+
+
 def tables(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Record batches of few rows each, as the rows are large."""
     for at in range(0, len(rows), 64):

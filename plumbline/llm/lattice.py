@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import gather, in_groups, in_pairs, pack, tables, text_bytes, unpack
-from plumbline.llm.common import Scratch, held_out, partitions
+from plumbline.llm.chunks import arrow_type, gather, in_groups, in_pairs, ipc, pack, parts_for, tables, text_bytes, unipc, unpack
+from plumbline.llm.common import Scratch, held_out
 
 #: Words longer than this, in bytes, are scored one by one.
 LONG = 48
@@ -221,7 +221,7 @@ def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: st
     scratch = Scratch(spark)
     source = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
-    parts = partitions(spark, text_bytes(source, "_text"), part_bytes)
+    parts = parts_for(text_bytes(source, "_text"), int(spark.conf.get("spark.sql.shuffle.partitions")), part_bytes)
     held = source.select("_id", "_text", held_out(F.col("_id"), 7).alias("_held"))
     names = "chunk long, part int, words binary, counts binary, docs long, state binary"
     arrow = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("docs", pa.int64()), ("state", pa.binary())])
@@ -259,8 +259,8 @@ def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: st
                 deltas.append(np.diff(place[ids][at], prepend=0).astype(np.int32))
                 times.append(n[at].astype(np.int32))
             blob = pack(np.concatenate([np.array(sizes, np.int32), *deltas, *times])) if sizes else b""
-            ids = pa.array([k["id"] for k in keys], batches_type(kind))
-            rows.append({"chunk": chunk, "part": -1, "words": pack(ipc(ids)), "counts": pack(np.array([k["held"] for k in keys], np.uint8)), "docs": docs, "state": blob})
+            ids = pa.array([k["id"] for k in keys], arrow_type(kind))
+            rows.append({"chunk": chunk, "part": -1, "words": ipc(a=ids), "counts": pack(np.array([k["held"] for k in keys], np.uint8)), "docs": docs, "state": blob})
             yield from tables(rows, arrow)
 
     asked = scratch.save(held.mapInArrow(ask, names))
@@ -321,7 +321,7 @@ def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: st
     def finish(state: list[dict], answers: list[dict]) -> list[dict]:
         out = []
         for s in state:
-            ids, held = unipc(unpack(s["words"])), unpack(s["counts"], "u1")
+            ids, held = unipc(s["words"]).column(0).to_pylist(), unpack(s["counts"], "u1")
             blob, n = unpack(s["state"], "i4"), len(held)
             sizes = blob[:n].astype(np.int64)
             total = int(sizes.sum())
@@ -344,26 +344,10 @@ def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: st
         return out
 
     fields = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
-    result = pa.schema([("_id", batches_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())])
+    result = pa.schema([("_id", arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())])
     return in_pairs(states, replies, "chunk", finish, fields, result).withColumnRenamed("_id", key)
 
 
-def batches_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
-def ipc(a: pa.Array) -> bytes:
-    """An array as bytes."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("a", a.type)])) as w:
-        w.write_batch(pa.RecordBatch.from_arrays([a], ["a"]))
-    return sink.getvalue().to_pybytes()
-
-
-def unipc(data: bytes) -> list:
-    return pa.ipc.open_stream(data).read_all().column(0).to_pylist()
-
-
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

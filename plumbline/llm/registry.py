@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL."""
 
-from plumbline.llm import chat, exact_dedup, language_id, lattice, mixing, packing, simhash, vector_search
+from plumbline.llm import chat, exact_dedup, language_id, lattice, mixing, packing, recompression, simhash, vector_search
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_vector_search": vector_search.op5_vector_search,
     "op6_simhash": simhash.op6_simhash,
+    "op7_substring_dedup": recompression.op7_substring_dedup,
     "op8_lm_scoring": lattice.op8_lm_scoring,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
