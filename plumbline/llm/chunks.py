@@ -26,6 +26,16 @@ def unpack(data: bytes, kind: str | None = None):
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """Numbers packed with their bytes regrouped by place, which pays where high bytes are alike."""
+    return pack(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
+
+def expand(data: bytes, kind: str) -> np.ndarray:
+    flat, size = unpack(data, "u1"), np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).view(kind).reshape(-1)
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """Bytes of all texts."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -81,9 +91,8 @@ def arrow_type(kind: str) -> pa.DataType:
 
 def repeated_bits(asked: list[np.ndarray]) -> list[np.ndarray]:
     """For each array of keys, each distinct in it: which of them also come in another."""
-    keys, counts = np.unique(np.concatenate(asked), return_counts=True)
-    again = keys[counts > 1]
-    return [np.isin(a, again, kind="sort") for a in asked]
+    _, where, counts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+    return np.split((counts > 1)[where], np.cumsum([len(a) for a in asked])[:-1])
 
 
 def tables(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -29,9 +29,10 @@ class Scratch:
         self.spark = spark
         self.at: dict[int, str] = {}
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Writes df and reads it back; by: a column whose values get folders of their own, for drop_part()."""
         path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
         self._fs(path).deleteOnExit(self._path(path))
         out = self.spark.read.schema(df.schema).parquet(path)
         self.at[id(out)] = path
@@ -43,6 +44,11 @@ class Scratch:
             if path := self.at.pop(id(t), None):
                 self._fs(path).delete(self._path(path), True)
 
+    def drop_part(self, table: DataFrame, by: str, value: object) -> None:
+        """Removes the rows of one value of the column that a table was saved by."""
+        path = f"{self.at[id(table)]}/{by}={value}"
+        self._fs(path).delete(self._path(path), True)
+
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -55,8 +61,6 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
-
-
 def held_out(doc_id: Column, modulus: int, remainder: int = 2) -> Column:
     """crc32 of the id as text leaves this remainder; a null id counts as empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus) == remainder

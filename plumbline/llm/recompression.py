@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import arrow_type, gather, in_groups, in_pairs, ipc, pack, parts_for, repeated_bits, tables, text_bytes, unipc, unpack
+from plumbline.llm.chunks import arrow_type, expand, gather, in_groups, in_pairs, ipc, pack, parts_for, repeated_bits, squeeze, tables, text_bytes, unipc, unpack
 from plumbline.llm.common import Scratch
 
 WINDOW = 20
@@ -154,12 +154,12 @@ def key_rows(chunk: int, keys: np.ndarray, parts: int) -> list[dict]:
     home = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     low = ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     cuts = np.searchsorted(home, np.arange(parts + 1))
-    return [{"kind": ASK, "chunk": chunk, "part": p, "data": pack(np.diff(low[a:b], prepend=np.uint32(0)))} for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+    return [{"kind": ASK, "chunk": chunk, "part": p, "data": squeeze(np.diff(low[a:b], prepend=np.uint32(0)))} for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
 
 
 def answer_keys(rows: list[dict]) -> list[dict]:
     """Which keys of each row another row asks about too, a byte each."""
-    asked = [np.cumsum(unpack(r["data"], "u4"), dtype=np.uint32) for r in rows]
+    asked = [np.cumsum(expand(r["data"], "u4"), dtype=np.uint32) for r in rows]
     return [{"chunk": r["chunk"], "part": r["part"], "data": pack(np.packbits(bits)), "n": len(bits)} for r, bits in zip(rows, repeated_bits(asked), strict=True)]
 
 
@@ -174,15 +174,15 @@ def answered(rows: list[dict]) -> np.ndarray:
 
 
 def later_bits(rows: list[dict]) -> list[dict]:
-    """Of the windows that rows ask about (columns h1, h2, id, start): those whose name a lesser (id, start) has."""
+    """Of the windows that rows ask about (h1 as differences, h2, id, start): those whose name a lesser (id, start) has."""
     rows = sorted(rows, key=lambda r: r["chunk"])
-    columns = [unipc(r["data"]) for r in rows]
-    h1, h2, ids, start = (np.concatenate([c.column(k).to_numpy() for c in columns]) for k in ("h1", "h2", "id", "start"))
+    columns = [[expand(blob, kind) for blob, kind in zip(unipc(r["data"]).column(0).to_pylist(), ("u8", "u4", "i8", "u4"), strict=True)] for r in rows]
+    h1, h2, ids, start = (np.concatenate(c) for c in zip(*[(np.cumsum(c[0], dtype=np.uint64), *c[1:]) for c in columns], strict=True))
     order = np.lexsort((start, ids, h2, h1))
     a, b = h1[order], h2[order]
     later = np.zeros(len(order), bool)
     later[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    cuts = np.cumsum([0, *(len(c) for c in columns)])
+    cuts = np.cumsum([0, *(len(c[0]) for c in columns)])
     return [{"chunk": r["chunk"], "part": r["part"], "data": pack(np.packbits(later[i:j])), "n": int(j - i)} for r, i, j in zip(rows, cuts[:-1], cuts[1:], strict=True)]
 
 
@@ -191,7 +191,7 @@ def ranks(ids: list) -> np.ndarray:
     return np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
 
 
-def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = 8 << 20) -> DataFrame:
+def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = 4 << 20) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) for each row. The key must be an integer."""
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -207,8 +207,10 @@ def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chun
             state = ipc(id=pa.array(ids, kind), text=pa.array(texts, pa.large_binary()))
             yield from tables([{"kind": STATE, "chunk": chunk, "part": -1, "data": state}, *key_rows(chunk, parsed.keys, parts)], KEY_ARROW)
 
-    first = scratch.save(source.mapInArrow(ask, KEY_FIELDS))
+    first = scratch.save(source.mapInArrow(ask, KEY_FIELDS), by="kind")
     bits_1 = in_groups(first.filter(F.col("kind") == ASK).select("chunk", "part", "data"), "part", answer_keys, ANSWER_FIELDS, ANSWER_ARROW)
+    bits_1 = scratch.save(bits_1)
+    scratch.drop_part(first, "kind", ASK)
 
     def verify(states: list[dict], answers: list[dict]) -> list[dict]:
         out = []
@@ -242,7 +244,7 @@ def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chun
             for p, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if j > i:
                     mine = asked[i:j]
-                    out.append({"kind": ASK, "chunk": s["chunk"], "part": p, "data": ipc(h1=pa.array(h1[mine]), h2=pa.array(h2[mine]), id=pa.array(rank[mine]), start=pa.array(start[mine]))})
+                    out.append({"kind": ASK, "chunk": s["chunk"], "part": p, "data": ipc(c=pa.array([squeeze(c) for c in (np.diff(h1[mine], prepend=np.uint64(0)), h2[mine], rank[mine], start[mine])], pa.binary()))})
         return out
 
     second = scratch.save(in_pairs(first.filter(F.col("kind") == STATE).select("chunk", "data"), bits_1, "chunk", verify, KEY_FIELDS, KEY_ARROW))

@@ -1,10 +1,11 @@
 """The queries of this subpackage, and their SQL."""
 
-from plumbline.llm import chat, exact_dedup, language_id, lattice, mixing, packing, recompression, simhash, vector_search
+from plumbline.llm import chat, exact_dedup, language_id, lattice, mixing, packing, recompression, simhash, suffix_dedup, vector_search
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_vector_search": vector_search.op5_vector_search,
     "op6_simhash": simhash.op6_simhash,
