@@ -45,18 +45,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n of an odd base modulo 2 ** 64, and their inverses; kept for the next call."""
+    if base not in _POWERS or len(_POWERS[base][0]) <= n:
+        both = (np.full(n + 1, b, np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+        _POWERS[base] = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), b[1:]])) for b in both)
+    up, down = _POWERS[base]
+    return up[: n + 1], down[: n + 1]
+
+
 class Ranges:
     """Hashes of any range of a sequence of names, by sums of names times powers of an odd base modulo 2 ** 64."""
 
     def __init__(self, names: np.ndarray, base: int = _BASE):
-        n = len(names)
-        power = np.full(n, base, np.uint64)
-        inverse = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-        if n:
-            power[0] = 1
-        inverse[0] = 1
-        self.back = np.multiply.accumulate(inverse)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(names * np.multiply.accumulate(power))])
+        up, self.back = powers(base, len(names))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(names * up[:-1])])
 
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mix((self.sums[last] - self.sums[first]) * self.back[first] + (last - first).astype(np.uint64))

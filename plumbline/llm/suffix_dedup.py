@@ -163,7 +163,15 @@ def compare_regions(keys: np.ndarray, regions: list[bytes], offs: np.ndarray, se
                 cut.setdefault((k, a, s[off - a : off + b]), []).append((i, off - a))
         open_ = {k for (k, _, _), places in cut.items() if len(places) == 1}
         todo = [c for c in cut if c[0] in open_]
-        found = dict(zip(todo, repeated_windows([c[2] for c in todo]), strict=True)) if todo else {}
+        # Only windows of one key can be equal, so a suffix array holds whole keys, of some 100,000 bytes together.
+        todo.sort()
+        found, batch, size = {}, [], 0
+        for k, c in enumerate(todo):
+            batch.append(c)
+            size += len(c[2])
+            if k + 1 == len(todo) or size > 100_000 and todo[k + 1][0] != c[0]:
+                found.update(zip(batch, repeated_windows([b[2] for b in batch]), strict=True))
+                batch, size = [], 0
         for c, places in cut.items():
             n = len(c[2]) - WINDOW + 1
             for i, first in places:
@@ -171,36 +179,55 @@ def compare_regions(keys: np.ndarray, regions: list[bytes], offs: np.ndarray, se
     return [masks[i] for i in of.tolist()]
 
 
+#: Windows are scanned so many places at a time, which bounds memory for texts of any length.
+BLOCK, PLACE_BITS = 1 << 19, np.uint64(20)
+
+
 class Anchors:
-    """The anchors of all windows of some documents: place, first and last window, hash."""
+    """The anchors of all windows of some documents: place, first and last window, hash.
+
+    At a block's end the windows of one anchor may come as two entries, which are two regions of that anchor.
+    """
 
     def __init__(self, texts: list[bytes]):
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.starts = np.cumsum([0, *map(len, texts)])
-        n = len(self.data)
-        self.at = self.first = self.last = np.empty(0, np.int64)
-        self.hash = np.empty(0, np.uint64)
-        self.ranges = Ranges(_NAMES[self.data])
-        if n < WINDOW:
-            return
-        p = np.arange(n - ANCHOR + 1)
-        h = self.ranges.of(p, p + ANCHOR)
-        bits = np.uint64(int(n).bit_length())
-        order = (h >> bits << bits) | p.astype(np.uint64)
+        valid = np.zeros(len(self.data) + 1, np.int8)
+        a, b = self.starts[:-1], self.starts[1:] - WINDOW + 1
+        np.add.at(valid, a[b > a], 1)
+        np.add.at(valid, b[b > a], -1)
+        valid = np.cumsum(valid, dtype=np.int8)
+        found = [self._block(at, np.flatnonzero(valid[at : at + BLOCK])) for at in range(0, len(self.data), BLOCK)]
+        self.at, self.first, self.last = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in range(3))
+        self.hash = np.concatenate([f[3] for f in found] or [np.empty(0, np.uint64)])
+
+    def _block(self, at: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if not len(x):
+            return (*[np.empty(0, np.int64)] * 3, np.empty(0, np.uint64))
+        names = _NAMES[self.data[at : at + BLOCK + WINDOW - 1]]
+        p = np.arange(len(names) - ANCHOR + 1)
+        h = Ranges(names).of(p, p + ANCHOR)
+        order = (h >> PLACE_BITS << PLACE_BITS) | p.astype(np.uint64)
         width = WINDOW - ANCHOR + 1
         blocks = -(-len(order) // width)
         padded = np.full(blocks * width, np.iinfo(np.uint64).max)
         padded[: len(order)] = order
         grid = padded.reshape(blocks, width)
         ahead, back = np.minimum.accumulate(grid, 1).ravel(), np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-        x = np.concatenate([np.arange(a, b - WINDOW + 1) for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True) if b - a >= WINDOW] or [np.empty(0, np.int64)])
-        if not len(x):
-            return
-        least = (np.minimum(back[x], ahead[x + width - 1]) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+        least = (np.minimum(back[x], ahead[x + width - 1]) & np.uint64((1 << int(PLACE_BITS)) - 1)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        self.at, self.first = least[new], x[new]
-        self.last = x[np.concatenate([new[1:], [len(x)]]) - 1]
-        self.hash = h[self.at]
+        return least[new] + at, x[new] + at, x[np.concatenate([new[1:], [len(x)]]) - 1] + at, mix(h[least[new]] ^ _NAMES[0])  # anchors' own hashes are all small
+
+    def windows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes, of 64 and of 32 bits, of each of the windows at sorted places x."""
+        cuts = np.searchsorted(x, np.arange(0, len(self.data) + BLOCK, BLOCK))
+        one, two = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+        for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if j > i:
+                part, at = self.data[k * BLOCK : (k + 1) * BLOCK + WINDOW - 1], x[i:j] - k * BLOCK
+                one.append(Ranges(_NAMES[part]).of(at, at + WINDOW))
+                two.append((Ranges(_NAMES_2[part], 0xD1342543DE82EF95).of(at, at + WINDOW) >> np.uint64(32)).astype(np.uint32))
+        return np.concatenate(one), np.concatenate(two)
 
 
 def by_part(home: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
@@ -291,8 +318,8 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_b
             warm = live[code[live] == 2]
             n = anchors.last[warm] - anchors.first[warm] + 1
             x = np.repeat(anchors.first[warm], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            h1 = anchors.ranges.of(x, x + WINDOW)
-            h2 = (Ranges(_NAMES_2[anchors.data], 0xD1342543DE82EF95).of(x, x + WINDOW) >> np.uint64(32)).astype(np.uint32) if len(x) else np.empty(0, np.uint32)
+            x = np.sort(x)
+            h1, h2 = anchors.windows(x)
             order = np.lexsort((h2, h1))
             fresh = np.concatenate([[True], (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)])[: len(order)] if len(order) else np.empty(0, bool)
             which = np.empty(len(x), np.int64)
@@ -300,7 +327,7 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_b
             asked = order[fresh]
             for p, a, b in by_part(home_of(h1[asked]), parts):
                 out.append({"kind": HOT_ASK, "chunk": s["chunk"], "part": p, "data": ipc(c=pa.array([squeeze(np.diff(h1[asked[a:b]], prepend=np.uint64(0))), squeeze(h2[asked[a:b]])], pa.binary()))})
-            moved = x + np.repeat(move[warm], n)
+            moved = x + shift[np.searchsorted(busy, np.searchsorted(anchors.starts, x, "right") - 1)]
             state = ipc(id=pa.array([ids[i] for i in busy.tolist()], kind), text=pa.array([texts[i] for i in busy.tolist()], pa.large_binary()))
             places = [len(firsts), len(asked)], of, anchors.first[mild] + move[mild], anchors.last[mild] - anchors.first[mild] + 1, which, moved
             out.append({"kind": STATE, "chunk": s["chunk"], "part": -1, "data": state, "more": ipc(c=pa.array([squeeze(np.asarray(a, np.uint32)) for a in places], pa.binary()))})
