@@ -236,7 +236,7 @@ def by_part(home: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     return ((p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a)
 
 
-def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = 4 << 20, hot: int = 32) -> DataFrame:
+def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = 4 << 20, hot: int = 64) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) for each row. The key must be an integer."""
     spark = df.sparkSession
     scratch = Scratch(spark)
