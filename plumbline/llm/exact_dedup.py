@@ -33,9 +33,9 @@ def _cell(half: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, 32) if half else h).bitwiseAND(F.lit(bits - 1).cast("long"))
 
 
-def _repeated_cells(rows: DataFrame, half: int, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the cells that two rows or more hit; counts are folded before they shuffle."""
-    cells = rows.select(_cell(half, bits).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def hit_cells(rows: DataFrame, half: int, bits: int, least: int = 2) -> DataFrame:
+    """(bucket, bitmap) of the cells that least rows or more hit; counts are folded before they shuffle."""
+    cells = rows.select(_cell(half, bits).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return cells.groupBy(F.expr(f"cell div {CELLS}").alias(f"_bucket{half}")).agg(F.bitmap_construct_agg(F.col("cell") % CELLS).alias(f"_map{half}"))
 
 
@@ -45,12 +45,12 @@ def _bit(half: int, bits: int) -> Column:
     return F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False))
 
 
-def _bits(n: int, filter_bits: int) -> int:
+def filter_size(n: int, filter_bits: int = 1 << 28) -> int:
     return min(filter_bits, max(CELLS, power_of_two(16 * n)))
 
 
 def marked(rows: DataFrame, maps: list[DataFrame], bits: int) -> DataFrame:
-    """rows (with _sha) plus _maybe: whether the text may occur twice. maps: the two tables, of bits cells each."""
+    """rows (with _sha) plus _maybe: whether both its cells are in the two tables (maps), of bits cells each."""
     out = rows
     for half in (0, 1):
         out = out.withColumn(f"_bucket{half}", F.floor(_cell(half, bits) / CELLS)).join(F.broadcast(maps[half]), f"_bucket{half}", "left")
@@ -66,9 +66,9 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", filter_b
     rows = packed(df).select(F.col(f"_row.{key}").alias("_id"), digest(F.col(f"_row.{text}")).alias("_sha"), *["_row"] * carry)
     digests = scratch.save(rows.select("_id", "_sha"))
     n = digests.count()
-    maps = [scratch.save(_repeated_cells(digests, half, _bits(n, filter_bits))) for half in (0, 1)]
-    groups = scratch.save(marked(digests, maps, _bits(n, filter_bits)).filter("_maybe").groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    known = marked(rows if carry else digests, maps, _bits(n, filter_bits))
+    maps = [scratch.save(hit_cells(digests, half, filter_size(n, filter_bits))) for half in (0, 1)]
+    groups = scratch.save(marked(digests, maps, filter_size(n, filter_bits)).filter("_maybe").groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    known = marked(rows if carry else digests, maps, filter_size(n, filter_bits))
     more = ["_row"] * carry
     alone = known.filter(~F.col("_maybe")).select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha", *more)
     # Both sides of this sort-merge join are plain exchanges, so adaptive execution can split a hot key.

@@ -2,8 +2,8 @@
 
 Features are the square roots of hashed counts of letter 1- to 3-grams (on UTF-8 bytes, other ASCII as space), over
 whole texts, scaled to length one. Classifiers are linear support vector machines with squared hinge loss, fitted on
-the driver from a bounded sample: `per_language` texts at most of each of `max_languages` languages, picked by a hash
-of the id. Everything else covers all rows.
+the driver from a bounded sample: `per_language` texts at most of each of `max_languages` languages at most, and
+`sample` texts (16 KB of features each at most) in all, picked by a hash of the id. Everything else covers all rows.
 
 Families of known codes are fixed; any other code is a family of its own. A prediction's score is the product of the
 logistic scores of the family and of the language in it. Defined cases: null text or text without a letter is `und`
@@ -118,7 +118,7 @@ class Model:
         return out, score
 
 
-def fit(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", per_language: int = 1000, max_languages: int = 200) -> Model | None:
+def fit(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", per_language: int = 1000, max_languages: int = 200, sample: int = 20_000) -> Model | None:
     """A model of the labelled rows that are not held out, or None if there are none."""
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).filter("_lang is not null and _text is not null").filter(~held_out(F.col("_id"), 4))
     counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()
@@ -126,6 +126,7 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lan
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return None
+    per_language = max(2, min(per_language, sample // len(counts)))
     # Twice as many as wanted by a threshold on the hash, so that only those few are ranked.
     place = F.xxhash64(F.lit(4), F.col("_id"))
     share = F.coalesce(*[F.when(F.col("_lang") == r["_lang"], F.lit(min(1.0, 2 * per_language / r["n"]))) for r in counts])

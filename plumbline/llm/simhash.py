@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, packed
 from plumbline.llm.components import components
+from plumbline.llm.exact_dedup import filter_size, hit_cells, marked
 
 SEED = 42
 
@@ -106,10 +107,14 @@ def near_dups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, distance: int = 2) -> DataFrame:
     """The rows of df that stay: of each component those with its least key. A key names a document: rows that share
     one go or stay together."""
-    found = near_dups(df, text, key, words, distance)
-    gone = found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct()
-    rows = packed(df).withColumn("_id", F.col(f"_row.{key}"))
-    return rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
+    scratch = Scratch(df.sparkSession)
+    found = near_dups(df, text, key, words, distance, scratch)
+    gone = scratch.save(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_sha")).distinct())
+    # Rows that a Bloom filter of the keys to go rules out pass straight through; only the others shuffle with their text.
+    bits = filter_size(gone.count())
+    rows = marked(packed(df).withColumn("_sha", F.coalesce(F.col(f"_row.{key}").cast("string"), F.lit(""))), [scratch.save(hit_cells(gone, half, bits, 1)) for half in (0, 1)], bits)
+    stay = rows.filter("_maybe").hint("merge").join(gone.hint("merge"), "_sha", "left_anti")
+    return rows.filter("not _maybe").select("_row.*").unionByName(stay.select("_row.*"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
