@@ -150,7 +150,7 @@ def pack(df: DataFrame, ranks_path: str, full_path: str, text: str = "text", key
     runs, _ = plan(counts, capacity)
     before = sizes.select("length", "_bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("n")).alias("_before"))
     ranked = cuts.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_uid")).cast("long") - 1)
-    ranked = ranked.join(before, ["length", "_bucket"]).select("_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).alias("_rank"))
+    ranked = ranked.hint("merge").join(before.hint("merge"), ["length", "_bucket"]).select("_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).alias("_rank"))
     lengths, ranks, sequences, offsets = (np.array(c, np.int64) for c in (zip(*runs, strict=True) if runs else [[]] * 4))
     shared = spark.sparkContext.broadcast((lengths * (1 << 44) + ranks, ranks, sequences, offsets))
 
