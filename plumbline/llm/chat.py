@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import slices
+
 START, END = "<|im_start|>", "<|im_end|>"
 PLACEHOLDER = "<|{kind}:{number}|>"
 TRAINED = "assistant"
@@ -123,7 +125,7 @@ def format_turns(df: DataFrame, role: str = "role", parts: str = "parts", keep:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span, attached = pa.struct([("first", pa.int64()), ("last", pa.int64())]), pa.struct([("kind", pa.string()), ("number", pa.int32()), ("ref", pa.string()), ("tokens", pa.int64())])
-        for b in batches:
+        for b in slices(batches):
             done = [format_turn(r.as_py(), p.as_py() or []) for r, p in zip(b.column(len(keep)), b.column(len(keep) + 1), strict=True)]
             columns = [
                 pa.array([s for s, _, _ in done], pa.string()),

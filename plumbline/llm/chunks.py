@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import slices
+
 
 def pack(data: bytes | np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data.tobytes() if isinstance(data, np.ndarray) else data)
@@ -49,7 +51,7 @@ def gather(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int,
     from pyspark import TaskContext
 
     first, count, keys, texts, size = TaskContext.get().partitionId() << 24, 0, [], [], 0
-    for b in batches:
+    for b in slices(batches):
         for k, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             keys.append(k)
             texts.append(t or b"")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out
+from plumbline.llm.common import held_out, slices
 
 # Families of ISO 639-1 codes.
 FAMILIES = {
@@ -59,13 +59,12 @@ def features(text: str, block: int = 1 << 20) -> np.ndarray:
 
 def fit_pair(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 120) -> np.ndarray:
     """Weights (bias last) of a linear SVM with squared hinge loss, by accelerated gradient steps. y: -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))).astype(np.float32)
-    step = 1 / (1 + 2 * c * float(weight.max()) * 2)  # rows have length sqrt(2)
-    w = ahead = np.zeros(x.shape[1], np.float32)
+    step = 1 / (1 + 2 * c * float(weight.max()) * 2)  # rows with their bias have length sqrt(2)
+    w = ahead = np.zeros(x.shape[1] + 1, np.float32)
     for k in range(rounds):
-        short = np.maximum(0, 1 - y * (x @ ahead)) * weight
-        then = ahead - step * (ahead - 2 * c * (x.T @ (short * y)) / len(y))
+        short = np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1])) * weight * y
+        then = ahead - step * (ahead - 2 * c * np.append(x.T @ short, short.sum()) / len(y))
         ahead, w = then + k / (k + 3) * (then - w), then
     return w
 
@@ -118,7 +117,7 @@ class Model:
         return out, score
 
 
-def fit(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", per_language: int = 1000, max_languages: int = 200, sample: int = 20_000) -> Model | None:
+def fit(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", per_language: int = 500, max_languages: int = 200, sample: int = 10_000) -> Model | None:
     """A model of the labelled rows that are not held out, or None if there are none."""
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).filter("_lang is not null and _text is not null").filter(~held_out(F.col("_id"), 4))
     counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()
@@ -133,7 +132,7 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lan
     few = rows.filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)).withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy(place, "_id", F.xxhash64("_text")))).filter(F.col("_n") <= per_language)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [features(t.as_py()).astype(np.float16).tobytes() for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1)], ["x", "lang"])
 
@@ -150,7 +149,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             pred, score = model.predict(texts) if model else ([UND] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, partitions
+from plumbline.llm.common import Scratch, partitions, slices
 
 
 def tokenizer(ranks_path: str, full_path: str):
@@ -63,7 +63,7 @@ def pieces(df: DataFrame, ranks_path: str, full_path: str, text: str = "text", k
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(ranks_path, full_path)
-        for b in batches:
+        for b in slices(batches):
             at, out = [], []
             for i, t in enumerate(b.column(1)):
                 ids = np.array(encode(t.as_py() or "") + [end_id], "<u4")

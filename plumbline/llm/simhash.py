@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, packed
+from plumbline.llm.common import Scratch, packed, slices
 from plumbline.llm.components import components
 from plumbline.llm.exact_dedup import filter_size, hit_cells, marked
 
@@ -53,7 +53,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", words:
     kind = df.schema[key].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = [fingerprint(t or b"", words) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["_id", "fp"])
 
