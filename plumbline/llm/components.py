@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Scratch
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and its neighbours. Minimum first, then a join, so no node's list is gathered."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
+def _star(scratch: Scratch, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m): m is the least of u and its neighbours; and the table of minima, to be dropped after use.
+
+    Minimum first, then a join, so no node's list is gathered. The minima are written first, which leaves plain
+    exchanges on both sides of the join: adaptive execution can split the rows of a node with many links.
+    """
+    least = scratch.save(pairs.groupBy("u").agg(F.min("v").alias("m")))
+    return pairs.hint("merge").join(least.hint("merge"), "u").withColumn("m", F.least("u", "m")), least
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -30,11 +34,12 @@ def components(scratch: Scratch, links: DataFrame, rounds: int = 60) -> DataFram
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(large)
+        large, most = _star(scratch, both)
+        large = scratch.save(large.filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small, least = _star(scratch, large)
         step = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         then = scratch.save(step)
-        scratch.drop(now)
+        scratch.drop(now, large, most, least)
         now, before, mark = then, mark, _mark(then)
         if mark == before:
             break
