@@ -10,6 +10,10 @@ Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case. Defined cas
 without words has fingerprint zero, linked like any other; fewer words than a shingle make one shingle. Copies and
 repeated rows share a fingerprint and so a component. Rows with a null doc_id take part, but name no component unless
 all of it are null.
+
+Two bits hold what is nearly equal; texts with a similarity (Jaccard, of distinct shingles) of 0.8 differ in about ten,
+at which counts of bits rule out next to nothing. Given a similarity, fingerprints beyond the grid's reach are paired
+by bands of least shingle hashes instead, and their texts verified exactly (`similar`).
 """
 
 from __future__ import annotations
@@ -26,38 +30,148 @@ from plumbline.llm.components import components
 from plumbline.llm.exact_dedup import filter_size, hit_cells, marked
 
 SEED = 42
+#: Two texts at a similarity of 0.8 share a band of 5 least hashes with probability 0.33, one of 20 bands with 0.9996.
+BANDS, ROWS = 20, 5
 
 
-def fingerprint(text: bytes, words: int = 3, block: int = 1 << 16) -> int:
-    """The fingerprint of one text; its shingles are hashed and summed in blocks, so memory follows the text."""
+def shingle_hashes(text: bytes, words: int, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of one text, repeats included, in blocks; none if it has no words."""
     import xxhash
 
     tokens = text.lower().split()  # on bytes: only A-Z are lowered, and only the six white spaces split
     if not tokens:
-        return 0
+        return
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(tokens) - words + 1)
     last = ends[min(words, len(tokens)) - 1 :]
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, block):
         pairs = zip(starts[at : min(n, at + block)].tolist(), last[at : at + block].tolist(), strict=False)
-        h = np.array([digest(line[i:j], SEED) for i, j in pairs], np.uint64)
+        yield np.array([digest(line[i:j], SEED) for i, j in pairs], np.uint64)
+
+
+def fingerprint_of(hashes: Iterator[np.ndarray]) -> int:
+    n, votes = 0, np.zeros(64, np.int64)
+    for h in hashes:
+        n += len(h)
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3) -> DataFrame:
-    """(key, fp long) for each row."""
+def fingerprint(text: bytes, words: int = 3, block: int = 1 << 16) -> int:
+    """The fingerprint of one text; its shingles are hashed and summed in blocks, so memory follows the text."""
+    return fingerprint_of(shingle_hashes(text, words, block))
+
+
+def bands_of(hashes: list[np.ndarray], block: int = 256) -> list[int]:
+    """A key for each band: a hash of its ROWS least values of the shingle hashes times an odd factor each."""
+    import xxhash
+
+    if not hashes:
+        return []
+    odd = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for h in hashes:
+        for at in range(0, len(h), block):
+            least = np.minimum(least, (h[at : at + block, None] * odd).min(axis=0))
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, bands: bool = False) -> DataFrame:
+    """(key, fp long) for each row; with bands also bands array<long> and the text."""
     kind = df.schema[key].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp = [fingerprint(t or b"", words) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["_id", "fp"])
+            fp, keys = [], []
+            for t in b.column(1).cast(pa.binary()):
+                hashes = shingle_hashes(t.as_py() or b"", words)
+                if bands:
+                    hashes = list(hashes)
+                    keys.append(bands_of(hashes))
+                fp.append(fingerprint_of(hashes))
+            columns = {"_id": b.column(0), "fp": pa.array(fp, pa.int64())}
+            if bands:
+                columns |= {"bands": pa.array(keys, pa.list_(pa.int64())), "_text": b.column(1)}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    fields = f"_id {kind.simpleString()}, fp long" + ", bands array<long>, _text string" * bands
+    return df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(work, fields)
 
-    return df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(work, f"_id {kind.simpleString()}, fp long")
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v, similar) for pairs (u, v) of fingerprints; texts: (fp, _text). Compares the sets of shingle hashes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shingles(text: bytes | None) -> np.ndarray:
+            return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text or b"", words)]))
+
+        last, right = None, None
+        for b in slices(batches, 64):
+            out, v = [], b.column(1).to_pylist()
+            for i, (x, y) in enumerate(zip(b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary()), strict=True)):
+                if v[i] != last:  # rows come sorted by v, so a common one is taken apart once
+                    last, right = v[i], shingles(y.as_py())
+                left = shingles(x.as_py())
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                out.append(both >= similarity * (len(left) + len(right) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["u", "v", "similar"])
+
+    rows = pairs.hint("merge").join(texts.select(F.col("fp").alias("u"), F.col("_text").alias("_a")).hint("merge"), "u")
+    rows = rows.hint("merge").join(texts.select(F.col("fp").alias("v"), F.col("_text").alias("_b")).hint("merge"), "v")
+    return rows.select("u", "v", "_a", "_b").mapInArrow(work, "u long, v long, similar boolean")
+
+
+def similar(scratch: Scratch, prints: DataFrame, words: int, similarity: float, few: int = 16) -> list[DataFrame]:
+    """Tables (u, v) of fingerprints whose texts share a band and have this similarity or more. prints: (fp, bands, _text).
+
+    In each bucket of a band all compare with one row, another in each band, so a bucket of any size costs a comparison
+    a row. Where some fail, all pairs of a bucket of few rows are compared, and a larger bucket is split by the next
+    band and goes through the same again. So work grows with the rows whatever the size of a group; what it can miss
+    is a pair that only large buckets hold, in none of which the two came together.
+    """
+    sketch = scratch.save(prints.groupBy("fp").agg(F.min("bands").alias("bands")).filter(F.size("bands") > 0))
+    now = scratch.save(sketch.select("fp", F.posexplode("bands").alias("band", "key")))
+    seen, texts = None, None
+
+    def decide(pairs: DataFrame) -> None:
+        """Pairs not seen before, verified."""
+        nonlocal seen, texts
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        new = scratch.save(pairs if seen is None else pairs.hint("merge").join(seen.select("u", "v").hint("merge"), ["u", "v"], "left_anti"))
+        if new.isEmpty():
+            return
+        if texts is None:  # only texts that some band pairs are shuffled; later pairs come from the same buckets
+            asked = scratch.save(now.hint("merge").join(least.select("key").hint("merge"), "key").select(F.col("fp").cast("string").alias("_sha")).distinct())
+            bits = filter_size(asked.count())
+            rows = marked(prints.select("fp", "_text", F.col("fp").cast("string").alias("_sha")), [scratch.save(hit_cells(asked, half, bits, 1)) for half in (0, 1)], bits)
+            texts = scratch.save(rows.filter("_maybe").groupBy("fp").agg(F.min("_text").alias("_text")))
+        found = scratch.save(verified(new, texts, words, similarity))
+        seen = found if seen is None else seen.unionByName(found)
+
+    for level in range(1, BANDS):
+        # Saved, so that the join below has plain exchanges on both sides and a bucket with many rows can be split.
+        least = scratch.save(now.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key"), "fp")).alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("v.fp").alias("v"), "n"))
+        members = scratch.save(now.hint("merge").join(least.hint("merge"), "key"))
+        star = members.filter("fp <> v")
+        decide(star.select(F.col("fp").alias("u"), "v"))
+        if seen is None:
+            return []
+        failed = seen.filter("not similar").select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+        mixed = scratch.save(star.withColumn("_u", F.greatest("fp", "v")).withColumn("_v", F.least("fp", "v")).hint("merge").join(failed.hint("merge"), ["_u", "_v"]).select("key").distinct())
+        rest = scratch.save(members.hint("merge").join(mixed.hint("merge"), "key", "left_semi"))
+        small = rest.filter(F.col("n") <= few).select("key", "fp")
+        decide(small.withColumnRenamed("fp", "u").hint("merge").join(small.withColumnRenamed("fp", "v").hint("merge"), "key").filter("u > v"))
+        large = rest.filter(F.col("n") > few).select("fp", "band", "key").hint("merge").join(sketch.hint("merge"), "fp")
+        then = scratch.save(large.select("fp", "band", F.xxhash64("key", F.expr(f"bands[(band + {level}) % {BANDS}]")).alias("key")))
+        scratch.drop(now, least, members, mixed, rest)
+        now = then
+        if now.isEmpty():
+            break
+    return [seen.filter("similar").select("u", "v")]
 
 
 def cells(fp: Column, segments: int) -> Column:
@@ -91,12 +205,16 @@ def links(distinct: DataFrame, n: int, distance: int = 2) -> DataFrame:
     return a.hint("merge").join(b.hint("merge"), "cell").filter(met).select("u", "v")
 
 
-def near_dups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, distance: int = 2, scratch: Scratch | None = None) -> DataFrame:
-    """(key, fp, component_id) for each row: the least key of all rows whose fingerprints are linked with its own."""
+def near_dups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, distance: int = 2, similarity: float | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """(key, fp, component_id) for each row: the least key of all rows whose fingerprints are linked with its own; with
+    a similarity, also of those whose texts have it."""
     scratch = scratch or Scratch(df.sparkSession)
-    prints = scratch.save(fingerprints(df, text, key, words))
+    prints = scratch.save(fingerprints(df, text, key, words, similarity is not None))
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("_id").alias("first")))
-    labels = components(scratch, links(distinct.select("fp"), distinct.count(), distance))
+    linked = links(distinct.select("fp"), distinct.count(), distance)
+    for more in similar(scratch, prints, words, similarity) if similarity is not None else []:
+        linked = linked.unionByName(more)
+    labels = components(scratch, linked)
     joined = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
     of = scratch.save(joined.join(least, "label").select("fp", "component_id"))
@@ -104,11 +222,11 @@ def near_dups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int
     return prints.hint("merge").join(of.hint("merge"), "fp").select(F.col("_id").alias(key), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, distance: int = 2) -> DataFrame:
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, distance: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """The rows of df that stay: of each component those with its least key. A key names a document: rows that share
     one go or stay together."""
     scratch = Scratch(df.sparkSession)
-    found = near_dups(df, text, key, words, distance, scratch)
+    found = near_dups(df, text, key, words, distance, similarity, scratch)
     gone = scratch.save(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_sha")).distinct())
     # Rows that a Bloom filter of the keys to go rules out pass straight through; only the others shuffle with their text.
     bits = filter_size(gone.count())
