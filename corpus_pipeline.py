@@ -1,8 +1,8 @@
 """From raw documents to packed sequences: five stages, each one operator of plumbline.llm.
 
 Every stage but the last returns the columns of documents: language ID drops documents it can't assign (no text or no
-letter) and fills in a missing label, exact dedup keeps one row a text, SimHash near-dedup (shingles of five words)
-keeps one of each group, mixing repeats or leaves out documents by their source's target, and packing cuts and places
+letter) and fills in a missing label, exact dedup keeps one row a text, SimHash near-dedup (shingles of five words, two
+bits or a similarity of 0.8) keeps one of each group, mixing repeats or leaves out documents by their source's target, and packing cuts and places
 what is left. Stages take empty tables, nulls in any column and further columns, which they carry along.
 """
 
@@ -27,7 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, words=5)
+    return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
