@@ -13,7 +13,8 @@ all of it are null.
 
 Two bits hold what is nearly equal; texts with a similarity (Jaccard, of distinct shingles) of 0.8 differ in about ten,
 at which counts of bits rule out next to nothing. Given a similarity, fingerprints beyond the grid's reach are paired
-by bands of least shingle hashes instead, and their texts verified exactly (`similar`).
+by bands of least shingle hashes instead, and their texts verified exactly (`similar`). Texts without words then meet
+by their fingerprint alone.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ from plumbline.llm.exact_dedup import filter_size, hit_cells, marked
 SEED = 42
 #: Two texts at a similarity of 0.8 share a band of 5 least hashes with probability 0.33, one of 20 bands with 0.9996.
 BANDS, ROWS = 20, 5
+#: Bits of a parity signature: bit i tells whether an odd number of distinct shingle hashes fall in cell i.
+SIGN_BITS = 1024
+#: With so many strays at most, a bucket's strays compare with all its rows at once.
+FEW = 64
 
 
 def shingle_hashes(text: bytes, words: int, block: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -65,45 +70,62 @@ def fingerprint(text: bytes, words: int = 3, block: int = 1 << 16) -> int:
     return fingerprint_of(shingle_hashes(text, words, block))
 
 
-def bands_of(hashes: list[np.ndarray], block: int = 256) -> list[int]:
-    """A key for each band: a hash of its ROWS least values of the shingle hashes times an odd factor each."""
+def sketch_of(hashes: list[np.ndarray], block: int = 256) -> tuple[list[int], list[int], int, int]:
+    """A key for each band (a hash of its ROWS least values of the shingle hashes times an odd factor each), the parity
+    signature of the distinct hashes, their number, and a name of the set of them; no keys without hashes."""
     import xxhash
 
-    if not hashes:
-        return []
+    distinct = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
+    parity = np.bincount((distinct >> np.uint64(64 - SIGN_BITS.bit_length() + 1)).astype(np.int64), minlength=SIGN_BITS) % 2
+    sign = np.packbits(parity.astype(bool), bitorder="little").view("<i8").tolist()
+    name = xxhash.xxh64_intdigest(distinct.tobytes(), SEED) - (1 << 63)
+    if not len(distinct):
+        return [], sign, 0, name
     odd = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for h in hashes:
-        for at in range(0, len(h), block):
-            least = np.minimum(least, (h[at : at + block, None] * odd).min(axis=0))
+    for at in range(0, len(distinct), block):
+        least = np.minimum(least, (distinct[at : at + block, None] * odd).min(axis=0))
     keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    return np.array(keys, np.uint64).view(np.int64).tolist(), sign, len(distinct), name
+
+
+def in_reach(a: str, b: str, similarity: float) -> Column:
+    """Whether texts with signatures {a}_sign, {b}_sign of {a}_size, {b}_size hashes can have this similarity.
+
+    Signatures differ in no more bits than the sets in members, and a similarity of s leaves (1 - s) / (1 + s) of both
+    sizes to differ; so no pair that has the similarity is ruled out.
+    """
+    apart = sum((F.bit_count(F.col(f"{a}_sign")[i].bitwiseXOR(F.col(f"{b}_sign")[i])) for i in range(SIGN_BITS // 64)), F.lit(0))
+    sizes = F.col(f"{a}_size") + F.col(f"{b}_size")
+    return F.greatest(apart, F.abs(F.col(f"{a}_size") - F.col(f"{b}_size"))) <= sizes * F.lit((1 - similarity) / (1 + similarity) + 1e-9)
 
 
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, bands: bool = False) -> DataFrame:
-    """(key, fp long) for each row; with bands also bands array<long> and the text."""
+def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, sketch: bool = False) -> DataFrame:
+    """(key, fp long) for each row; with sketch also bands and sign array<long>, size and name long and
+    the text."""
     kind = df.schema[key].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp, keys = [], []
+            fp, sketches = [], []
             for t in b.column(1).cast(pa.binary()):
                 hashes = shingle_hashes(t.as_py() or b"", words)
-                if bands:
+                if sketch:
                     hashes = list(hashes)
-                    keys.append(bands_of(hashes))
+                    sketches.append(sketch_of(hashes))
                 fp.append(fingerprint_of(hashes))
             columns = {"_id": b.column(0), "fp": pa.array(fp, pa.int64())}
-            if bands:
-                columns |= {"bands": pa.array(keys, pa.list_(pa.int64())), "_text": b.column(1)}
+            if sketch:
+                bands, sign, size, name = zip(*sketches) if sketches else ((), (), (), ())
+                columns |= {"bands": pa.array(bands, pa.list_(pa.int64())), "sign": pa.array(sign, pa.list_(pa.int64())), "size": pa.array(size, pa.int64()), "name": pa.array(name, pa.int64()), "_text": b.column(1)}
             yield pa.RecordBatch.from_pydict(columns)
 
-    fields = f"_id {kind.simpleString()}, fp long" + ", bands array<long>, _text string" * bands
+    fields = f"_id {kind.simpleString()}, fp long" + ", bands array<long>, sign array<long>, size long, name long, _text string" * sketch
     return df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(work, fields)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(u, v, similar) for pairs (u, v) of fingerprints; texts: (fp, _text). Compares the sets of shingle hashes."""
+    """(u, v, similar) for pairs (u, v) of nodes; texts: (node, _text). Compares the sets of shingle hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shingles(text: bytes | None) -> np.ndarray:
@@ -120,58 +142,89 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
                 out.append(both >= similarity * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["u", "v", "similar"])
 
-    rows = pairs.hint("merge").join(texts.select(F.col("fp").alias("u"), F.col("_text").alias("_a")).hint("merge"), "u")
-    rows = rows.hint("merge").join(texts.select(F.col("fp").alias("v"), F.col("_text").alias("_b")).hint("merge"), "v")
+    rows = pairs.hint("merge").join(texts.select(F.col("node").alias("u"), F.col("_text").alias("_a")).hint("merge"), "u")
+    rows = rows.hint("merge").join(texts.select(F.col("node").alias("v"), F.col("_text").alias("_b")).hint("merge"), "v")
     return rows.select("u", "v", "_a", "_b").mapInArrow(work, "u long, v long, similar boolean")
 
 
-def similar(scratch: Scratch, prints: DataFrame, words: int, similarity: float, few: int = 16) -> list[DataFrame]:
-    """Tables (u, v) of fingerprints whose texts share a band and have this similarity or more. prints: (fp, bands, _text).
+def similar(scratch: Scratch, prints: DataFrame, near: DataFrame, words: int, similarity: float, few: int | None = None) -> DataFrame:
+    """Links (u, v) that join the fingerprints of all texts that share a band and have this similarity or more.
 
-    In each bucket of a band all compare with one row, another in each band, so a bucket of any size costs a comparison
-    a row. Where some fail, all pairs of a bucket of few rows are compared, and a larger bucket is split by the next
-    band and goes through the same again. So work grows with the rows whatever the size of a group; what it can miss
-    is a pair that only large buckets hold, in none of which the two came together.
+    prints: rows of fingerprints() with sketch; near: links found otherwise. In each bucket of a band all compare with
+    one row, which joins most of a group at one comparison a row. What is left open is a bucket whose rows are in more
+    than one component: its strays, all rows outside its largest component, compare with every row of another
+    component. Up to few strays that is linear in the rows. Beyond, the bucket is split by further bands, level by
+    level, to join strays cheaply; once a level joins less than an eighth of them, the strays left compare with all rows
+    after all. So no bucket leaves a pair of different components without a comparison, and only groups that stay
+    apart although they share a band cost more than linear work. Comparisons go by signature first, inside the join;
+    only pairs in reach are emitted, and verified on their texts.
     """
-    sketch = scratch.save(prints.groupBy("fp").agg(F.min("bands").alias("bands")).filter(F.size("bands") > 0))
-    now = scratch.save(sketch.select("fp", F.posexplode("bands").alias("band", "key")))
-    seen, texts = None, None
+    few = FEW if few is None else few
+    # A text's node in the graph is its fingerprint; where different texts share one, it is the name of the text's
+    # shingles, linked with the fingerprint.
+    sets = scratch.save(prints.groupBy("fp", "name").agg(F.min("bands").alias("bands"), F.min("sign").alias("sign"), F.min("size").alias("size")))
+    shared = scratch.save(sets.groupBy("fp").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
+    nodes = sets.hint("merge").join(shared.hint("merge"), "fp", "left").withColumn("node", F.when(F.col("texts").isNull(), F.col("fp")).otherwise(F.col("name")))
+    near = near.unionByName(scratch.save(sets.select("fp", "name").hint("merge").join(shared.hint("merge"), "fp").select(F.col("name").alias("u"), F.col("fp").alias("v"))))
+    sketch = scratch.save(nodes.filter(F.size("bands") > 0).drop("fp", "texts").dropDuplicates(["node"]))
+    scratch.drop(sets)
+    every = scratch.save(sketch.select("node", F.posexplode("bands").alias("band", "key")))
+    # Saved, so that the joins below have plain exchanges on both sides and a bucket with many rows can be split.
+    buckets = scratch.save(every.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = scratch.save(every.hint("merge").join(buckets.hint("merge"), "key"))
+    scratch.drop(every, buckets)
+    # Only texts that some bucket pairs are shuffled.
+    names = scratch.save(members.select("node").distinct().hint("merge").join(sketch.select("node", "name").hint("merge"), "node").withColumn("_sha", F.col("name").cast("string")))
+    bits = filter_size(names.count())
+    rows = marked(prints.select("name", "_text", F.col("name").cast("string").alias("_sha")), [scratch.save(hit_cells(names, half, bits, 1)) for half in (0, 1)], bits)
+    texts = scratch.save(rows.filter("_maybe").groupBy("name").agg(F.min("_text").alias("_text")).hint("merge").join(names.select("node", "name").hint("merge"), "name").select("node", "_text"))
+    signs = [sketch.select(F.col("node").alias(x), F.col("sign").alias(f"{x}_sign"), F.col("size").alias(f"{x}_size")) for x in "uv"]
+    seen = None
 
     def decide(pairs: DataFrame) -> None:
-        """Pairs not seen before, verified."""
-        nonlocal seen, texts
+        """Verifies the pairs in reach that were not seen before."""
+        nonlocal seen
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         new = scratch.save(pairs if seen is None else pairs.hint("merge").join(seen.select("u", "v").hint("merge"), ["u", "v"], "left_anti"))
-        if new.isEmpty():
-            return
-        if texts is None:  # only texts that some band pairs are shuffled; later pairs come from the same buckets
-            asked = scratch.save(now.hint("merge").join(least.select("key").hint("merge"), "key").select(F.col("fp").cast("string").alias("_sha")).distinct())
-            bits = filter_size(asked.count())
-            rows = marked(prints.select("fp", "_text", F.col("fp").cast("string").alias("_sha")), [scratch.save(hit_cells(asked, half, bits, 1)) for half in (0, 1)], bits)
-            texts = scratch.save(rows.filter("_maybe").groupBy("fp").agg(F.min("_text").alias("_text")))
-        found = scratch.save(verified(new, texts, words, similarity))
-        seen = found if seen is None else seen.unionByName(found)
-
-    for level in range(1, BANDS):
-        # Saved, so that the join below has plain exchanges on both sides and a bucket with many rows can be split.
-        least = scratch.save(now.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key"), "fp")).alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("v.fp").alias("v"), "n"))
-        members = scratch.save(now.hint("merge").join(least.hint("merge"), "key"))
-        star = members.filter("fp <> v")
-        decide(star.select(F.col("fp").alias("u"), "v"))
-        if seen is None:
-            return []
-        failed = seen.filter("not similar").select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-        mixed = scratch.save(star.withColumn("_u", F.greatest("fp", "v")).withColumn("_v", F.least("fp", "v")).hint("merge").join(failed.hint("merge"), ["_u", "_v"]).select("key").distinct())
-        rest = scratch.save(members.hint("merge").join(mixed.hint("merge"), "key", "left_semi"))
-        small = rest.filter(F.col("n") <= few).select("key", "fp")
-        decide(small.withColumnRenamed("fp", "u").hint("merge").join(small.withColumnRenamed("fp", "v").hint("merge"), "key").filter("u > v"))
-        large = rest.filter(F.col("n") > few).select("fp", "band", "key").hint("merge").join(sketch.hint("merge"), "fp")
-        then = scratch.save(large.select("fp", "band", F.xxhash64("key", F.expr(f"bands[(band + {level}) % {BANDS}]")).alias("key")))
-        scratch.drop(now, least, members, mixed, rest)
-        now = then
-        if now.isEmpty():
+        if not new.isEmpty():
+            found = scratch.save(verified(new, texts, words, similarity))
+            seen = found if seen is None else seen.unionByName(found)
+
+    def signed(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs whose signatures are in reach."""
+        pairs = scratch.save(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        for x, sign in zip("uv", signs, strict=True):
+            pairs = pairs.hint("merge").join(sign.hint("merge"), x)
+        return pairs.filter(in_reach("u", "v", similarity)).select("u", "v")
+
+    decide(signed(members.filter("node <> v").select(F.col("node").alias("u"), "v")))
+    members, before = members.select("key", "band", "node"), None
+    for level in range(1, BANDS + 1):
+        linked = near if seen is None else near.unionByName(seen.filter("similar").select("u", "v"))
+        labels = components(scratch, linked)
+        known = scratch.save(members.hint("merge").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        parts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        left = scratch.save(parts.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), (F.sum("c") - F.max("c")).alias("strays")).filter("strays > 0"))
+        known = scratch.save(known.hint("merge").join(left.hint("merge"), "key"))
+        strays = known.filter((F.col("label") != F.col("main")) & (F.col("strays") > few)).count()
+        last = level == BANDS or before is not None and strays > before * 7 / 8
+        closing = known if last else known.filter(F.col("strays") <= few)
+        closing = scratch.save(closing.hint("merge").join(sketch.select("node", "sign", "size").hint("merge"), "node"))
+        u, v = (closing.select("key", "label", "main", *[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "sign", "size", "label")]) for x in "uv")
+        u = u.filter(F.col("u_label") != F.col("main")).select("key", "u", "u_label", "u_sign", "u_size")
+        v = v.select(F.col("key").alias("v_key"), "v", "v_label", "v_sign", "v_size")
+        decide(u.hint("merge").join(v.hint("merge"), (F.col("key") == F.col("v_key")) & (F.col("u_label") != F.col("v_label")) & in_reach("u", "v", similarity)).select("u", "v"))
+        if last or not strays:
             break
-    return [seen.filter("similar").select("u", "v")]
+        before = strays
+        members = scratch.save(known.filter(F.col("strays") > few).select("key", "band", "node", "label"))
+        # Sub-buckets: rows that also agree in as many further bands as there were levels.
+        further = [f"bands[(band + {i}) % {BANDS}]" for i in range(1, level + 1)]
+        parts = scratch.save(members.hint("merge").join(sketch.select("node", "bands").hint("merge"), "node").select("node", "label", F.xxhash64("key", *map(F.expr, further)).alias("part")))
+        leaders = scratch.save(parts.groupBy("part").agg(F.min(F.struct(F.xxhash64("node", "part"), "node", "label")).alias("o")).select("part", F.col("o.node").alias("v"), F.col("o.label").alias("v_label")))
+        decide(signed(parts.hint("merge").join(leaders.hint("merge"), "part").filter("label <> v_label").select(F.col("node").alias("u"), "v")))
+        members = members.select("key", "band", "node")
+    return near if seen is None else near.unionByName(seen.filter("similar").select("u", "v"))
 
 
 def cells(fp: Column, segments: int) -> Column:
@@ -212,8 +265,8 @@ def near_dups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int
     prints = scratch.save(fingerprints(df, text, key, words, similarity is not None))
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("_id").alias("first")))
     linked = links(distinct.select("fp"), distinct.count(), distance)
-    for more in similar(scratch, prints, words, similarity) if similarity is not None else []:
-        linked = linked.unionByName(more)
+    if similarity is not None:
+        linked = similar(scratch, prints, scratch.save(linked), words, similarity)
     labels = components(scratch, linked)
     joined = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
