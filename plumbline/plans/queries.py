@@ -43,7 +43,7 @@ def reachable_hops(spark, d):
 
 
 def ordered_shift(spark, d):
-    o = table(spark, d, "orders").filter("o_custkey < 200").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("x"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("x"))
     p = o.selectExpr("o_custkey", "o_orderkey", "x", "cast(row_number() over (partition by o_custkey order by x, o_orderkey) as int) as n")
     r = p.filter("n > 1").selectExpr("o_custkey", "n as seq", "n - 1 as left_ordinal", "n as right_ordinal", "cast(100 + n as double) as value")
     return constraints.ordered_shift(p, r, "o_custkey", "n", "x").select("o_custkey", "n", F.round("x", 2).alias("x"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as g
 from plumbline.functions.labels import borehole
 from plumbline.operators import clustering, constraints, graph, proximity, similarity
-from plumbline.plans import flows
+from plumbline.plans import flows, queries
 from plumbline.sources import drawing
 from plumbline.streaming import snapping
 
@@ -156,6 +156,21 @@ def test_ordered_shift_reads_earlier_results(spark):
     assert {(r["r"], r["o"]): r["x"] for r in constraints.ordered_shift(p, rel, "r", "o", "x").collect()} == {(1, 0): 10.0, (1, 1): 410.0, (1, 2): 910.0, (2, 0): 5.0}
 
 
+def test_ordered_shift_query_reads_all_orders(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([5, 199, 200, 731, 90_000]), round(rng.uniform(1, 500_000), 2)) for i in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    expected = []
+    for c in {c for _, c, _ in rows}:
+        xs = [x for x, _ in sorted((x, o) for o, k, x in rows if k == c)]
+        for n in range(2, len(xs) + 1):
+            left, shift = xs[n - 2], xs[n - 2] + 100 + n - xs[n - 1]
+            xs = [x + shift if x > left else x for x in xs]
+        expected += [(c, i + 1, round(x, 2)) for i, x in enumerate(xs)]
+    got = [tuple(r) for r in queries.ordered_shift(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(c, n, pytest.approx(x, abs=0.011)) for c, n, x in sorted(expected)]
+
+
 def test_conflicts_and_redundant(spark):
     e = flows.distance_graph(spark.createDataFrame([("Row_3", "Row_4", 500.0), ("Row_3", "Row_4", 400.0), ("a", "b", 1.0), ("a", "b", 1.0)], "from string, to string, value double"))
     assert [(r["src"], r["dst"]) for r in e[1].collect()] == [("Row_3", "Row_4")]
