@@ -276,15 +276,27 @@ def near_dups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, distance: int = 2, similarity: float | None = 0.8) -> DataFrame:
-    """The rows of df that stay: of each component those with its least key. A key names a document: rows that share
-    one go or stay together."""
+    """The rows of df that stay, one of each component: that with its least key, nulls last, then the least digest of
+    its text.
+
+    A row is told from others by key and text (128 bits of SHA-256, null as empty), whatever other rows share its key.
+    Rows that share both differ in nothing that decides, and any one of them stays.
+    """
     scratch = Scratch(df.sparkSession)
-    found = near_dups(df, text, key, words, distance, similarity, scratch)
-    gone = scratch.save(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_sha")).distinct())
-    # Rows that a Bloom filter of the keys to go rules out pass straight through; only the others shuffle with their text.
-    bits = filter_size(gone.count())
-    rows = marked(packed(df).withColumn("_sha", F.coalesce(F.col(f"_row.{key}").cast("string"), F.lit(""))), [scratch.save(hit_cells(gone, half, bits, 1)) for half in (0, 1)], bits)
-    stay = rows.filter("_maybe").hint("merge").join(gone.hint("merge"), "_sha", "left_anti")
+
+    def name(key: Column, text: Column) -> Column:
+        return F.struct(key.isNull().alias("none"), key.alias("key"), F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16).alias("sha"))
+
+    named = df.select(F.col(text).alias("_text"), name(F.col(key), F.col(text)).alias("_id"))
+    found = near_dups(named, "_text", "_id", words, distance, similarity, scratch)
+    # Names whose rows all go, and names of several rows, of which one stays.
+    rows_of = found.groupBy("_id").agg(F.first(F.col("_id") != F.col("component_id")).alias("_gone"), F.count(F.lit(1)).alias("_n"))
+    unsure = scratch.save(rows_of.filter("_gone or _n > 1").select(F.col("_id").alias("_sha"), "_gone"))
+    # Rows that a Bloom filter of those names rules out pass straight through; only the others shuffle with their text.
+    bits = filter_size(unsure.count())
+    rows = marked(packed(df).withColumn("_sha", name(F.col(f"_row.{key}"), F.col(f"_row.{text}"))), [scratch.save(hit_cells(unsure, half, bits, 1)) for half in (0, 1)], bits)
+    once = rows.filter("_maybe").dropDuplicates(["_sha"])  # folds within tasks, so a row repeated often shuffles little
+    stay = once.hint("merge").join(unsure.filter("_gone").select("_sha").hint("merge"), "_sha", "left_anti")
     return rows.filter("not _maybe").select("_row.*").unionByName(stay.select("_row.*"))
 
 

@@ -178,6 +178,37 @@ def test_keep_one_holds_texts_of_high_similarity(spark, monkeypatch, few):
     assert got == expected
 
 
+def test_keep_one_tells_rows_apart_whatever_their_ids(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+
+    def text():
+        return " ".join(rng.choices(words, k=200))
+
+    def near(t):
+        return t + " " + rng.choice(words)
+
+    with_id, none, shared, repeated = text(), text(), text(), text()
+    groups = [  # (rows, ids that may name the one that stays)
+        ([(1, with_id), (None, near(with_id)), (None, near(with_id))], {1}),
+        ([(None, none), (None, near(none)), (None, near(none))], {None}),
+        ([(7, shared), (7, near(shared)), (7, near(shared))], {7}),
+        ([(8, repeated), (8, repeated), (None, repeated), (None, repeated)], {8}),
+        ([(9, None), (9, ""), (None, None)], {9}),
+        *[([(i, text())], {i}) for i in (None, None, None, 7, 7, 8, 9, 11)],
+    ]
+    rows = [(i, t, n, n) for n, (members, _) in enumerate(groups) for i, t in members]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, group_no int, _sha int").repartition(5)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = sorted(got.collect(), key=lambda r: r["group_no"])
+    assert [r["group_no"] for r in kept] == list(range(len(groups)))
+    assert all(r["doc_id"] in groups[r["group_no"]][1] and (r["doc_id"], r["text"]) in groups[r["group_no"]][0] for r in kept)
+    text_ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "group_no")
+    empty = text_ids.withColumn("doc_id", F.when(F.col("group_no") == 1, "").otherwise(F.col("doc_id")))
+    assert sorted(r["group_no"] for r in simhash.keep_one(empty).collect()) == list(range(len(groups)))
+
+
 def test_signatures_rule_out_no_similar_pair(spark):
     rng = random.Random(5)
     rows = []
