@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import dot
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, max_queries: int = 10_000) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, max_queries: int | None = None, block: int = 10_000) -> DataFrame:
     """(query, rank, id, cosine): the k nearest other vectors of each query, ties to the smaller id.
 
-    The query set is stated and bounded: over max_queries it raises. Its unit vectors are broadcast, and each task
-    keeps its k best a query before anything is shuffled (WindowGroupLimit).
+    Queries are dealt by key into blocks of some block rows. A block's unit vectors are broadcast, and each task keeps
+    its k best a query before anything is shuffled (WindowGroupLimit). Over a stated max_queries it raises.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
+    n = queries.count()
+    if max_queries is not None and n > max_queries:
         raise ValueError(f"more than {max_queries} queries")
+    blocks = max(1, -(-n // block))
     norm = F.sqrt(dot(F.col(vector), F.col(vector)))
     unit = F.transform(vector, lambda v: v.cast("double") / norm)
-    q = queries.select(F.col(key).alias("query"), unit.alias("_q"))
-    scored = vectors.select(F.col(key).alias("id"), unit.alias("_v")).join(F.broadcast(q), F.col("id") != F.col("query")).select("query", "id", dot(F.col("_q"), F.col("_v")).alias("cosine"))
+    asked = queries.select(F.col(key).alias("query"), unit.alias("_q"))
+    rows = vectors.select(F.col(key).alias("id"), unit.alias("_v"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("cosine", 9).desc(), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "id", "cosine")
+
+    def nearest(q: DataFrame) -> DataFrame:
+        scored = rows.join(F.broadcast(q), F.col("id") != F.col("query")).select("query", "id", dot(F.col("_q"), F.col("_v")).alias("cosine"))
+        return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "id", "cosine")
+
+    return reduce(DataFrame.unionByName, [nearest(asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) if blocks > 1 else asked) for i in range(blocks)])
 
 
 def vote(df: DataFrame, by: str, choice: str) -> DataFrame:

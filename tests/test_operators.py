@@ -208,6 +208,16 @@ def test_similarity(spark):
     assert similarity.vote(spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, c string"), "k", "c").orderBy("k").collect()[0]["c"] == "a"
 
 
+def test_cosine_topk_takes_any_number_of_queries(spark):
+    rng = random.Random(6)
+    v = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(40)], "i int, e array<double>")
+    whole, parts = (sorted(map(tuple, similarity.cosine_topk(v, v, "i", "e", 3, block=b).collect())) for b in (40, 7))
+    assert len(whole) == 120 and parts == whole
+    many = spark.range(10_001).select(F.col("id").cast("int").alias("i"), F.array(F.lit(1.0), F.col("id") % 7 + 0.5).alias("e"))
+    got = similarity.cosine_topk(many.filter("i < 2"), many, "i", "e", 1)
+    assert got.count() == got.select("query").distinct().count() == 10_001
+
+
 def test_projection(spark):
     seen, p = F.array(F.lit(1.0), F.lit(2.0)), F.array(*map(F.lit, (1.0, 2.0, 3.0)))
     assert one(spark, g.projection_error(seen, p, [[1, 0, 0], [0, 1, 1]])) == 3.0
