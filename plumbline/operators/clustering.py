@@ -2,40 +2,97 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _led(df: DataFrame, by: list[str], value: str, ordinal: str, order: tuple[str, str], lead: Callable[[], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """by, ordinal, value, group_no and anchor, by a fold over each key's rows in order.
+
+    Rows are sorted by one exchange and streamed in Arrow batches; what is kept of a key is its fold's state, so a key
+    of any length needs the memory of a batch. lead() makes a key's fold, from a run of values to groups and anchors.
+    """
+    rows = df.select(*by, F.col(ordinal).alias("_o"), F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    turn = Window.partitionBy(*by).orderBy(*order)
+    rows = rows.withColumn("_new", F.row_number().over(turn) == 1)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_v", "_new"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = None
+        for b in batches:
+            v, new = b.column("_v").to_numpy(), b.column("_new").to_numpy(zero_copy_only=False)
+            cuts = sorted({0, len(v), *np.flatnonzero(new).tolist()})
+            groups, anchors = np.empty(len(v), np.int32), np.empty(len(v))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                fold = lead() if new[i] else fold
+                groups[i:j], anchors[i:j] = fold(v[i:j])
+            keep = [*by, "_o", "_v"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(groups), pa.array(anchors)], [*keep, "group_no", "anchor"])
+
+    out = rows.select(*by, "_o", "_v", "_new").mapInArrow(work, f"{kinds}, _v double, group_no int, anchor double")
+    return out.select(*by, F.col("_o").alias(ordinal), F.col("_v").alias(value), "group_no", "anchor")
+
+
 def leader_clusters(df: DataFrame, by: list[str], value: str, ordinal: str, tol: float = 20.0) -> DataFrame:
     """Groups whose members lie less than tol above the group's first value, in order of (value, ordinal).
 
-    One fold over each sorted list, its state being the members' group numbers and the last anchor; an anchor never
-    moves, so this is not gap clustering. Returns by, ordinal, value, group_no (from 1) and anchor. A list is one
-    drawing view: it must fit a task's memory.
+    An anchor never moves, so this is not gap clustering. Returns by, ordinal, value, group_no (from 1) and anchor;
+    null values have no row.
     """
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col(ordinal).alias("o")))).alias("xs"))
-    start = F.struct(F.lit(0).alias("g"), F.lit(None).cast("double").alias("a"))
-    anchors = F.aggregate(
-        F.col("xs"),
-        F.array(start.alias("s")),
-        lambda acc, x: F.when(x["v"] - F.element_at(acc, -1)["a"] < tol, acc).otherwise(F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["g"] + 1).alias("g"), x["v"].alias("a"))))),
-    )
-    firsts = rows.select(*by, "xs", F.slice(anchors, 2, F.size("xs")).alias("anchors"))
-    # An anchor's group holds the sorted values from it to the next: one pass over both lists in the engine's join by bin.
-    members = firsts.select(*by, F.posexplode("anchors").alias("_p", "_a"), "xs", F.get("anchors", F.col("_p") + 1)["a"].alias("_next"))
-    member = F.explode(F.filter("xs", lambda x: (x["v"] >= F.col("_a.a")) & (F.col("_next").isNull() | (x["v"] < F.col("_next"))))).alias("x")
-    out = members.select(*by, F.col("_a.g").alias("group_no"), F.col("_a.a").alias("anchor"), member)
-    return out.select(*by, F.col("x.o").alias(ordinal), F.col("x.v").alias(value), "group_no", "anchor")
+
+    def lead() -> Callable:
+        state = [0, -np.inf]
+
+        def fold(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            groups, anchors, i = np.empty(len(v), np.int32), np.empty(len(v)), 0
+            while i < len(v):
+                if v[i] - state[1] >= tol:
+                    state[:] = state[0] + 1, v[i]
+                # The first place out of reach; the test itself is the difference, so the search's end is put right.
+                j = max(i + 1, int(np.searchsorted(v, state[1] + tol)))
+                while j < len(v) and v[j] - state[1] < tol:
+                    j += 1
+                while v[j - 1] - state[1] >= tol:
+                    j -= 1
+                groups[i:j], anchors[i:j] = state
+                i = j
+            return groups, anchors
+
+        return fold
+
+    return _led(df, by, value, ordinal, ("_v", "_o"), lead)
 
 
 def leader_clusters_as_given(df: DataFrame, by: list[str], value: str, ordinal: str, tol: float = 20.0) -> DataFrame:
-    """As leader_clusters, but values come in order of ordinal and join the earliest group in reach of its anchor."""
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(value).cast("double").alias("v")))).alias("xs"))
-    anchors = F.aggregate(F.col("xs"), F.expr("cast(array() as array<double>)"), lambda acc, x: F.when(F.exists(acc, lambda a: F.abs(a - x["v"]) < tol), acc).otherwise(F.concat(acc, F.array(x["v"]))))
-    each = rows.select(*by, anchors.alias("a"), F.explode("xs").alias("x"))
-    near = F.transform("a", lambda a, i: F.when(F.abs(a - F.col("x.v")) < tol, i))
-    at = F.array_min(near)
-    return each.select(*by, F.col("x.o").alias(ordinal), F.col("x.v").alias(value), (at + 1).alias("group_no"), F.get("a", at).alias("anchor"))
+    """As leader_clusters, but values come in order of ordinal and join the earliest group in reach of its anchor.
+
+    A key's anchors lie tol or more apart, so two at most are in reach of a value; they are kept sorted.
+    """
+
+    def lead() -> Callable:
+        places: list[float] = []
+        numbers: list[int] = []
+
+        def fold(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            groups, anchors = np.empty(len(v), np.int32), np.empty(len(v))
+            for k, x in enumerate(v.tolist()):
+                at = bisect_left(places, x)
+                near = [(numbers[i], places[i]) for i in range(max(0, at - 2), min(len(places), at + 2)) if abs(places[i] - x) < tol]
+                if not near:
+                    places.insert(at, x)
+                    numbers.insert(at, len(numbers) + 1)
+                    near = [(numbers[at], x)]
+                groups[k], anchors[k] = min(near)
+            return groups, anchors
+
+        return fold
+
+    return _led(df, by, value, ordinal, ("_o", "_v"), lead)
 
 
 def row_bounded_groups(df: DataFrame, group: str, row: str, max_rows: int = 2) -> DataFrame:
@@ -65,10 +122,29 @@ def gaps(df: DataFrame, by: list[str], value: str, ordinal: str, limit: float) -
     return df.withColumn("gap", gap).withColumn("wide", F.coalesce(F.col("gap") > limit, F.lit(False)))
 
 
-def column_links(points: DataFrame, key: str, x: str, y: str, x_tol: float, y_tol: float) -> DataFrame:
-    """Pairs (a, b) aligned within x_tol and nearer than y_tol in y with no third aligned point between them in y."""
-    at = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.floor(F.col(x) / x_tol).alias("_bin"))
-    to = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), F.explode(F.sequence(F.floor(F.col(x) / x_tol) - 1, F.floor(F.col(x) / x_tol) + 1)).alias("_bin"))
-    aligned = at.join(to, "_bin").filter((F.abs(F.col("ax") - F.col("bx")) < x_tol) & ((F.col("by") > F.col("ay")) | ((F.col("by") == F.col("ay")) & (F.col("b") > F.col("a")))))
-    nearest = aligned.groupBy("a", "ay").agg(F.min(F.struct("by", "b")).alias("n"))
-    return nearest.filter(F.col("n.by") - F.col("ay") < y_tol).select("a", F.col("n.b").alias("b"), (F.col("n.by") - F.col("ay")).alias("gap"))
+def column_links(points: DataFrame, key: str, x: str, y: str, x_tol: float, y_tol: float, between: str = "y") -> DataFrame:
+    """(a, b, gap): pairs aligned within x_tol and nearer than y_tol in y, b above a, with no other point between them.
+
+    The reference says "no other circle between them in X". Read literally (between='x') a third point whose x lies
+    strictly between theirs parts them, wherever it is in y, and small jitter then breaks a column; so the default,
+    between='y', takes the next aligned point above and parts a pair by an aligned third one between them in y.
+    """
+    bins = [F.floor(F.col(x) / x_tol).alias("_bx"), F.floor(F.col(y) / y_tol).alias("_by")]
+    at = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), *bins)
+    # A link's upper end lies in the lower one's bin of y or in the next, and in a bin of x beside it.
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (0, -1)])
+    to = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), *bins).withColumn("_s", F.explode(steps))
+    to = to.withColumns({"_bx": F.col("_bx") + F.col("_s.i"), "_by": F.col("_by") + F.col("_s.j")}).drop("_s")
+    above = (F.col("by") > F.col("ay")) | ((F.col("by") == F.col("ay")) & (F.col("b") > F.col("a")))
+    aligned = at.join(to, ["_bx", "_by"]).filter((F.abs(F.col("ax") - F.col("bx")) < x_tol) & above & (F.col("by") - F.col("ay") < y_tol))
+    gap = (F.col("by") - F.col("ay")).alias("gap")
+    if between == "y":
+        return aligned.groupBy("a", "ay").agg(F.min(F.struct("by", "b")).alias("n")).select("a", F.col("n.b").alias("b"), (F.col("n.by") - F.col("ay")).alias("gap"))
+    if between != "x":
+        raise ValueError("between is y or x")
+    # The next greater x, as far as x_tol reaches: within the bin, or the least of the bin after.
+    values = points.select(F.col(x).alias("_x")).filter("_x is not null").distinct().withColumn("_b", F.floor(F.col("_x") / x_tol))
+    least = values.groupBy("_b").agg(F.min("_x").alias("_least")).withColumn("_b", F.col("_b") - 1)
+    following = values.withColumn("_n", F.lead("_x").over(Window.partitionBy("_b").orderBy("_x"))).join(least, "_b", "left").select("_x", F.coalesce("_n", "_least").alias("_n"))
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    return aligned.withColumns({"_x": low, "_high": high}).join(following, "_x").filter((F.col("_high") == F.col("_x")) | (F.col("_high") == F.col("_n"))).select("a", "b", gap)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.storage import saved
+
 
 def triples(df: DataFrame, subject: str, predicates: dict[str, str]) -> DataFrame:
     """(s, p, o) for each row and named column; predicates maps column to predicate. Null values give no triple."""
@@ -31,15 +33,21 @@ def lookup(n: DataFrame, label: str, **props: str) -> DataFrame:
     return out
 
 
-def reachable(links: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
-    """(start, node, hops): the fewest hops, of max_hops at most, over the open links (src, dst) from each start.
+def reachable(links: DataFrame, starts: DataFrame, max_hops: int, is_open: str | None = None) -> DataFrame:
+    """(start, node, hops): the fewest hops, of max_hops at most, over the links (src, dst) from each start.
 
-    Breadth first: each round joins the newest frontier only and drops what was reached before.
+    is_open: a boolean column; links where it isn't true, such as closed doors, lead nowhere. Breadth first: each round
+    joins the newest nodes only and drops what was reached before. Rounds are saved, so the plan of a round doesn't
+    hold those before it, and the search ends early once nothing new is found.
     """
-    seen = starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("hops")).distinct()
-    front = seen
+    if is_open is not None:
+        links = links.filter(F.col(is_open))
+    links = links.select("src", "dst").distinct()
+    seen = front = saved(starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("hops")).filter("start is not null").distinct())
     for hop in range(1, max_hops + 1):
         step = front.join(links, front["node"] == links["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        front = saved(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen

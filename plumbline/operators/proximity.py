@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.geometry import line_distance
+
 
 def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, tol: float, how: str = "inner", inclusive: bool = False) -> DataFrame:
     """Rows whose values lie less than tol apart (or tol at most). Columns of the two sides must differ by name.
@@ -20,22 +24,154 @@ def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, to
     return joined.drop("_bin", "_bin2")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_key: str, left_on: str, right_on: str, ordinal: str, tol: float, keep: list[str]) -> DataFrame:
-    """For each left key the nearest right row under tol, ties to the lowest ordinal; null where none is in reach.
+def _by_value(right: DataFrame, by: list[str], on: str, ordinal: str, keep: list[str]) -> DataFrame:
+    """(by, _v, _row): of the right rows that share a value, the one with the lowest ordinal."""
+    row = F.struct(F.col(ordinal).alias("o"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    known = right.withColumn("_v", F.col(on).cast("double")).filter("_v is not null and not isnan(_v)")
+    return known.groupBy(*by, "_v").agg(F.min_by(row, F.col(ordinal)).alias("_row"))
+
+
+def nearest_values(asked: DataFrame, right: DataFrame, by: list[str], right_on: str, ordinal: str, tol: float, keep: list[str]) -> DataFrame:
+    """(by, _v, keep): for each distinct asked value _v the nearest right row under tol, if there is one.
 
-    min_by folds partly before the shuffle, so a crowded bin sends one row a key and task.
+    An as-of lookup: values and questions are sorted together within bins of width tol, each bin also holding the last
+    value of the bin before and the first of the bin after. One pass up and one down give the neighbours on either
+    side, so the work is that of two sorts however dense the values lie; no pairs are made.
     """
-    found = band_join(left.select(left_key, left_on), right, left_on, right_on, tol)
-    order = F.struct(F.abs(F.col(left_on) - F.col(right_on)), F.col(ordinal))
-    best = found.groupBy(left_key).agg(*[F.min_by(F.col(c), order).alias(c) for c in keep])
-    return left.join(best, left_key, "left")
+    bin_ = F.floor(F.col("_v") / tol)
+    stored = _by_value(right, by, right_on, ordinal, keep).withColumn("_bin", bin_).withColumn("_hit", F.struct("_v", "_row"))
+    ends = stored.groupBy(*by, "_bin").agg(F.min_by("_hit", "_v").alias("low"), F.max_by("_hit", "_v").alias("high"))
+    ends = ends.select(*by, F.explode(F.array(F.struct((F.col("_bin") + 1).alias("_bin"), F.col("high").alias("_hit")), F.struct((F.col("_bin") - 1).alias("_bin"), F.col("low").alias("_hit")))).alias("e"))
+    columns = [*by, "_bin", "_v", "_hit"]
+    points = stored.select(*columns).unionByName(ends.select(*by, "e._bin", F.col("e._hit._v").alias("_v"), "e._hit"))
+    questions = asked.filter("_v is not null and not isnan(_v)").select(*by, "_v").distinct().withColumn("_bin", bin_)
+    both = questions.withColumn("_asks", F.lit(True)).unionByName(points.withColumn("_asks", F.lit(False)), allowMissingColumns=True)
+    beside = Window.partitionBy(*by, "_bin")
+    # Values equal to the one asked about are peers, and so within both frames.
+    up, down = (beside.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("_v").asc(), F.col("_v").desc()))
+    found = both.withColumn("_a", F.last("_hit", ignorenulls=True).over(up)).withColumn("_b", F.last("_hit", ignorenulls=True).over(down)).filter("_asks")
+    da, db = F.col("_v") - F.col("_a._v"), F.col("_b._v") - F.col("_v")
+    first = db.isNull() | (da < db) | ((da == db) & (F.col("_a._row.o") <= F.col("_b._row.o")))
+    best = found.withColumn("_hit", F.when(first & da.isNotNull(), F.col("_a")).otherwise(F.col("_b"))).filter(F.abs(F.col("_hit._v") - F.col("_v")) < tol)
+    return best.select(*by, "_v", *[F.col(f"_hit._row.k{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def nearest(left: DataFrame, right: DataFrame, left_key: str, left_on: str, right_on: str, ordinal: str, tol: float, keep: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """left, and keep of the nearest right row under tol (of equal by columns), ties to the lowest ordinal; null where
+    none is in reach. Equal left values are asked about once."""
+    asked = left.select(*by, F.col(left_on).cast("double").alias("_v"))
+    best = nearest_values(asked, right, list(by), right_on, ordinal, tol, keep)
+    return left.withColumn("_v", F.col(left_on).cast("double")).join(best, [*by, "_v"], "left").select(*left.columns, *keep)
 
 
 def first_match(left: DataFrame, right: DataFrame, left_key: str, left_on: str, right_on: str, ordinal: str, tol: float, keep: list[str]) -> DataFrame:
-    """As nearest, but the match in reach with the lowest ordinal wins, however far."""
-    found = band_join(left.select(left_key, left_on), right, left_on, right_on, tol)
-    best = found.groupBy(left_key).agg(*[F.min_by(F.col(c), F.col(ordinal)).alias(c) for c in keep])
-    return left.join(best, left_key, "left")
+    """As nearest, but the match in reach with the lowest ordinal wins, however far.
+
+    Equal values fold to one on both sides first, so pairs are those of distinct values in reach of each other.
+    """
+    asked = left.select(F.col(left_on).cast("double").alias("_x")).distinct()
+    found = band_join(asked, _by_value(right, [], right_on, ordinal, keep), "_x", "_v", tol)
+    best = found.groupBy("_x").agg(F.min_by("_row", F.col("_row.o")).alias("_row")).select("_x", *[F.col(f"_row.k{i}").alias(c) for i, c in enumerate(keep)])
+    return left.withColumn("_x", F.col(left_on).cast("double")).join(best, "_x", "left").select(*left.columns, *keep)
+
+
+def snap_dimensions(dimensions: DataFrame, ends: tuple[str, str], rows: DataFrame, row: str, on: str, ordinal: str, tol: float, boundary: DataFrame | None = None) -> DataFrame:
+    """dimensions with row_a and row_b: the row nearest to either end within tol, or null.
+
+    boundary: further rows of the same columns, the drawing's edges; on equal distance a row comes before an edge.
+    Both ends are looked up together.
+    """
+    lines = rows.select(F.struct(F.lit(0).alias("k"), F.col(ordinal).alias("o")).alias("_o"), F.col(row).alias("_r"), F.col(on).cast("double").alias("_y"))
+    if boundary is not None:
+        lines = lines.unionByName(boundary.select(F.struct(F.lit(1).alias("k"), F.col(ordinal).alias("o")).alias("_o"), F.col(row).alias("_r"), F.col(on).cast("double").alias("_y")))
+    asked = dimensions.select(F.explode(F.array(*[F.col(e).cast("double") for e in ends])).alias("_v"))
+    found = nearest_values(asked, lines, [], "_y", "_o", tol, ["_r"])
+    out = dimensions
+    for end, name in zip(ends, ("row_a", "row_b"), strict=True):
+        out = out.withColumn("_v", F.col(end).cast("double")).join(found.withColumnRenamed("_r", name), "_v", "left").drop("_v")
+    return out.select(*dimensions.columns, "row_a", "row_b")
+
+
+def _cells(x: Column, y: Column, side: float, around: bool) -> Column:
+    """The cell of a point, or it and the eight around it, as an array of struct(cx, cy)."""
+    steps = (-1, 0, 1) if around else (0,)
+    return F.array(*[F.struct((F.floor(x / side) + i).alias("cx"), (F.floor(y / side) + j).alias("cy")) for i in steps for j in steps])
+
+
+def segment_matches(points: DataFrame, key: str, x: str, y: str, lines: DataFrame, line: str, ordinal: str, tol: float) -> DataFrame:
+    """(key, line, ordinal, distance) of points less than tol from a segment (x1, y1, x2, y2 of lines).
+
+    A segment enters the cells, of side 2 tol, that samples along it every tol or less fall in; a point asks its own
+    and the eight around it, which hold every sample that is 1.5 tol away or nearer.
+    """
+    side = 2 * tol
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    steps = F.greatest(F.lit(1), F.ceil(length / tol)).cast("int")
+    at = F.transform(F.sequence(F.lit(0), steps), lambda i: F.struct(F.floor((F.col("x1") + (F.col("x2") - F.col("x1")) * i / steps) / side).alias("cx"), F.floor((F.col("y1") + (F.col("y2") - F.col("y1")) * i / steps) / side).alias("cy")))
+    known = lines.select(F.col(line).alias("_line"), F.col(ordinal).alias("_ordinal"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]).dropna(subset=["x1", "y1", "x2", "y2"])
+    spread = known.withColumn("_cell", F.explode(F.array_distinct(at)))
+    asks = points.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).dropna(subset=["_px", "_py"])
+    asks = asks.withColumn("_cell", F.explode(_cells(F.col("_px"), F.col("_py"), side, True)))
+    distance = line_distance(F.col("_px"), F.col("_py"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    met = asks.join(spread, "_cell").withColumn("distance", distance).filter(F.col("distance") < tol)
+    # A point and a segment may meet in several cells.
+    out = met.groupBy("_key", "_line").agg(F.min("_ordinal").alias("_ordinal"), F.min("distance").alias("distance"))
+    return out.select(F.col("_key").alias(key), F.col("_line").alias(line), F.col("_ordinal").alias(ordinal), "distance")
+
+
+def clear_of(points: DataFrame, key: str, circles: DataFrame, tol: float) -> DataFrame:
+    """The points (key, x, y) that lie tol or more from every circle's centre (x, y), by cells of side tol."""
+    spread = circles.select(F.col("x").cast("double").alias("_cx"), F.col("y").cast("double").alias("_cy")).dropna().withColumn("_cell", F.explode(_cells(F.col("_cx"), F.col("_cy"), tol, True)))
+    asks = points.withColumn("_own", _cells(F.col("x").cast("double"), F.col("y").cast("double"), tol, False)[0])
+    near = F.hypot(F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")) < tol
+    return asks.join(spread, (F.col("_own") == F.col("_cell")) & near, "left_anti").drop("_own")
+
+
+def line_reference(points: DataFrame, key: str, x: str, y: str, lines: DataFrame, line: str, ordinal: str, tol: float = 20.0, circles: DataFrame | None = None, circle_tol: float = 30.0) -> DataFrame:
+    """(key, line): the first line, by ordinal, less than tol from each point that has one.
+
+    circles (x, y): only points that lie circle_tol or more from every one of them, which makes the line a datum.
+    """
+    found = segment_matches(points, key, x, y, lines, line, ordinal, tol).groupBy(key).agg(F.min_by(line, ordinal).alias(line))
+    if circles is not None:
+        free = clear_of(points.select(key, F.col(x).alias("x"), F.col(y).alias("y")), key, circles, circle_tol)
+        found = found.join(free.select(key).distinct(), key, "left_semi")
+    return found
+
+
+def align_sources(sources: dict[str, DataFrame], key: str, x: str, y: str, cell: float) -> DataFrame:
+    """(cx, cy, sources, n, and the least key of each source): what different sources say of one place.
+
+    Rows of all sources fall into square cells; one row a cell. Counts and minima fold before the shuffle.
+    """
+    rows = [df.select(F.lit(name).alias("_source"), F.col(key).alias("_key"), F.floor(F.col(x) / cell).alias("cx"), F.floor(F.col(y) / cell).alias("cy")) for name, df in sources.items()]
+    every = reduce(DataFrame.unionByName, rows).filter("cx is not null and cy is not null")
+    firsts = [F.min(F.when(F.col("_source") == name, F.col("_key"))).alias(name) for name in sources]
+    out = every.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), *firsts)
+    present = sum((F.col(name).isNotNull().cast("int") for name in sources), F.lit(0))
+    return out.select("cx", "cy", present.alias("sources"), "n", *sources)
+
+
+def surface(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """targets (x, y) with elevation and n: the mean of all points (x, y, elevation) within radius, weighted by
+    1 / distance squared; where points lie on the target itself, their plain mean. Null without a point in reach.
+
+    The reference names the goal, from contours to a surface, and no method; this is ours. Sums fold by target.
+    """
+    at = points.select(F.col("x").cast("double").alias("_px"), F.col("y").cast("double").alias("_py"), F.col("elevation").cast("double").alias("_e")).dropna().withColumn("_cell", F.explode(_cells(F.col("_px"), F.col("_py"), radius, True)))
+    asks = targets.select("x", "y").distinct()
+    own = asks.withColumn("_cell", _cells(F.col("x"), F.col("y"), radius, False)[0])
+    d = F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py"))
+    met = own.join(at, "_cell").withColumn("_d", d).filter(F.col("_d") <= radius)
+    far = F.when(F.col("_d") > 0, 1 / (F.col("_d") * F.col("_d")))
+    sums = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("_d") == 0, F.col("_e"))).alias("_on"), F.sum(far * F.col("_e")).alias("_s"), F.sum(far).alias("_w"))
+    found = sums.select("x", "y", F.coalesce("_on", F.col("_s") / F.col("_w")).alias("elevation"), "n")
+    return asks.join(found, ["x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def contour_points(contours: DataFrame) -> DataFrame:
+    """(x, y, elevation): a row for each vertex of contours (points array<array<double>>, elevation)."""
+    return contours.select(F.explode("points").alias("p"), "elevation").select(F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), "elevation")
 
 
 def far_from_all(left: DataFrame, right: DataFrame, left_on: str, right_on: str, tol: float) -> DataFrame:

@@ -15,7 +15,7 @@ from plumbline.sources.drawing import read_entities, transform, typed
 
 def snap_drawings(spark: SparkSession, path: str, columns: Sequence[float], rows: Sequence[float], tol: float = 2.0) -> DataFrame:
     """Reads drawing files and snaps them to a solved grid."""
-    return transform(typed(read_entities(spark, path)), columns, rows, tol)
+    return typed(transform(read_entities(spark, path), columns, rows, tol))
 
 
 def relations(dimensions: DataFrame, circles: DataFrame, tol: float = 30.0) -> tuple[DataFrame, DataFrame]:

@@ -1,25 +1,43 @@
-"""Drawing files: JSON arrays of entities in, JSON and OBJ text out."""
+"""Drawing files: JSON arrays of entities in, JSON and OBJ text out.
+
+An entity stays a variant from reading to writing: snapping replaces the coordinates it moves and nothing else, so
+handles, layers, radii, texts and fields nobody knows come out as they went in.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.geometry import chebyshev, snap_point
+from plumbline.functions.geometry import chebyshev, snap_value
 
 # The point fields and the point-list fields of an entity's attributes.
 POINTS = ("start", "end", "center", "insert_point", "location", "defpoint", "defpoint2", "defpoint3", "defpoint4", "defpoint5", "text_midpoint")
 POINT_LISTS = ("vertices", "control_points")
 
+OBJECT, LIST = "map<string,variant>", "array<variant>"
+
+
+def parse_entities(df: DataFrame, value: str) -> DataFrame:
+    """df's other columns and, for each element of the JSON array in value: ordinal, entity (variant), type, handle, attributes."""
+    rows = df.withColumn("_list", F.try_variant_get(F.parse_json(value), "$", LIST))
+    rows = rows.select(*[c for c in df.columns if c != value], F.posexplode("_list").alias("ordinal", "entity"))
+    return _views(rows)
+
+
+def _views(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
+        "type": F.try_variant_get("entity", "$.type", "string"),
+        "handle": F.try_variant_get("entity", "$.handle", "string"),
+        "attributes": F.try_variant_get("entity", "$.attributes", "variant"),
+    })
+
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, type, attributes variant): one row an element of each file's JSON array, in its order."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.parse_json("value").alias("v"))
-    files.createOrReplaceTempView("_drawing_files")
-    rows = spark.sql("SELECT file, e.pos AS ordinal, e.value AS v FROM _drawing_files, LATERAL variant_explode(v) AS e")
-    return rows.select("file", "ordinal", F.try_variant_get("v", "$.type", "string").alias("type"), F.try_variant_get("v", "$.attributes", "variant").alias("attributes"))
+    """(file, ordinal, entity, type, handle, attributes): one row an element of each file's JSON array, in its order."""
+    return parse_entities(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value"), "value")
 
 
 def typed(entities: DataFrame) -> DataFrame:
@@ -30,23 +48,49 @@ def typed(entities: DataFrame) -> DataFrame:
     return entities.withColumns({**point, **lists, "inserts": inserts, "measurement": F.try_variant_get("attributes", "$.measurement", "double")})
 
 
-def transform(entities: DataFrame, columns: Sequence[float], rows: Sequence[float], tol: float = 2.0) -> DataFrame:
-    """Snaps every point of typed entities to the grid, then restates the measurement of each DIMENSION.
+def transform(entities: DataFrame, columns: Sequence, rows: Sequence, tol: float = 2.0, snap: Callable[[Column, Sequence, float], Column] = snap_value) -> DataFrame:
+    """Snaps every point of entities to the grid, then restates the measurement of each DIMENSION.
 
-    Narrow: no shuffle. Fields that are no points pass through; a DIMENSION without both points keeps its value.
+    Narrow: no shuffle. columns and rows are what snap takes: solved values, or (raw, solved) pairs for snap_raw. What
+    is no list of two or more stays as it is, as does a coordinate that no value is near; a DIMENSION without both
+    points keeps its measurement.
     """
-    def snap(p: Column) -> Column:
-        return snap_point(p, columns, rows, tol)
 
-    out = entities.withColumns({c: snap(F.col(c)) for c in POINTS} | {c: F.transform(c, snap) for c in POINT_LISTS} | {"inserts": F.transform("inserts", lambda s: F.struct(snap(s["insert"]).alias("insert")))})
-    size = chebyshev(F.get("defpoint3", 0) - F.get("defpoint2", 0), F.get("defpoint3", 1) - F.get("defpoint2", 1))
-    return out.withColumn("measurement", F.when(F.col("type") == "DIMENSION", F.coalesce(size, "measurement")).otherwise(F.col("measurement")))
+    def point(p: Column) -> Column:
+        parts = F.try_variant_get(p, "$", LIST)
+
+        def moved(v: Column, grid: Sequence) -> Column:
+            x = F.try_variant_get(v, "$", "double")
+            to = snap(x, grid, tol)
+            return F.when(to != x, to.cast("variant")).otherwise(v)
+
+        each = F.transform(parts, lambda v, i: F.when(i == 0, moved(v, columns)).when(i == 1, moved(v, rows)).otherwise(v))
+        return F.when(F.size(parts) >= 2, F.to_variant_object(each)).otherwise(p)
+
+    def points(ps: Column) -> Column:
+        return F.coalesce(F.to_variant_object(F.transform(F.try_variant_get(ps, "$", LIST), point)), ps)
+
+    def inserted(a: Column) -> Column:
+        fields = F.try_variant_get(a, "$", OBJECT)
+        return F.coalesce(F.to_variant_object(F.transform_values(fields, lambda k, v: F.when(k == "insert", point(v)).otherwise(v))), a)
+
+    def attribute(k: Column, v: Column) -> Column:
+        inner = F.coalesce(F.to_variant_object(F.transform(F.try_variant_get(v, "$", LIST), inserted)), v)
+        return F.when(k.isin(*POINTS), point(v)).when(k.isin(*POINT_LISTS), points(v)).when((k == "attributes") & (F.col("type") == "INSERT"), inner).otherwise(v)
+
+    fields = F.transform_values(F.try_variant_get("attributes", "$", OBJECT), attribute)
+    out = entities.withColumn("_fields", fields)
+    a, b = (F.try_variant_get(F.try_element_at("_fields", F.lit(p)), "$", "array<double>") for p in ("defpoint2", "defpoint3"))
+    size = F.when(F.col("type") == "DIMENSION", chebyshev(F.get(b, 0) - F.get(a, 0), F.get(b, 1) - F.get(a, 1)))
+    stated = F.map_concat(F.map_filter("_fields", lambda k, v: k != "measurement"), F.create_map(F.lit("measurement"), size.cast("variant")))
+    out = out.withColumn("_fields", F.when(size.isNotNull(), stated).otherwise(F.col("_fields")))
+    whole = F.transform_values(F.try_variant_get("entity", "$", OBJECT), lambda k, v: F.when((k == "attributes") & F.col("_fields").isNotNull(), F.to_variant_object("_fields")).otherwise(v))
+    return _views(out.withColumn("entity", F.coalesce(F.to_variant_object(whole), "entity")).drop("_fields"))
 
 
 def entity_json(entities: DataFrame) -> DataFrame:
-    """(file, ordinal, value): each typed entity as one JSON object; absent fields are left out."""
-    body = F.struct(*POINTS, *POINT_LISTS, F.col("inserts").alias("attributes"), "measurement")
-    return entities.select("file", "ordinal", F.to_json(F.struct("type", body.alias("attributes"))).alias("value"))
+    """(file, ordinal, value): each entity as one JSON object, with all its fields."""
+    return entities.select("file", "ordinal", F.to_json("entity").alias("value"))
 
 
 def write_json_lines(entities: DataFrame, path: str) -> None:
@@ -54,6 +98,18 @@ def write_json_lines(entities: DataFrame, path: str) -> None:
     entity_json(entities).select("value").write.text(path)
 
 
+def write_json_arrays(entities: DataFrame, path: str) -> int:
+    """One JSON array for each drawing file, in a folder file=<name>; the number of entities.
+
+    A file is one ordered text, so one task writes it, a line an entity; its rows are sorted and streamed, not held.
+    """
+    seen, order = Observation(), Window.partitionBy("file").orderBy("ordinal")
+    lines = entity_json(entities.observe(seen, F.count(F.lit(1)).alias("n"))).withColumns({"_at": F.row_number().over(order), "_next": F.lead("ordinal").over(order)})
+    value = F.concat(F.when(F.col("_at") == 1, "[").otherwise(""), "value", F.when(F.col("_next").isNull(), "]").otherwise(","))
+    lines.select("file", value.alias("value")).write.partitionBy("file").text(path)
+    return seen.get["n"]
+
+
 def vertex_line(x: Column, y: Column, z: Column) -> Column:
     return F.format_string("v %.6f %.6f %.6f", x, y, z)
 

@@ -184,8 +184,9 @@ def test_relations_of_a_view(spark):
     dims = spark.createDataFrame([("402", 400.0, 11.0, 0.0, 1.0, 400.0), ("3F5", 0.0, 600.0, 300.0, 205.0, 300.0), ("v", 0.0, 0.0, 0.0, 50.0, 50.0)], "handle string, x2 double, y2 double, x3 double, y3 double, value double")
     dims = dims.withColumn("y2", F.when(F.col("handle") == "3F5", 400.0).otherwise(F.col("y2")))
     got = {r["handle"]: r for r in constraints.resolve_dimensions(dims, circles, line_x=spark.createDataFrame([(0.0,)], "x double")).collect()}
-    assert set(got) == {"402", "3F5"}
-    assert (got["402"]["type"], got["402"]["left_circle"], got["402"]["right_circle"]) == ("between", 21, 8)
+    assert set(got) == {"402", "3F5", "v"}
+    assert (got["402"]["axis"], got["402"]["type"], got["402"]["left_circle"], got["402"]["right_circle"]) == ("x", "between_circles", 21, 8)
+    assert (got["v"]["axis"], got["v"]["type"], got["v"]["row_ref_circle"], got["v"]["reference"]) == ("y", "datum", 21, "top_boundary")
     assert (got["3F5"]["type"], got["3F5"]["row_ref_circle"], got["3F5"]["reference"]) == ("datum", 24, "left_boundary")
     _, rows = flows.relations(dims, circles)
     assert {r["circle_id"]: r["group_no"] for r in rows.collect()} == {21: 1, 8: 1, 24: 2}
@@ -265,3 +266,96 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert {r["v"] for r in spark.table("snapped").collect()} == {0.5, 2.0}
     assert [r["k"] for r in spark.table("conflict").collect()] == ["a"]
+
+
+LOSSLESS = """[
+ {"type": "CIRCLE", "handle": "1F", "layer": "L1", "color": 7, "attributes": {"center": [301, 1, 7], "radius": 3, "text": "393", "unknown": {"a": [1, null]}}},
+ {"type": "INSERT", "handle": "2A", "attributes": {"insert_point": [1, 1], "attributes": [{"insert": [299, 301], "tag": "T", "h": 2.5}, {"tag": "no point"}]}},
+ {"type": "TEXT", "attributes": {"attributes": [{"insert": [299, 301]}], "start": "none", "end": [5]}},
+ {"type": "DIMENSION", "attributes": {"defpoint2": [1, 0], "defpoint3": [299, 2], "dimtype": 32}},
+ {"type": "NOTHING", "k": "ü"}, 5
+]"""
+
+
+def test_what_is_no_point_survives_the_round_trip(spark, tmp_path):
+    import json
+
+    for name in ("top", "left"):
+        (tmp_path / f"{name}.json").write_text(LOSSLESS)
+    entities = drawing.read_entities(spark, str(tmp_path / "*.json"))
+    assert drawing.write_json_arrays(drawing.transform(entities, [0, 300], [0, 300]), str(tmp_path / "out")) == 12
+    expected = json.loads(LOSSLESS)
+    expected[0]["attributes"]["center"] = [300, 0, 7]
+    expected[1]["attributes"] |= {"insert_point": [0, 0]}
+    expected[1]["attributes"]["attributes"][0]["insert"] = [300, 300]
+    expected[3]["attributes"] |= {"defpoint2": [0, 0], "defpoint3": [300, 0], "measurement": 300}
+    for name in ("top", "left"):
+        (part,) = (tmp_path / "out" / f"file={name}.json").glob("part-*")
+        assert json.loads(part.read_text()) == expected
+    raw = drawing.transform(entities, [(301.0, 950.0)], [], snap=g.snap_raw)
+    assert drawing.typed(raw).filter("handle = '1F'").first()["center"] == [950.0, 1.0, 7.0]
+
+
+def test_snap_dimensions_to_rows_and_boundary(spark):
+    dims = spark.createDataFrame([("overall", 0.5, 4200.0), ("inner", 1000.0, 2000.0), ("free", 500.0, None)], "d string, a double, b double")
+    rows = spark.createDataFrame([("Row_1", 1001.0, 1), ("Row_2", 1999.0, 2), ("edge row", 4201.0, 3)], "l string, y double, o int")
+    edges = spark.createDataFrame([("BOUNDARY_0", 0.0, 1), ("BOUNDARY_4200", 4199.0, 2)], "l string, y double, o int")
+    got = {r["d"]: (r["row_a"], r["row_b"]) for r in proximity.snap_dimensions(dims, ("a", "b"), rows, "l", "y", "o", 5.0, edges).collect()}
+    assert got == {"overall": ("BOUNDARY_0", "edge row"), "inner": ("Row_1", "Row_2"), "free": (None, None)}
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(-40, 40)), max_size=20), st.lists(st.tuples(st.integers(0, 1), st.integers(-40, 40)), max_size=20))
+def test_nearest_is_the_least_of_all_pairs(spark, left, right):
+    a = spark.createDataFrame([(i, g_, v / 2) for i, (g_, v) in enumerate(left)], "i int, g int, x double")
+    b = spark.createDataFrame([(j, g_, v / 2) for j, (g_, v) in enumerate(right)], "j int, g int, y double")
+    got = {r["i"]: r["j"] for r in proximity.nearest(a, b, "i", "x", "y", "j", 4.0, ["j"], ("g",)).collect()}
+    assert got == {i: min(((abs(x - y), j) for j, (k, y) in enumerate(right) if k == g_ and abs(x - y) < 8), default=(0, None))[1] for i, (g_, x) in enumerate(left)}
+
+
+def test_line_reference_takes_the_first_line_and_skips_points_near_circles(spark):
+    points = spark.createDataFrame([(1, 5.0, 4.0), (2, 50.0, 19.0), (3, 200.0, 0.0), (4, -14.9, 0.0)], "k int, x double, y double")
+    lines = spark.createDataFrame([("far", 0, 0.0, 15.0, 100.0, 15.0), ("near", 1, 0.0, 0.0, 100.0, 0.0)], "l string, o int, x1 double, y1 double, x2 double, y2 double")
+    found = lambda c: {r["k"]: r["l"] for r in proximity.line_reference(points, "k", "x", "y", lines, "l", "o", 15.0, c).collect()}
+    assert found(None) == {1: "far", 2: "far", 4: "near"}
+    assert found(spark.createDataFrame([(5.0, 10.0)], "x double, y double")) == {2: "far"}
+
+
+def test_offsets_of_a_tree_with_a_conflict(spark):
+    e = spark.createDataFrame([("a", "b", 300.0), ("c", "b", 100.0), ("c", "d", 50.0), ("a", "d", 260.0), ("y", "z", 1.0)], "src string, dst string, value double")
+    x = constraints.solve_offsets(e, spark.createDataFrame([("a", 10.0)], "node string, x double"))
+    assert {r["node"]: (r["x"], r["hops"]) for r in x.collect()} == {"a": (10.0, 0), "b": (310.0, 1), "d": (270.0, 1), "c": (210.0, 2)}
+    assert [(r["src"], r["dst"], r["actual"]) for r in constraints.offset_conflicts(e, x).collect()] == [("c", "d", 60.0)]
+    grid = constraints.solve_grid(spark.createDataFrame([("0", 0.0), ("B", 925.637), ("q", 5.0)], "label string, raw double"), spark.createDataFrame([("0", "B", 300.0)], "src string, dst string, value double"))
+    assert {r["label"]: r["solved"] for r in grid.collect()} == {"0": 0.0, "B": 300.0, "q": None}
+
+
+def test_views_of_a_hole(spark):
+    views = {"top": spark.createDataFrame([(1, 12.34, 5.67), (2, 12.4, 5.7), (3, 1.0, 1.0)], "h int, x double, y double"), "front": spark.createDataFrame([(1, 12.34, 3.21), (2, 13.0, 3.3)], "h int, x double, z double")}
+    assert {r["h"]: (r["x"], r["y"], r["z"]) for r in constraints.hole_coordinates(views, "h", 0.1).collect()} == {1: (12.34, 5.67, 3.21), 2: (12.4, 5.7, 3.3)}
+    assert {r["h"]: (r["views"], r["consistent"]) for r in constraints.reconcile_views(views, "h", 0.1).collect()} == {1: (2, True), 2: (2, False), 3: (1, False)}
+
+
+def test_minimise_fits_a_curve(spark):
+    df = spark.range(1, 60).select((F.col("id") / 10).alias("t")).withColumn("y", 3.0 * F.exp(-0.7 * F.col("t")) + 0.5)
+    got = constraints.minimise(df, lambda p: [p[0] * F.exp(-F.lit(p[1]) * F.col("t")) + p[2] - F.col("y")], [1.0, 1.0, 0.0])
+    assert all(math.isclose(a, b, abs_tol=1e-5) for a, b in zip(got, (3.0, 0.7, 0.5), strict=True))
+
+
+def test_surface_and_alignment(spark):
+    p = spark.createDataFrame([(0.0, 0.0, 520.0), (10.0, 0.0, 540.0), (10.0, 0.0, 550.0)], "x double, y double, elevation double")
+    t = spark.createDataFrame([(5.0, 0.0), (10.0, 0.0), (99.0, 99.0)], "x double, y double")
+    assert {r["x"]: (r["elevation"], r["n"]) for r in proximity.surface(p, t, 6.0).collect()} == {5.0: (pytest.approx(1610 / 3), 3), 10.0: (545.0, 2), 99.0: (None, 0)}
+    rows = proximity.align_sources({"a": p.withColumn("k", F.lit(1)), "b": t.withColumn("k", F.lit(2))}, "k", "x", "y", 20.0).collect()
+    assert {(r["cx"], r["cy"]): (r["sources"], r["n"], r["a"], r["b"]) for r in rows} == {(0, 0): (2, 5, 1, 2), (4, 4): (1, 1, None, 2)}
+
+
+def test_plans_of_hops_do_not_grow(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
+    got = graph.reachable(links, spark.createDataFrame([(0,)], "start int"), 10)
+    assert got.count() == 11 and len(got._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 40
+
+
+def test_columns_read_literally_break_at_a_third_x(spark):
+    p = spark.createDataFrame([(1, 2400.0, 1200.0), (2, 2401.0, 1700.0), (3, 2399.0, 2100.0)], "c int, x double, y double")
+    assert {(r["a"], r["b"]) for r in clustering.column_links(p, "c", "x", "y", 3.0, 1000.0, between="x").collect()} == {(1, 2), (1, 3)}
