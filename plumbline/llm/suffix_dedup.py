@@ -8,12 +8,14 @@ A whole corpus can't be one string in one task, so windows that could be equal a
 101 strings of 100 bytes in a window of 200, the one with the least hash (the leftmost of equals) is its anchor;
 equal windows have equal anchors at equal places. The windows of one anchor are one region of at most 300 bytes.
 Chunks ask about their anchors' hashes (chunks.py): what nobody else asks about holds no repeat. Regions of repeated
-anchors meet by anchor; equal ones collapse, each is cut to the most it shares with another one, and the suffix array
-over what is left puts equal windows side by side, where they are compared byte by byte.
+anchors meet by anchor. There identical regions collapse into one that weighs as many as it stands for, an anchor's
+bytes become one symbol, and suffix arrays over the regions put equal windows side by side: those whose weights sum
+to two or more repeat. Nothing else decides, and bytes are compared, not hashes.
 
-An anchor that over `hot` chunks ask about, or that a chunk holds over `hot` times, is hot: its windows are asked
-about one by one, by 96 bits of their content, dealt by those bits. So no anchor, however common, gathers more than
-hot * hot regions in a task, and nothing is left out.
+An anchor with more than `hot` kinds of regions would gather too many in a task. Its windows get deeper anchors: by
+tens of places, the 191 bytes that all windows starting there share, and where those are hot too, the window's own 200
+bytes, of which there is one kind only. Each level asks, meets and is decided as the first; so no anchor, however
+common, gathers more than hot * hot regions in a task, and nothing is left out.
 
 Defined cases: null text is empty. Texts are whole UTF-8 byte strings, matches never cross documents, windows of one
 document may repeat each other and overlap, and repeated rows repeat each other. Shorter texts lose nothing.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,12 @@ from plumbline.llm.chunks import arrow_type, expand, gather, in_groups, in_pairs
 from plumbline.llm.common import Scratch
 from plumbline.llm.recompression import ASK, KEY_ARROW, KEY_FIELDS, STATE, Ranges, mix
 
-WINDOW, ANCHOR = 200, 100
-HOT_ASK = 3
+WINDOW = 200
+#: Places that share an anchor, level by level; an anchor is what all windows starting at so many places have in common.
+BUCKETS = (101, 10, 1)
+ANCHOR = WINDOW + 1 - BUCKETS[0]
+CLEAN, DEEP_ASK, DEEP_STATE, MAP = 2, 3, 4, 8
 _NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_NAMES_2 = mix(_NAMES ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -99,84 +104,53 @@ def suffix_array(s: list[int]) -> list[int]:
     return out
 
 
-def repeated_windows(strings: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
-    """For each string, which of its windows also starts elsewhere in the strings."""
-    text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int64) + 2, 1) for s in strings] + [np.zeros(1, np.int64)])
+def repeated_windows(strings: list[np.ndarray], weights: list[int], window: int) -> list[np.ndarray]:
+    """For each string of symbols (2 or more each), which of its windows also start elsewhere in the strings.
+
+    weights: how many strings each one stands for. The suffix array puts equal windows side by side.
+    """
+    text = np.concatenate([np.append(s, 1) for s in strings] + [np.zeros(1, np.int64)])
     order = np.array(suffix_array(text.tolist()), np.int64)
     cuts = np.cumsum([0, *(len(s) + 1 for s in strings)])
-    whole = np.zeros(len(text), bool)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        whole[a : max(a, b - window)] = True
-    order = order[whole[order]]
-    views = np.lib.stride_tricks.sliding_window_view((text - 2).astype(np.uint8), window) if len(text) >= window else np.empty((0, window), np.uint8)
-    hit = np.zeros(len(text), bool)
+    weight = np.zeros(len(text), np.int64)  # 0 where no window starts
+    for a, b, w in zip(cuts[:-1].tolist(), cuts[1:].tolist(), weights, strict=True):
+        weight[a : max(a, b - window)] = w
+    order = order[weight[order] > 0]
+    views = np.lib.stride_tricks.sliding_window_view(text.astype(np.int32), window)
+    fresh = np.ones(len(order), bool)
     for at in range(0, len(order) - 1, 8192):
         a, b = order[at : at + 8192], order[at + 1 : at + 8193]
-        a = a[: len(b)]
-        same = (views[a] == views[b]).all(1)
-        hit[a[same]] = hit[b[same]] = True
+        fresh[at + 1 : at + 1 + len(b)] = (views[a[: len(b)]] != views[b]).any(1)
+    hit = np.zeros(len(text), bool)
+    if len(order):
+        run = np.cumsum(fresh) - 1
+        hit[order] = np.bincount(run, weight[order])[run] > 1
     return [hit[a : max(a, b - window)] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def shared(keys: np.ndarray, strings: list[bytes]) -> np.ndarray:
-    """For each string, the longest prefix that it shares with another string of its key."""
-    m, longest = len(strings), max(map(len, strings))
-    sizes = np.fromiter(map(len, strings), np.int64, m)
-    rows = np.zeros((m, 8 + longest), np.uint8)
-    rows[:, :8] = keys.astype(">u8").view(np.uint8).reshape(m, 8)
-    for i, s in enumerate(strings):
-        rows[i, 8 : 8 + len(s)] = np.frombuffer(s, np.uint8)
-    order = np.argsort(rows.view(f"S{8 + longest}").ravel(), kind="stable")
-    out = np.zeros(m, np.int64)
-    for at in range(0, m - 1, 8192):
-        a, b = order[at : at + 8192], order[at + 1 : at + 8193]
-        a = a[: len(b)]
-        differ = rows[a] != rows[b]
-        common = np.where(differ.any(1), differ.argmax(1), 8 + longest) - 8
-        common = np.clip(np.minimum(common, np.minimum(sizes[a], sizes[b])), 0, None)
-        np.maximum.at(out, a, common)
-        np.maximum.at(out, b, common)
-    return out
-
-
-def compare_regions(keys: np.ndarray, regions: list[bytes], offs: np.ndarray, several: np.ndarray) -> list[np.ndarray]:
-    """For each region (its anchor off bytes from its start): which of its windows repeat among regions of its key.
+def compare_regions(anchor: int, keys: list[int], offs: list[int], regions: list[bytes], weights: list[int], batch: int = 20_000) -> list[np.ndarray]:
+    """For each region (its anchor, of so many bytes, off bytes from its start): which of its windows repeat.
 
-    several: regions that stand for more than one place of a chunk. Equal regions collapse; a region alone under its
-    key is decided by its count.
+    Identical regions collapse into one of their summed weight. Regions meet by key and anchor, byte by byte; a suffix
+    array holds whole keys, of some batch symbols together, as only windows of one anchor can be equal.
     """
-    number: dict[tuple[int, int, bytes], int] = {}
-    of = np.array([number.setdefault(k, len(number)) for k in zip(keys.tolist(), offs.tolist(), regions, strict=True)], np.int64)
-    count = np.bincount(of, 1 + several, len(number))
-    own = list(number)
-    masks = [np.full(len(s) - WINDOW + 1, count[i] > 1) for i, (_, _, s) in enumerate(own)]
-    key = np.array([k for k, _, _ in own], np.uint64)
-    _, group, size = np.unique(key, return_inverse=True, return_counts=True)
-    at = np.flatnonzero(size[group] > 1)
-    if len(at):
-        right = shared(key[at], [own[i][2][own[i][1] :] for i in at.tolist()])
-        left = shared(key[at], [own[i][2][: own[i][1]][::-1] for i in at.tolist()])
-        cut: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
-        for i, a, b in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
-            k, off, s = own[i]
-            if a + b >= WINDOW:
-                cut.setdefault((k, a, s[off - a : off + b]), []).append((i, off - a))
-        open_ = {k for (k, _, _), places in cut.items() if len(places) == 1}
-        todo = [c for c in cut if c[0] in open_]
-        # Only windows of one key can be equal, so a suffix array holds whole keys, of some 100,000 bytes together.
-        todo.sort()
-        found, batch, size = {}, [], 0
-        for k, c in enumerate(todo):
-            batch.append(c)
-            size += len(c[2])
-            if k + 1 == len(todo) or size > 100_000 and todo[k + 1][0] != c[0]:
-                found.update(zip(batch, repeated_windows([b[2] for b in batch]), strict=True))
-                batch, size = [], 0
-        for c, places in cut.items():
-            n = len(c[2]) - WINDOW + 1
-            for i, first in places:
-                masks[i][first : first + n] |= True if len(places) > 1 else found[c]
-    return [masks[i] for i in of.tolist()]
+    number: dict[tuple[int, bytes, int, bytes], int] = {}
+    of = [number.setdefault((k, r[o : o + anchor], o, r), len(number)) for k, o, r in zip(keys, offs, regions, strict=True)]
+    weight = np.bincount(of, weights, len(number)).astype(np.int64)
+    symbols: dict[tuple[int, bytes], int] = {}
+    own = sorted((symbols.setdefault((k, a), len(symbols)), i, o, r) for (k, a, o, r), i in number.items())
+    masks: list[np.ndarray] = [np.empty(0, bool)] * len(number)
+    strings, held, size = [], [], 0
+    for n, (symbol, i, o, r) in enumerate(own):
+        raw = np.frombuffer(r, np.uint8).astype(np.int64) + 2
+        strings.append(np.concatenate([raw[:o], [258 + symbol], raw[o + anchor :]]))
+        held.append(i)
+        size += len(strings[-1])
+        if n + 1 == len(own) or size > batch and own[n + 1][0] != symbol:
+            for i, mask in zip(held, repeated_windows(strings, [int(weight[i]) for i in held], WINDOW - anchor + 1), strict=True):
+                masks[i] = mask
+            strings, held, size = [], [], 0
+    return [masks[i] for i in of]
 
 
 #: Windows are scanned so many places at a time, which bounds memory for texts of any length.
@@ -184,7 +158,7 @@ BLOCK, PLACE_BITS = 1 << 19, np.uint64(20)
 
 
 class Anchors:
-    """The anchors of all windows of some documents: place, first and last window, hash.
+    """The anchors of all windows of some documents: place, first and last window, hash, hash of the region.
 
     At a block's end the windows of one anchor may come as two entries, which are two regions of that anchor.
     """
@@ -199,14 +173,15 @@ class Anchors:
         valid = np.cumsum(valid, dtype=np.int8)
         found = [self._block(at, np.flatnonzero(valid[at : at + BLOCK])) for at in range(0, len(self.data), BLOCK)]
         self.at, self.first, self.last = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in range(3))
-        self.hash = np.concatenate([f[3] for f in found] or [np.empty(0, np.uint64)])
+        self.hash, self.region = (np.concatenate([f[k] for f in found] or [np.empty(0, np.uint64)]) for k in (3, 4))
 
-    def _block(self, at: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _block(self, at: int, x: np.ndarray) -> tuple[np.ndarray, ...]:
         if not len(x):
-            return (*[np.empty(0, np.int64)] * 3, np.empty(0, np.uint64))
+            return (*[np.empty(0, np.int64)] * 3, *[np.empty(0, np.uint64)] * 2)
         names = _NAMES[self.data[at : at + BLOCK + WINDOW - 1]]
         p = np.arange(len(names) - ANCHOR + 1)
-        h = Ranges(names).of(p, p + ANCHOR)
+        ranges = Ranges(names)
+        h = ranges.of(p, p + ANCHOR)
         order = (h >> PLACE_BITS << PLACE_BITS) | p.astype(np.uint64)
         width = WINDOW - ANCHOR + 1
         blocks = -(-len(order) // width)
@@ -216,18 +191,8 @@ class Anchors:
         ahead, back = np.minimum.accumulate(grid, 1).ravel(), np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
         least = (np.minimum(back[x], ahead[x + width - 1]) & np.uint64((1 << int(PLACE_BITS)) - 1)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        return least[new] + at, x[new] + at, x[np.concatenate([new[1:], [len(x)]]) - 1] + at, mix(h[least[new]] ^ _NAMES[0])  # anchors' own hashes are all small
-
-    def windows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes, of 64 and of 32 bits, of each of the windows at sorted places x."""
-        cuts = np.searchsorted(x, np.arange(0, len(self.data) + BLOCK, BLOCK))
-        one, two = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-        for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if j > i:
-                part, at = self.data[k * BLOCK : (k + 1) * BLOCK + WINDOW - 1], x[i:j] - k * BLOCK
-                one.append(Ranges(_NAMES[part]).of(at, at + WINDOW))
-                two.append((Ranges(_NAMES_2[part], 0xD1342543DE82EF95).of(at, at + WINDOW) >> np.uint64(32)).astype(np.uint32))
-        return np.concatenate(one), np.concatenate(two)
+        first, last = x[new], x[np.concatenate([new[1:], [len(x)]]) - 1]
+        return least[new] + at, first + at, last + at, mix(h[least[new]] ^ _NAMES[0]), ranges.of(first, last + WINDOW)  # anchors' own hashes are all small
 
 
 def by_part(home: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
@@ -236,133 +201,219 @@ def by_part(home: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     return ((p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a)
 
 
+REPLY, REPLY_ARROW = "chunk long, part int, kind int, data binary, n long", pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("n", pa.int64())])
+
+
+def home_of(h: np.ndarray, parts: int) -> np.ndarray:
+    bits = parts.bit_length() - 1
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def ask_rows(kind: int, chunk: int, key: np.ndarray, region: np.ndarray, parts: int, hot: int) -> list[dict]:
+    """A row for each part: its distinct keys, and for each key 16 bits that tell its set of regions, and whether they
+    are over hot."""
+    order = np.lexsort((region, key))
+    k, r = key[order], region[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])[: len(k)]
+    keys, start, kinds = np.unique(k[new], return_index=True, return_counts=True)
+    sign = (mix(np.add.reduceat(r[new], start)) >> np.uint64(48)).astype(np.uint16) if len(keys) else np.empty(0, np.uint16)
+    low, often = ((keys >> np.uint64(32 - (parts.bit_length() - 1))) & np.uint64(0xFFFFFFFF)).astype(np.uint32), kinds > hot
+    return [{"kind": kind, "chunk": chunk, "part": p, "data": ipc(c=pa.array([squeeze(np.diff(low[a:b], prepend=np.uint32(0))), pack(sign[a:b]), pack(np.packbits(often[a:b]))], pa.binary()))} for p, a, b in by_part(home_of(keys, parts), parts)]
+
+
+def answer_asked(rows: list[dict], hot: int) -> list[dict]:
+    """For each key of each row: 0 if no other row has it, 1 if it is repeated, 2 if its regions are of over hot kinds."""
+    blobs = [unipc(r["data"]).column(0).to_pylist() for r in rows]
+    asked = [np.cumsum(expand(b[0], "u4"), dtype=np.uint32) for b in blobs]
+    often = np.concatenate([np.unpackbits(unpack(b[2], "u1"), count=len(a)) for b, a in zip(blobs, asked, strict=True)])
+    sign = np.concatenate([unpack(b[1], "u2") for b in blobs])
+    keys, where, counts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+    kinds = np.bincount((np.unique((where.astype(np.uint64) << np.uint64(16)) | sign) >> np.uint64(16)).astype(np.int64), minlength=len(keys))
+    heat = (np.bincount(where, often, len(keys)) > 0) | (kinds > hot)
+    code = np.where(heat, 2, counts > 1).astype(np.uint8)[where]
+    return [{"chunk": r["chunk"], "part": r["part"], "data": pack(c)} for r, c in zip(rows, np.split(code, np.cumsum([len(a) for a in asked])[:-1]), strict=True)]
+
+
+def codes_of(key: np.ndarray, answers: list[dict], last: bool) -> np.ndarray:
+    """The answer for each region's key; 1 at least where a key comes more than once here. last: nothing is hot."""
+    keys, where, times = np.unique(key, return_inverse=True, return_counts=True)
+    code = np.concatenate([unpack(r["data"], "u1") for r in sorted(answers, key=lambda r: r["part"])]) if answers else np.zeros(len(keys), np.uint8)
+    code = np.maximum(code, times > 1)
+    return (np.minimum(code, 1) if last else code)[where]
+
+
+def meet_rows(chunk: int, parts: int, level: int, key: np.ndarray, off: np.ndarray, first: np.ndarray, size: np.ndarray, raw: bytes) -> tuple[list[dict], np.ndarray, int]:
+    """Rows that take regions (raw[first : first + size]) to the parts where they meet, each kind once; the number of
+    each region's kind in the order of the rows; how many kinds."""
+    order = np.argsort(key, kind="stable")
+    number: dict[tuple[int, int, bytes], int] = {}
+    of = np.empty(len(key), np.int64)
+    for i, k, o, a, n in zip(order.tolist(), key[order].tolist(), off[order].tolist(), first[order].tolist(), size[order].tolist(), strict=True):
+        of[i] = number.setdefault((k, o, raw[a : a + n]), len(number))
+    kinds, several = list(number), np.minimum(np.bincount(of, minlength=len(number)), 2) - 1 if len(of) else np.empty(0, np.int64)
+    hashes, out = np.array([e[0] for e in kinds], np.uint64), []
+    for p, a, b in by_part(home_of(hashes, parts), parts):
+        blobs = [squeeze(np.diff(hashes[a:b], prepend=np.uint64(0))), pack(np.array([e[1] for e in kinds[a:b]], np.uint8)), squeeze(np.array([len(e[2]) for e in kinds[a:b]], np.uint16)), pack(np.packbits(several[a:b].astype(bool))), pack(b"".join(e[2] for e in kinds[a:b]))]
+        out.append({"kind": ASK, "chunk": chunk, "part": p, "data": ipc(c=pa.array(blobs, pa.binary())), "more": bytes([level])})
+    return out, of, len(kinds)
+
+
+def deepen(raw: bytes, start: np.ndarray, off: np.ndarray, window: np.ndarray, bucket: int) -> tuple[np.ndarray, ...]:
+    """Cuts windows, in order, (window: where each starts from its region's start; start, off: that of the region in
+    raw and that of its first anchor) into runs that share a deeper anchor.
+
+    For each run: the place of its first window among all, how many, its key, its anchor's place from the run's start,
+    the run's place in raw and its size, and a hash of its bytes.
+    """
+    at = start + window
+    turn = (off - window) // bucket
+    base = start + off - turn * bucket  # where the deeper anchor starts
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(base) != 0) | (np.diff(at) != 1)])[: len(at)])
+    n = np.diff([*new, len(at)])
+    ranges, base, first = Ranges(_NAMES[np.frombuffer(raw, np.uint8)]), base[new], at[new]
+    key = mix(ranges.of(base, base + WINDOW + 1 - bucket) ^ mix(turn[new].astype(np.uint64) + np.uint64(bucket << 32)))
+    return new, n, key, base - first, first, n + WINDOW - 1, ranges.of(first, first + n + WINDOW - 1)
+
+
 def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = 4 << 20, hot: int = 64) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) for each row. The key must be an integer."""
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) for each row. The key must be an integer.
+
+    hot: kinds of regions from which an anchor's windows get deeper anchors; it doesn't change the result.
+    """
     spark = df.sparkSession
     scratch = Scratch(spark)
     source = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     parts = parts_for(text_bytes(source, "_text"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = parts.bit_length() - 1
     kind = arrow_type("bigint")
     out_fields = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     out_arrow = pa.schema([("_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-
-    def home_of(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-
-    def low_of(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    code_fields, code_arrow = "chunk long, part int, data binary", pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, texts in gather(batches, chunk_bytes):
-            keys, times = np.unique(Anchors(texts).hash, return_counts=True)
-            low, often = low_of(keys), times > hot
-            rows = [{"kind": STATE, "chunk": chunk, "part": -1, "data": ipc(id=pa.array(ids, kind), text=pa.array(texts, pa.large_binary()))}]
-            for p, a, b in by_part(home_of(keys), parts):
-                rows.append({"kind": ASK, "chunk": chunk, "part": p, "data": squeeze(np.diff(low[a:b], prepend=np.uint32(0))), "more": pack(np.packbits(often[a:b]))})
-            yield from tables(rows, KEY_ARROW)
-
-    def answer_anchors(rows: list[dict]) -> list[dict]:
-        """0 for an anchor that no other chunk has, 1 for a repeated one, 2 for a hot one."""
-        asked = [np.cumsum(expand(r["data"], "u4"), dtype=np.uint32) for r in rows]
-        often = np.concatenate([np.unpackbits(unpack(r["more"], "u1"), count=len(a)) for r, a in zip(rows, asked, strict=True)])
-        _, where, counts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
-        heat = np.bincount(where, often, len(counts)) > 0
-        code = np.where(heat | (counts > hot), 2, counts > 1).astype(np.uint8)[where]
-        return [{"chunk": r["chunk"], "part": r["part"], "data": pack(c)} for r, c in zip(rows, np.split(code, np.cumsum([len(a) for a in asked])[:-1]), strict=True)]
-
-    reply_fields, reply_arrow = "chunk long, part int, data binary, n long", pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("n", pa.int64())])
+            anchors = Anchors(texts)
+            state = {"kind": STATE, "chunk": chunk, "part": -1, "data": ipc(id=pa.array(ids, kind), text=pa.array(texts, pa.large_binary()))}
+            yield from tables([state, *ask_rows(ASK, chunk, anchors.hash, anchors.region, parts, hot)], KEY_ARROW)
+
+    def codes(asked: DataFrame, which: int) -> DataFrame:
+        return in_groups(asked.filter(F.col("kind") == which).select("chunk", "part", "data"), "part", lambda rows: answer_asked(rows, hot), code_fields, code_arrow)
+
     first = scratch.save(source.mapInArrow(ask, KEY_FIELDS), by="kind")
-    codes = scratch.save(in_groups(first.filter(F.col("kind") == ASK).select("chunk", "part", "data", "more"), "part", answer_anchors, reply_fields, reply_arrow))
+    answered = scratch.save(codes(first, ASK))
     scratch.drop_part(first, "kind", ASK)
 
+    def deep_rows(chunk: int, bucket: int, raw: bytes, start: np.ndarray, off: np.ndarray, window: np.ndarray, number: np.ndarray) -> list[dict]:
+        """What goes on to the next level: runs of hot windows (number: of each among the chunk's hot windows)."""
+        at, n, keys, offs, places, sizes, regions = deepen(raw, start, off, window, bucket)
+        columns = [squeeze(np.asarray(c, np.uint32)) for c in (start, off, window, number, at, n, offs, places, sizes)] + [squeeze(keys)]
+        state = {"kind": DEEP_STATE, "chunk": chunk, "part": -1, "data": ipc(c=pa.array(columns, pa.binary())), "more": pack(raw)}
+        return [state, *ask_rows(DEEP_ASK, chunk, keys, regions, parts, hot)]
+
     def gather_regions(states: list[dict], answers: list[dict]) -> list[dict]:
         out = []
         for s in states:
             table = unipc(s["data"])
             ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
             anchors = Anchors(texts)
-            keys, where, times = np.unique(anchors.hash, return_inverse=True, return_counts=True)
-            code = np.concatenate([unpack(r["data"], "u1") for r in sorted(answers, key=lambda r: r["part"])]) if answers else np.zeros(len(keys), np.uint8)
-            code = np.maximum(code, times > 1)[where]
+            code = codes_of(anchors.hash, answers, False)
             live = np.flatnonzero(code)
             doc = np.searchsorted(anchors.starts, anchors.at[live], "right") - 1
             busy = np.unique(doc)
             done = [(ids[i], len(texts[i]), 0, 0, hashlib.sha256(texts[i]).hexdigest()) for i in np.setdiff1d(np.arange(len(ids)), busy).tolist()]
-            out.append({"kind": 2, "chunk": s["chunk"], "part": -1, "data": ipc(**{n: pa.array([d[k] for d in done], t) for k, (n, t) in enumerate(zip(out_arrow.names, out_arrow.types, strict=True))})})
+            out.append({"kind": CLEAN, "chunk": s["chunk"], "part": -1, "data": ipc(**{n: pa.array([d[k] for d in done], t) for k, (n, t) in enumerate(zip(out_arrow.names, out_arrow.types, strict=True))})})
             if not len(live):
                 continue
             sizes = np.array([len(texts[i]) for i in busy.tolist()], np.int64)
             shift = (np.cumsum(sizes) - sizes) - anchors.starts[busy]  # from places in the chunk to those in busy texts
             move = np.zeros(len(anchors.at), np.int64)
             move[live] = shift[np.searchsorted(busy, doc)]
-            # Regions of repeated anchors, each text once; sorted by anchor, so by part.
-            mild = live[code[live] == 1]
-            mild = mild[np.argsort(anchors.hash[mild], kind="stable")]
-            raw, number, firsts, several = anchors.data.tobytes(), {}, [], []
-            of = np.empty(len(mild), np.int64)
-            for k, i in enumerate(mild.tolist()):
-                a, b, h = int(anchors.first[i]), int(anchors.last[i]), int(anchors.hash[i])
-                entry = (h, int(anchors.at[i]) - a, raw[a : b + WINDOW])
-                of[k] = at = number.setdefault(entry, len(firsts))
-                if at == len(firsts):
-                    firsts.append(entry)
-                    several.append(0)
-                else:
-                    several[at] = 1
-            hashes = np.array([e[0] for e in firsts], np.uint64)
-            for p, a, b in by_part(home_of(hashes), parts):
-                blobs = [squeeze(np.diff(hashes[a:b], prepend=np.uint64(0))), pack(np.array([e[1] for e in firsts[a:b]], np.uint8)), squeeze(np.array([len(e[2]) for e in firsts[a:b]], np.uint16)), pack(np.packbits(several[a:b])), pack(b"".join(e[2] for e in firsts[a:b]))]
-                out.append({"kind": ASK, "chunk": s["chunk"], "part": p, "data": ipc(c=pa.array(blobs, pa.binary()))})
-            # Windows of hot anchors, each content once.
-            warm = live[code[live] == 2]
-            n = anchors.last[warm] - anchors.first[warm] + 1
-            x = np.repeat(anchors.first[warm], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            x = np.sort(x)
-            h1, h2 = anchors.windows(x)
-            order = np.lexsort((h2, h1))
-            fresh = np.concatenate([[True], (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)])[: len(order)] if len(order) else np.empty(0, bool)
-            which = np.empty(len(x), np.int64)
-            which[order] = np.cumsum(fresh) - 1
-            asked = order[fresh]
-            for p, a, b in by_part(home_of(h1[asked]), parts):
-                out.append({"kind": HOT_ASK, "chunk": s["chunk"], "part": p, "data": ipc(c=pa.array([squeeze(np.diff(h1[asked[a:b]], prepend=np.uint64(0))), squeeze(h2[asked[a:b]])], pa.binary()))})
-            moved = x + shift[np.searchsorted(busy, np.searchsorted(anchors.starts, x, "right") - 1)]
+            raw, offset, many = anchors.data.tobytes(), anchors.at - anchors.first, anchors.last - anchors.first + 1
+            mild, warm = live[code[live] == 1], live[code[live] == 2]
+            rows, of, kinds = meet_rows(s["chunk"], parts, 0, anchors.hash[mild], offset[mild], anchors.first[mild], many[mild] + WINDOW - 1, raw)
+            out += rows
+            # Regions of hot anchors, each kind once; their windows are numbered through.
+            number: dict[tuple[int, bytes], int] = {}
+            which = np.array([number.setdefault((o, raw[a : a + n + WINDOW - 1]), len(number)) for o, a, n in zip(offset[warm].tolist(), anchors.first[warm].tolist(), many[warm].tolist(), strict=True)], np.int64)
+            n = np.array([len(r) - WINDOW + 1 for _, r in number], np.int64)
+            if len(warm):
+                # One that comes more than once here goes on twice, under the same numbers.
+                go = np.concatenate([np.arange(len(n)), np.flatnonzero(np.bincount(which) > 1)])
+                start, base, m = (np.cumsum(n + WINDOW - 1) - n - WINDOW + 1)[go], (np.cumsum(n) - n)[go], n[go]
+                inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                out += deep_rows(s["chunk"], BUCKETS[1], b"".join(r for _, r in number), np.repeat(start, m), np.repeat(np.array([o for o, _ in number], np.int64)[go], m), inner, np.repeat(base, m) + inner)
             state = ipc(id=pa.array([ids[i] for i in busy.tolist()], kind), text=pa.array([texts[i] for i in busy.tolist()], pa.large_binary()))
-            places = [len(firsts), len(asked)], of, anchors.first[mild] + move[mild], anchors.last[mild] - anchors.first[mild] + 1, which, moved
+            places = [kinds], of, anchors.first[mild] + move[mild], many[mild], which, anchors.first[warm] + move[warm], n
             out.append({"kind": STATE, "chunk": s["chunk"], "part": -1, "data": state, "more": ipc(c=pa.array([squeeze(np.asarray(a, np.uint32)) for a in places], pa.binary()))})
         return out
 
-    second = scratch.save(in_pairs(first.filter(F.col("kind") == STATE).select("chunk", "data"), codes, "chunk", gather_regions, KEY_FIELDS, KEY_ARROW), by="kind")
-    scratch.drop(first, codes)
-
-    def answer_regions(rows: list[dict]) -> list[dict]:
-        keys, offs, several, regions, cuts = [], [], [], [], [0]
-        for r in rows:
-            h, off, size, more, text = unipc(r["data"]).column(0).to_pylist()
-            h, size, text = np.cumsum(expand(h, "u8"), dtype=np.uint64), expand(size, "u2").astype(np.int64), unpack(text)
-            keys.append(h)
-            offs.append(unpack(off, "u1"))
-            several.append(np.unpackbits(unpack(more, "u1"), count=len(h)))
-            ends = np.cumsum(size)
-            regions += [text[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-            cuts.append(len(regions))
-        masks = compare_regions(np.concatenate(keys), regions, np.concatenate(offs).astype(np.int64), np.concatenate(several).astype(np.int64))
-        return [{"chunk": r["chunk"], "part": r["part"], "data": pack(np.packbits(bits := np.concatenate(masks[a:b]))), "n": len(bits)} for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)]
-
-    def answer_windows(rows: list[dict]) -> list[dict]:
-        asked = [unipc(r["data"]).column(0).to_pylist() for r in rows]
-        h1, h2 = [np.cumsum(expand(a, "u8"), dtype=np.uint64) for a, _ in asked], [expand(b, "u4") for _, b in asked]
-        cuts = np.cumsum([len(h) for h in h1])
-        h1, h2 = np.concatenate(h1), np.concatenate(h2)
-        order = np.lexsort((h2, h1))
-        same = (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)
-        hit = np.zeros(len(order), bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
-        return [{"chunk": r["chunk"], "part": r["part"], "data": pack(np.packbits(b)), "n": len(b)} for r, b in zip(rows, np.split(hit, cuts[:-1]), strict=True)]
-
-    regions = in_groups(second.filter(F.col("kind") == ASK).select("chunk", "part", "data"), "part", answer_regions, reply_fields, reply_arrow).withColumn("kind", F.lit(ASK))
-    windows = in_groups(second.filter(F.col("kind") == HOT_ASK).select("chunk", "part", "data"), "part", answer_windows, reply_fields, reply_arrow).withColumn("kind", F.lit(HOT_ASK))
+    def gather_deeper(level: int):
+        def work(states: list[dict], answers: list[dict]) -> list[dict]:
+            out = []
+            for s in states:
+                *columns, keys = unipc(s["data"]).column(0).to_pylist()
+                start, off, window, number, at, n, offs, places, sizes = (expand(c, "u4").astype(np.int64) for c in columns)
+                keys, raw = expand(keys, "u8"), unpack(s["more"])
+                code = codes_of(keys, answers, level + 1 == len(BUCKETS))
+                mild, warm = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
+                rows, of, kinds = meet_rows(s["chunk"], parts, level, keys[mild], offs[mild], places[mild], sizes[mild], raw)
+                out += rows
+                found = [kinds], of, number[at[mild]], n[mild]
+                out.append({"kind": MAP + level, "chunk": s["chunk"], "part": -1, "data": ipc(c=pa.array([squeeze(np.asarray(a, np.uint32)) for a in found], pa.binary()))})
+                if len(warm):
+                    go = np.repeat(at[warm], n[warm]) + np.arange(n[warm].sum()) - np.repeat(np.cumsum(n[warm]) - n[warm], n[warm])
+                    out += deep_rows(s["chunk"], BUCKETS[level + 1], raw, start[go], off[go], window[go], number[go])
+            return out
+
+        return work
+
+    second = scratch.save(in_pairs(first.filter(F.col("kind") == STATE).select("chunk", "data"), answered, "chunk", gather_regions, KEY_FIELDS, KEY_ARROW), by="kind")
+    scratch.drop(first, answered)
+    levels = [second]
+    for level in range(1, len(BUCKETS)):
+        asked = levels[-1].filter(F.col("kind") == DEEP_ASK)
+        if asked.isEmpty():
+            break
+        deeper = levels[-1].filter(F.col("kind") == DEEP_STATE).select("chunk", "data", "more")
+        levels.append(scratch.save(in_pairs(deeper, codes(levels[-1], DEEP_ASK), "chunk", gather_deeper(level), KEY_FIELDS, KEY_ARROW), by="kind"))
+
+    def decide(rows: list[dict]) -> list[dict]:
+        out = []
+        for level in sorted({r["more"] for r in rows}):
+            mine, keys, offs, regions, weights, cuts = [r for r in rows if r["more"] == level], [], [], [], [], [0]
+            for r in mine:
+                h, off, size, several, raw = unipc(r["data"]).column(0).to_pylist()
+                h, ends, raw = np.cumsum(expand(h, "u8"), dtype=np.uint64).tolist(), np.cumsum(expand(size, "u2").astype(np.int64)).tolist(), unpack(raw)
+                keys += h
+                offs += unpack(off, "u1").tolist()
+                weights += (1 + np.unpackbits(unpack(several, "u1"), count=len(h))).tolist()
+                regions += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                cuts.append(len(regions))
+            masks = compare_regions(WINDOW + 1 - BUCKETS[level[0]], keys, offs, regions, weights)
+            out += [{"chunk": r["chunk"], "part": r["part"], "kind": level[0], "data": pack(np.packbits(bits := np.concatenate(masks[a:b]))), "n": len(bits)} for r, a, b in zip(mine, cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    regions = reduce(DataFrame.unionByName, [t.filter(F.col("kind") == ASK).select("chunk", "part", "data", "more") for t in levels])
+    replies = in_groups(regions, "part", decide, REPLY, REPLY_ARROW)
+    maps = [t.filter(F.col("kind") >= MAP).select("chunk", "part", "kind", "data", F.lit(0).cast("long").alias("n")) for t in levels[1:]]
+
+    def bits_of(answers: list[dict], level: int, n: int) -> np.ndarray:
+        rows = sorted((r for r in answers if r["kind"] == level), key=lambda r: r["part"])
+        out = np.concatenate([np.empty(0, bool), *[np.unpackbits(unpack(r["data"], "u1"), count=r["n"]).astype(bool) for r in rows]])
+        if len(out) != n:
+            raise ValueError("answers don't fit their questions")
+        return out
+
+    def spread(mask: np.ndarray, kinds: int, of: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The places whose windows repeat: region i starts at first[i] and has the n[i] bits of its kind of[i]."""
+        size = np.zeros(kinds, np.int64)
+        size[of] = n
+        begin, inner = np.cumsum(size) - size, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return (np.repeat(first, n) + inner)[mask[np.repeat(begin[of], n) + inner]]
+
+    def total(kinds: int, of: np.ndarray, n: np.ndarray) -> int:
+        size = np.zeros(kinds, np.int64)
+        size[of] = n
+        return int(size.sum())
 
     def finish(states: list[dict], answers: list[dict]) -> list[dict]:
         out = []
@@ -370,16 +421,19 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_b
             table = unipc(s["data"])
             texts = table.column("text").to_pylist()
             starts = np.cumsum([0, *map(len, texts)])
-            counts, of, first_window, n, which, moved = (expand(b, "u4").astype(np.int64) for b in unipc(s["more"]).column(0).to_pylist())
+            kinds, of, place, n, which, warm, hot_n = (expand(b, "u4").astype(np.int64) for b in unipc(s["more"]).column(0).to_pylist())
             again = np.zeros(int(starts[-1]) + 1, bool)
-            size = np.zeros(counts[0], np.int64)
-            size[of] = n
-            hit = bits_of(answers, HOT_ASK, counts[1]) | (np.bincount(which, minlength=counts[1]) > 1)  # elsewhere, or twice here
-            again[moved[hit[which]]] = True
-            mask = bits_of(answers, ASK, int(size.sum()))
-            begin = np.cumsum(size) - size
-            x = np.repeat(first_window, n) + (inner := np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            again[x[mask[np.repeat(begin[of], n) + inner]]] = True
+            again[spread(bits_of(answers, 0, total(kinds[0], of, n)), kinds[0], of, place, n)] = True
+            if len(warm):
+                hit = np.zeros(int(hot_n.sum()), bool)
+                for r in answers:
+                    if r["kind"] >= MAP:
+                        k, of, number, n = (expand(b, "u4").astype(np.int64) for b in unipc(r["data"]).column(0).to_pylist())
+                        hit[spread(bits_of(answers, r["kind"] - MAP, total(k[0], of, n)), k[0], of, number, n)] = True
+                begin = np.cumsum(hot_n) - hot_n
+                n = hot_n[which]
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                again[(np.repeat(warm, n) + inner)[hit[np.repeat(begin[which], n) + inner]]] = True
             change = np.zeros(len(again) + WINDOW, np.int64)
             at = np.flatnonzero(again)
             np.add.at(change, at, 1)
@@ -392,22 +446,14 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_b
                 out.append({"_id": k, "n_bytes": len(text), "n_removed": int(mine.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()})
         return out
 
-    def bits_of(answers: list[dict], kind: int, n: int) -> np.ndarray:
-        rows = [r for r in answers if r["kind"] == kind]
-        found = [np.unpackbits(unpack(r["data"], "u1"), count=r["n"]).astype(bool) for r in sorted(rows, key=lambda r: r["part"])]
-        out = np.concatenate(found) if found else np.empty(0, bool)
-        if len(out) != n:
-            raise ValueError("answers don't fit their questions")
-        return out
-
-    cut = in_pairs(second.filter(F.col("kind") == STATE).select("chunk", "data", "more"), regions.unionByName(windows), "chunk", finish, out_fields, out_arrow)
+    cut = in_pairs(second.filter(F.col("kind") == STATE).select("chunk", "data", "more"), reduce(DataFrame.unionByName, maps, replies), "chunk", finish, out_fields, out_arrow)
 
     def unwrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0).to_pylist():
                 yield from unipc(data).to_batches()
 
-    clean = second.filter(F.col("kind") == 2).select("data").mapInArrow(unwrap, out_fields)
+    clean = second.filter(F.col("kind") == CLEAN).select("data").mapInArrow(unwrap, out_fields)
     return clean.unionByName(cut).withColumnRenamed("_id", key)
 
 
