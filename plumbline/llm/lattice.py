@@ -2,11 +2,10 @@
 
 The pieces of an existing vocabulary, byte pieces included, span a lattice over each word: every way to cut it into
 pieces is a path, weighted by the product of the pieces' unigram scores. A forward recursion in log space sums all
-paths, so a word's lattice score is its marginal probability. One more path leads across a whole word that occurs in
-training, by its share of the training words; it and the lattice are weighed by the mass of words seen once (Good and
-Turing's estimate of what is unseen). A text's probability is the product over its words and one end mark;
-lattice_score is that of the pieces alone. The scores of the existing pieces are learned here: starting from the vocabulary's ranks, rounds of expectation and
-maximisation over the counts of all training words (forward and backward recursions) give each piece's expected use.
+paths, so a word's score is its marginal probability, and a text's the product over its words and one end mark. No
+other path leads across a word, however often it occurs. The scores of the existing pieces are learned here: starting
+from the vocabulary's ranks, rounds of expectation and maximisation over the counts of all training words (forward and
+backward recursions) give each piece's expected use; pieces and end mark together are one distribution.
 
 Words are distinct within a chunk of documents, then counted by hash partition; lattices run once for each distinct
 word of the corpus, in blocks of words of equal length. The plain base score comes from the same counts.
@@ -216,7 +215,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
 
 
 def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: str = "doc_id", rounds: int = 2, smooth: float = 0.1, chunk_bytes: int = 16 << 20, part_bytes: int = 24 << 20) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) for each row."""
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
     spark = df.sparkSession
     scratch = Scratch(spark)
     source = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
@@ -273,13 +272,11 @@ def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: st
             for w, c in zip(unpack(r["words"]).split(b"\n"), unpack(r["counts"], "i8").tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
         counts = np.fromiter(total.values(), np.int64, len(total))
-        return [{"part": rows[0]["part"], "words": pack(b"\n".join(total)), "counts": pack(counts), "n": int(counts.sum()), "known": int((counts > 0).sum()), "once": int((counts == 1).sum())}]
+        return [{"part": rows[0]["part"], "words": pack(b"\n".join(total)), "counts": pack(counts), "n": int(counts.sum()), "known": int((counts > 0).sum())}]
 
-    counted = scratch.save(in_groups(requests, "part", count, "part int, words binary, counts binary, n long, known long, once long", pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("once", pa.int64())])))
-    n_words, distinct, once = (x or 0 for x in counted.agg(F.sum("n"), F.sum("known"), F.sum("once")).first())
+    counted = scratch.save(in_groups(requests, "part", count, "part int, words binary, counts binary, n long, known long", pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("known", pa.int64())])))
+    n_words, distinct = (x or 0 for x in counted.agg(F.sum("n"), F.sum("known")).first())
     n_tokens, distinct = n_words + train_docs, distinct + (train_docs > 0)
-    seen = max(0.0, 1 - max(once, 1) / n_words) if n_words else 0.0
-    stop = (train_docs + 1) / (n_tokens + 2)
     listed, weight = vocabulary(vocabulary_path)
     pieces = spark.sparkContext.broadcast(listed)  # the vocabulary's size
     score = np.log(weight / weight.sum() * 0.9)
@@ -330,8 +327,6 @@ def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: st
             counts = np.concatenate([unpack(r["counts"], "i8") for r in answers]) if answers else np.empty(0, np.int64)
             logs = np.concatenate([unpack(r["logs"], "f8") for r in answers]) if answers else np.empty(0)
             bases = np.log10(counts + 1.0) - floor
-            with np.errstate(divide="ignore"):
-                mixed = np.logaddexp(np.log1p(-seen) + logs, np.log(seen * counts / max(1, n_words))) + np.log1p(-stop)
             tail = np.log10(train_docs + 1.0) - floor
             last = 0
             for i, size in enumerate(sizes.tolist()):
@@ -339,12 +334,12 @@ def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: st
                 last += size
                 out.append({
                     "_id": ids[i], "held_out": bool(held[i]), "n_tokens": int(t.sum()) + 1, "n_known": int(t[counts[at] > 0].sum()) + (train_docs > 0), "train_tokens": n_tokens,
-                    "base_score": float((bases[at] * t).sum() + tail), "score": float(((mixed[at] * t).sum() + np.log(stop)) / LN10), "lattice_score": float(((logs[at] * t).sum() + end) / LN10),
+                    "base_score": float((bases[at] * t).sum() + tail), "score": float(((logs[at] * t).sum() + end) / LN10),
                 })
         return out
 
-    fields = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
-    result = pa.schema([("_id", arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())])
+    fields = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    result = pa.schema([("_id", arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     return in_pairs(states, replies, "chunk", finish, fields, result).withColumnRenamed("_id", key)
 
 
