@@ -3,16 +3,20 @@
 Pass one hashes each normalised text and marks, in two bit tables, the cells that two or more rows hit. Pass two
 tests every row against both tables. A row that misses in either is unique and passes straight through; only the
 others shuffle, are grouped by SHA-256 and joined back. The tables are bitmaps of 4 KB a row, broadcast; their bound
-is filter_bits / 4 bytes together (64 MB by default). Beyond that many rows they let more rows through to the
-shuffle; the result stays the same.
+is filter_bits / 4 bytes together (64 MB by default). Beyond the rows that this serves, some 17 million, digests fall
+into ranges of a hash, each written to a folder of its own without a shuffle and filtered by its own two tables; so
+the share of rows that shuffle stays the same at any number of rows, and so does what is broadcast at once.
 
 Defined cases: null text counts as empty. A null doc_id never wins over another; if a group has only null ids,
-keep_id is null. Rows that share text and doc_id tie: each is marked kept, and `keep_first` returns one of them.
-Empty tables give empty results. Other columns of the input are untouched and may have any name.
+keep_id is null. Rows that share text and doc_id tie: each is marked kept, and `keep_first` returns the one whose
+columns have the least SHA-256, so that reruns agree. Empty tables give empty results. Other columns of the input are
+untouched and may have any name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,13 +67,24 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", filter_b
     Digests are taken once and kept in the shared folder; texts are read again only if the rows are to be carried.
     """
     scratch = Scratch(df.sparkSession)
-    rows = packed(df).select(F.col(f"_row.{key}").alias("_id"), digest(F.col(f"_row.{text}")).alias("_sha"), *["_row"] * carry)
-    digests = scratch.save(rows.select("_id", "_sha"))
-    n = digests.count()
-    maps = [scratch.save(hit_cells(digests, half, filter_size(n, filter_bits))) for half in (0, 1)]
-    groups = scratch.save(marked(digests, maps, filter_size(n, filter_bits)).filter("_maybe").groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    known = marked(rows if carry else digests, maps, filter_size(n, filter_bits))
+    n = df.count()
+    ranges = power_of_two(-(-16 * n // filter_bits))
+    bits = filter_size(-(-n // ranges), filter_bits)
     more = ["_row"] * carry
+    rows = packed(df).select(F.col(f"_row.{key}").alias("_id"), digest(F.col(f"_row.{text}")).alias("_sha"), *more)
+    if ranges > 1:
+        every = scratch.save(rows.withColumn("_range", F.pmod(F.xxhash64(F.lit(ranges), "_sha"), F.lit(ranges)).cast("int")), by="_range")
+        split = [every.filter(F.col("_range") == r).drop("_range") for r in range(ranges)]
+        return reduce(DataFrame.unionByName, [_dedup(scratch, part.select("_id", "_sha"), part, bits, key, more) for part in split])
+    digests = scratch.save(rows.select("_id", "_sha"))
+    return _dedup(scratch, digests, rows if carry else digests, bits, key, more)
+
+
+def _dedup(scratch: Scratch, digests: DataFrame, rows: DataFrame, bits: int, key: str, more: list[str]) -> DataFrame:
+    """exact_dedup of rows, whose digests are digests, by two tables of bits cells."""
+    maps = [scratch.save(hit_cells(digests, half, bits)) for half in (0, 1)]
+    groups = scratch.save(marked(digests, maps, bits).filter("_maybe").groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    known = marked(rows, maps, bits)
     alone = known.filter(~F.col("_maybe")).select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha", *more)
     # Both sides of this sort-merge join are plain exchanges, so adaptive execution can split a hot key.
     several = known.filter("_maybe").drop("_maybe").hint("merge").join(groups.hint("merge"), "_sha")
@@ -77,11 +92,12 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", filter_b
     return alone.unionByName(several).select(F.col("_id").alias(key), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"), *more)
 
 
-def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", filter_bits: int = 1 << 28) -> DataFrame:
     """The rows of df that stay, one for each text, with df's own columns."""
-    kept = exact_dedup(df, text, key, carry=True).filter("kept")
-    alone, several = kept.filter("group_size = 1"), kept.filter("group_size > 1").dropDuplicates(["text_sha256"])
-    return alone.unionByName(several).select("_row.*")
+    kept = exact_dedup(df, text, key, filter_bits, carry=True).filter("kept")
+    alone, several = kept.filter("group_size = 1"), kept.filter("group_size > 1")
+    first = several.groupBy("text_sha256").agg(F.min_by("_row", F.sha2(F.to_json("_row"), 256)).alias("_row"))
+    return alone.select("_row.*").unionByName(first.select("_row.*"))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
