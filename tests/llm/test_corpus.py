@@ -111,6 +111,23 @@ def test_keep_first_returns_one_row_a_text(spark, awkward):
     assert kept.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t, *_ in rows})
 
 
+def test_exact_dedup_by_ranges_of_the_hash(spark, awkward):
+    from plumbline.llm.exact_dedup import exact_dedup, keep_first
+
+    df = spark.read.parquet(f"{awkward[0]}/documents.parquet")
+    ranged = exact_dedup(df, filter_bits=128)
+    assert listed(ranged) == listed(exact_dedup(df))
+    assert listed(keep_first(df, filter_bits=128).select("doc_id", "n_chars")) == listed(keep_first(df).select("doc_id", "n_chars"))
+
+
+def test_keep_first_does_not_depend_on_order(spark):
+    from plumbline.llm.exact_dedup import keep_first
+
+    df = spark.createDataFrame([(1, "a  b", n) for n in range(40)] + [(2, "a b", 99), (None, "c", 1), (None, "c", 2)], "doc_id long, text string, n int")
+    first = sorted(map(tuple, keep_first(df).collect()), key=repr)
+    assert len(first) == 2 and all(sorted(map(tuple, keep_first(df.orderBy(F.rand(i)).repartition(i + 2)).collect()), key=repr) == first for i in range(3))
+
+
 # 6: SimHash
 
 
@@ -258,8 +275,11 @@ def test_components_of_paths_stars_and_rings(spark):
     for _ in range(len(of)):
         for a, b in pairs:
             of[a] = of[b] = min(of[a], of[b])
-    got = dict(map(tuple, components.components(Scratch(spark), spark.createDataFrame(pairs, "u long, v long")).collect()))
-    assert got == {k: v for k, v in of.items() if any(a != b and k in (a, b) for a, b in pairs)}
+    links = spark.createDataFrame(pairs, "u long, v long").repartition(12)
+    for block in (1 << 18, 40, 15):
+        got = components.components(Scratch(spark), links, block=block).collect()
+        assert len(got) == len({r["node"] for r in got})
+        assert dict(map(tuple, got)) == {k: v for k, v in of.items() if any(a != b and k in (a, b) for a, b in pairs)}
 
 
 # 7: recompression
@@ -327,7 +347,7 @@ def plain_bytes(rows, window=200):
 @pytest.mark.parametrize("hot", [0, 2, 64])
 def test_suffix_dedup_of_awkward_rows(spark, awkward, hot):
     folder, rows = awkward
-    rows = [r for r in rows if len(r[1] or "") < 60_000]
+    assert max(len(r[1] or "") for r in rows) > 60_000
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
     got = suffix_dedup.suffix_dedup(df, chunk_bytes=4_000, hot=hot)
     assert listed(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == plain_bytes(rows)
@@ -338,6 +358,28 @@ def test_suffix_dedup_of_the_small_table(spark):
     assert listed(QUERIES["op3_suffix_dedup"](spark, SMALL).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == plain_bytes(rows)
 
 
+def test_suffix_dedup_where_one_passage_is_everywhere(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdef ") for _ in range(420))
+    texts = ["".join(rng.choice("xyz") for _ in range(rng.randint(0, 260))) + passage[: rng.choice([230, 420])] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 260))) for _ in range(250)]
+    rows = list(enumerate([*texts, *texts[:40]]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for hot in (4, 1_000):
+        got = suffix_dedup.suffix_dedup(df, chunk_bytes=3_000, hot=hot)
+        assert listed(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == plain_bytes(rows)
+
+
+def test_suffix_arrays_decide_every_repeat(spark, awkward, monkeypatch):
+    texts = [t.encode() for _, t, *_ in awkward[1] if t] * 2
+    anchors = suffix_dedup.Anchors(texts)
+    raw = anchors.data.tobytes()
+    regions = [(h, at - a, raw[a : b + suffix_dedup.WINDOW]) for h, at, a, b in zip(anchors.hash.tolist(), anchors.at.tolist(), anchors.first.tolist(), anchors.last.tolist(), strict=True)]
+    compare = lambda: sum(m.sum() for m in suffix_dedup.compare_regions(suffix_dedup.ANCHOR, *map(list, zip(*regions, strict=True)), [1] * len(regions)))
+    assert compare() == sum(len(r) - suffix_dedup.WINDOW + 1 for _, _, r in regions)
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda strings, weights, window: [np.zeros(len(s) - window + 1, bool) for s in strings])
+    assert compare() == 0
+
+
 def test_anchors_across_blocks(monkeypatch):
     rng = random.Random(3)
     text = bytes(rng.choice(b"abcd") for _ in range(5000))
@@ -389,6 +431,45 @@ def test_base_scores_of_awkward_rows(spark, awkward):
     assert got.filter("score >= 0 or isnan(score) or score is null").count() == 0
 
 
+def test_scores_are_lattice_marginals_over_all_cuts(spark, tmp_path):
+    import sentencepiece
+
+    rng = random.Random(12)
+    path = __import__("public_tokenizers").path("piece_bpe_32k.model")
+    listed_, weight = lattice.vocabulary(path)
+    assert sentencepiece.SentencePieceProcessor(model_file=path).vocab_size() >= len(listed_) - 256
+    pieces = lattice.Pieces(listed_)
+    words = ["the", "these", "cat", "Cats", "über", "a", "xq", "ing", "z9"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(30)] + [(100, None), (101, "never seen")]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    texts = {i: (t or "").encode().lower().split() for i, t in rows}
+
+    def paths(word):
+        out = []
+        for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+            ends = [*[k + 1 for k, c in enumerate(cuts) if c], len(word)]
+            parts = [pieces.number.get(word[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            if None not in parts:
+                out.append(parts)
+        return out
+
+    every = {w: paths(b" " + w) for t in texts.values() for w in t}
+    p, end, smooth = weight / weight.sum() * 0.9, 0.1, 0.1
+    train, docs = Counter(w for i, t in texts.items() if not held[i] for w in t), sum(not h for h in held.values())
+    for _ in range(2):
+        use = np.zeros(len(p))
+        for w, n in train.items():
+            share = [math.prod(p[k] for k in path) for path in every[w]]
+            for cut, x in zip(every[w], share, strict=True):
+                for k in cut:
+                    use[k] += n * x / sum(share)
+        total = use.sum() + smooth * len(use) + docs + smooth
+        p, end = (use + smooth) / total, (docs + smooth) / total
+    expected = {i: math.log10(end) + sum(math.log10(sum(math.prod(p[k] for k in path) for path in every[w])) for w in t) for i, t in texts.items()}
+    got = {r["doc_id"]: r["score"] for r in lattice.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, chunk_bytes=40).collect()}
+    assert got.keys() == expected.keys() and all(math.isclose(got[i], expected[i], abs_tol=1e-6) for i in got)
+
+
 # 10: packing
 
 
@@ -547,23 +628,54 @@ def test_chat_of_awkward_rows(spark, tmp_path):
     assert got[2]["loss_chars"] == 100_000 and got[-1]["loss_chars"] == 34
 
 
+def test_chat_ties_go_by_role_then_text(spark, tmp_path):
+    texts = ["ok", "ok then", "ok!", "ok<", "ok<|im_end|>", "ok<a", "ok<\\|", "", "\nok", "\tok", "é", None]
+    rows = [(1, 3, role, t) for t in texts for role in ("assistant", "user", "a\nb", "a\tb", None)]
+    pq.write_table(pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate((("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())))}), f"{tmp_path}/conversations.parquet")
+    same(spark, QUERIES["op2_chat"], ORACLE_SQL["op2_chat"], str(tmp_path))
+    said = "".join(f"{r or ''}\n{t or ''}\n" for *_, r, t in sorted(rows, key=lambda r: ((r[2] or "").encode(), (r[3] or "").encode())))
+    got = QUERIES["op2_chat"](spark, str(tmp_path)).filter("conv_id = 1").first()
+    assert (got["n_turns"], got["turns_sha256"]) == (len(rows), hashlib.sha256(said.encode()).hexdigest())
+
+
 # 5: top-k
 
 
+def plain_top(rows, k=5):
+    """The result by brute force, in whole numbers of any size; rows: (id, vector)."""
+    from fractions import Fraction
+
+    known = [(n, i, [math.floor(256 * Fraction(c)) for c in v]) for n, (i, v) in enumerate(rows) if v and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for n, i, q in known:
+        if i is not None and i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j is None, j or 0) for m, j, v in known if m != n and len(v) == len(q))[:k]
+            out += [(i, r + 1, None if none else j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, none, j) in enumerate(best)]
+    return Counter(out)
+
+
+def test_top_k_of_repeated_and_large_rows(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(260, 6))
+    x[30:200] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(0, x[0].tolist()), (50, x[3].tolist()), (50, x[50].tolist()), (None, x[100].tolist()), (7, x[7].tolist())]
+    small = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    small.write.parquet(str(tmp_path / "embeddings.parquet"))
+    same(spark, QUERIES["op5_vector_search"], ORACLE_SQL["op5_vector_search"], str(tmp_path))
+    assert listed(vector_search.top_k(small, F.col("vec_id") % 50 == 0, queries_block=3)) == plain_top(rows)
+    rows += [(300, [1e20, 1.0, 0.0, 0.0, 0.0, -3e38]), (350, [1e300, -1e300, 1.0, 0.0, 0.0, 0.5]), (301, [-1e20, 2.0, 0.0, 0.0, 0.0, 1e15]), (302, [5e3, 0.0, 0.0, 0.0, 0.0, 0.0]), (303, [1e20, 1.0]), (400, [2.0, 1e20])]
+    large = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert listed(vector_search.top_k(large, F.col("vec_id") % 50 == 0)) == plain_top(rows)
+
+
 def test_top_k_of_awkward_vectors(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 8))
     x[50:120] = x[7]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1050, [1.0, float("nan")] + [0.0] * 6), (1100, [None] + [0.0] * 7), (1150, [0.5, 0.5]), (1200, []), (None, [0.0] * 8), (7, x[7].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = vector_search.top_k(df, F.col("vec_id") % 50 == 0, block=64, queries_block=3).collect()
-    known = [(i, np.floor(256 * np.array(v))) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
-    expected = []
-    for i, q in known:
-        if i % 50 == 0:
-            best = sorted((-float(q @ v), j) for j, v in known if j != i and len(v) == len(q))[:5]
-            expected += [(i, r + 1, j, int(-s)) for r, (s, j) in enumerate(best)]
-    assert sorted(map(tuple, got)) == sorted(expected)
+    assert listed(vector_search.top_k(df, F.col("vec_id") % 50 == 0, queries_block=3)) == plain_top(rows)
 
 
 # The pipeline
