@@ -64,13 +64,10 @@ def gather(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int,
 
 
 def parts_for(total: int, least: int = 12, part_bytes: int = 24 << 20) -> int:
-    """Hash partitions, a power of two, for so many bytes of text.
-
-    A part holds the questions about part_bytes of text, up to 512 MB of it as the input grows with the square root,
-    so that neither a part's memory nor the number of rows (chunks times parts) runs away.
-    """
-    each = min(512 << 20, part_bytes * max(1.0, (total / (1 << 30)) ** 0.5))
-    return 1 << max(int(least) - 1, int(total / each)).bit_length()
+    """Hash partitions, a power of two, for so many bytes of text: each holds the questions about part_bytes of it or
+    less, whatever the input, so a part's memory doesn't grow. A chunk sends a row to each part that it asks; with many
+    parts a row holds few keys, one at least."""
+    return 1 << max(int(least) - 1, int(total / part_bytes)).bit_length()
 
 
 def ipc(**columns: pa.Array) -> bytes:
@@ -91,12 +88,6 @@ def arrow_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def repeated_bits(asked: list[np.ndarray]) -> list[np.ndarray]:
-    """For each array of keys, each distinct in it: which of them also come in another."""
-    _, where, counts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
-    return np.split((counts > 1)[where], np.cumsum([len(a) for a in asked])[:-1])
-
-
 def tables(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Record batches of few rows each, as the rows are large."""
     for at in range(0, len(rows), 64):

@@ -2,16 +2,21 @@
 
 Rounds rename a text's words from the bottom up: maximal runs of one word become a symbol, then in each of three
 rounds every pair of neighbours whose left symbol falls in one half of the alphabet and whose right one in the other
-becomes a symbol. Names and halves are hashes of the content, so they are the same everywhere without a dictionary:
-equal passages get equal symbols but near their ends.
+becomes a symbol. Names and halves are hashes of the content, so every chunk gives a symbol the same name without a
+dictionary to join with: equal passages get equal symbols but near their ends.
 
 How near is bounded. In a window of 20 words without a run, a symbol of the third round that holds its tenth word
 lies inside the window and is the same wherever the window stands: the run round can lose a word at either end, the
 pair rounds 1, 2 and 4 more, which leaves words 9 to 12. Every window with that symbol at that word also holds the
-words from 10 before the symbol's end to 11 after its start. So (those words) is a key that equal windows share: a
-key met once in the corpus rules out all its windows. Windows with a run in them, few, are their own keys. Keys that
-are met again reveal the repeats; their windows, named by 96 bits of their 20 words, are then verified one by one:
-the least (document id, start) of each name stays, all others are removed.
+words from 10 before the symbol's end to 11 after its start, and two words inside of those ends the symbols of the
+first pair round are the same too. So the symbol's name and the names of those around it are a key that equal windows
+share. A window with a run in it has the symbols of its runs for a key, cut where the window cuts them.
+
+All windows of one key that follow each other are a region. One Spark round groups regions by key: a key that nobody
+else has rules its windows out, shared ones reveal the repeats. A second one takes the words of the regions left to
+where their keys meet, and compares them window by window, words and not hashes: the least (document id, start) of
+equal ones stays, all others are removed. A key with more than `hot` kinds of regions would gather too many; its
+windows meet by the words of each, of which a chunk sends one copy only.
 
 The corpus is cut into chunks; each asks hash partitions about its distinct keys in packed rows (chunks.py), so a
 passage that a third of the documents share is asked about once a chunk.
@@ -31,43 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import arrow_type, expand, gather, in_groups, in_pairs, ipc, pack, parts_for, repeated_bits, squeeze, tables, text_bytes, unipc, unpack
+from plumbline.llm.chunks import arrow_type, expand, gather, in_groups, in_pairs, ipc, pack, parts_for, squeeze, tables, text_bytes, unipc, unpack
 from plumbline.llm.common import Scratch
+from plumbline.llm.keys import _M1, _M2, ASK, CODE_ARROW, CODE_FIELDS, KEY_ARROW, KEY_FIELDS, STATE, Ranges, answer_asked, ask_rows, by_part, codes_of, home_of, mix
 
 WINDOW = 20
 MIDDLE, ROUNDS = 9, 3
-_M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 0 to n of an odd base modulo 2 ** 64, and their inverses; kept for the next call."""
-    if base not in _POWERS or len(_POWERS[base][0]) <= n:
-        both = (np.full(n + 1, b, np.uint64) for b in (base, pow(base, -1, 1 << 64)))
-        _POWERS[base] = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), b[1:]])) for b in both)
-    up, down = _POWERS[base]
-    return up[: n + 1], down[: n + 1]
-
-
-class Ranges:
-    """Hashes of any range of a sequence of names, by sums of names times powers of an odd base modulo 2 ** 64."""
-
-    def __init__(self, names: np.ndarray, base: int = _BASE):
-        up, self.back = powers(base, len(names))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(names * up[:-1])])
-
-    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return mix((self.sums[last] - self.sums[first]) * self.back[first] + (last - first).astype(np.uint64))
-
-
 def names_of(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit name for each word of all lists, and the place where each list begins (and the end)."""
     import xxhash
@@ -79,33 +53,35 @@ def names_of(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return names[ids], np.cumsum([0, *map(len, lists)])
 
 
-def symbols(names: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) word of each symbol after one round of runs and some of pairs; none crosses a list's start."""
+def run_symbols(names: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, name) of the maximal runs of each list; a run of one word keeps its name."""
     n = len(names)
     first = np.zeros(n + 1, bool)
     first[starts] = True
     at = np.flatnonzero(first[:n] | (np.concatenate([[0], names[:-1]]) != names) | (np.arange(n) == 0))
-    ends = np.concatenate([at[1:], [n]]).astype(np.int64)
+    ends = np.concatenate([at[1:], [n]]).astype(np.int64)[: len(at)]
     length = ends - at
-    name = np.where(length > 1, mix(names[at] + mix(length.astype(np.uint64))), names[at])
-    for k in range(rounds):
-        right = (mix(name + np.uint64(k + 1)) & np.uint64(1)).astype(bool)
-        pair = np.flatnonzero(~right[:-1] & right[1:] & ~first[at[1:]])
-        name[pair] = mix(name[pair] * _M1 + mix(name[pair + 1]) + np.uint64(k + 1))
-        ends[pair] = ends[pair + 1]
-        keep = np.ones(len(name), bool)
-        keep[pair + 1] = False
-        name, at, ends = name[keep], at[keep], ends[keep]
-    return at, ends
+    return at, ends, np.where(length > 1, mix(names[at] + mix(length.astype(np.uint64))), names[at])
+
+
+def pair_round(k: int, at: np.ndarray, ends: np.ndarray, name: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols after round k has named pairs; first: whether a list starts at a word, which no pair crosses."""
+    right = (mix(name + np.uint64(k + 1)) & np.uint64(1)).astype(bool)
+    pair = np.flatnonzero(~right[:-1] & right[1:] & ~first[at[1:]])
+    name, ends = name.copy(), ends.copy()
+    name[pair] = mix(name[pair] * _M1 + mix(name[pair + 1]) + np.uint64(k + 1))
+    ends[pair] = ends[pair + 1]
+    keep = np.ones(len(name), bool)
+    keep[pair + 1] = False
+    return at[keep], ends[keep], name[keep]
 
 
 class Parsed:
-    """The keys of all windows of some documents, and the way back from keys to windows."""
+    """The regions of some documents: where each starts, its number of windows, its key, and a hash of its words."""
 
     def __init__(self, lists: list[list[bytes]], window: int = WINDOW):
         self.names, self.starts = names_of(lists)
         n = len(self.names)
-        self.window = window
         self.ranges = Ranges(self.names)
         valid = np.zeros(n + 1, bool)
         for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
@@ -114,31 +90,39 @@ class Parsed:
         same = np.concatenate([[0], np.cumsum(self.names[1:] == self.names[:-1])]) if n else np.zeros(1, np.int64)
         w = np.flatnonzero(valid)
         run = same[w + window - 1] > same[w]
-        self.plain = np.zeros(n + 1, bool)
-        self.plain[w[~run]] = True
-        self.runs = w[run]
-        if n:
-            s, e = symbols(self.names, self.starts)
-        else:
-            s = e = np.empty(0, np.int64)
-        count = np.concatenate([[0], np.cumsum(self.plain)])
-        low, high = np.maximum(s - MIDDLE, 0), np.maximum(e - MIDDLE, 0)
-        some = count[high] > count[low]
-        s, e, self.low, self.high = s[some], e[some], low[some], high[some]
-        held = self.ranges.of(e - MIDDLE - 1, s - MIDDLE + window)
-        self.all_keys = np.concatenate([held, ~self.ranges.of(self.runs, self.runs + window)])
-        self.keys, self.back, times = np.unique(self.all_keys, return_inverse=True, return_counts=True)
-        self.local = times > 1
-
-    def candidates(self, again: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose key (again: by position in keys) is met more than once."""
-        hit = (again | self.local)[self.back]
-        change = np.zeros(len(self.names) + 2, np.int64)
-        k = len(self.low)
-        np.add.at(change, self.low[hit[:k]], 1)
-        np.add.at(change, self.high[hit[:k]], -1)
-        inside = (np.cumsum(change)[: len(self.plain)] > 0) & self.plain
-        return np.sort(np.concatenate([np.flatnonzero(inside), self.runs[hit[k:]]]))
+        runs = run_symbols(self.names, self.starts)
+        first = np.zeros(n + 1, bool)
+        first[self.starts] = True
+        rounds = [runs]
+        for k in range(ROUNDS):
+            rounds.append(pair_round(k, *rounds[-1], first) if n else runs)
+        plain, broken = w[~run], w[run]
+        (s1, e1, name1), (s, e, name) = rounds[1], rounds[-1]
+        x = np.searchsorted(s, plain + MIDDLE, "right") - 1
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 0) | (np.diff(plain) != 1)])[: len(plain)])
+        x = x[new]
+        i = np.searchsorted(s1, e[x] - MIDDLE + 1)
+        j = np.maximum(i, np.searchsorted(e1, s[x] - MIDDLE + window - 2, "right"))
+        key = mix(Ranges(name1).of(i, j) ^ mix(name[x]))
+        self.first = np.concatenate([plain[new], broken])
+        self.n = np.concatenate([np.diff([*new, len(plain)]), np.ones(len(broken), np.int64)]).astype(np.int64)
+        self.key = np.concatenate([key, self._run_keys(runs, broken, window)])
+        self.region = self.ranges.of(self.first, self.first + self.n + window - 1)
+
+    def _run_keys(self, runs: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray, window: int) -> np.ndarray:
+        """Keys of windows with runs: the symbols of the runs inside, and the words of those at the ends with as many
+        times as the window holds them."""
+        at, ends, name = runs
+        i, j = np.searchsorted(at, w, "right") - 1, np.searchsorted(at, w + window - 1, "right") - 1
+        head = np.minimum(ends[i], w + window) - w
+        tail = w + window - np.maximum(at[j], w)
+        inner = Ranges(name).of(i + 1, np.maximum(i + 1, j))
+        return ~mix(inner + mix(self.names[w] + mix(head.astype(np.uint64))) * _M1 + mix(self.names[w + window - 1] ^ mix(tail.astype(np.uint64))))
+
+    def windows(self, regions: np.ndarray) -> np.ndarray:
+        """Starts of the windows of some regions."""
+        n = self.n[regions]
+        return np.repeat(self.first[regions], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def removed_words(n: int, windows: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -149,26 +133,6 @@ def removed_words(n: int, windows: np.ndarray, window: int = WINDOW) -> np.ndarr
     return np.cumsum(change)[:n] > 0
 
 
-KEY_FIELDS = "kind int, chunk long, part int, data binary, more binary"
-KEY_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
-STATE, ASK = 0, 1
-
-
-def key_rows(chunk: int, keys: np.ndarray, parts: int) -> list[dict]:
-    """A row for each part: 32 bits of each sorted 64-bit key after those that give the part."""
-    bits = parts.bit_length() - 1
-    home = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    low = ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    cuts = np.searchsorted(home, np.arange(parts + 1))
-    return [{"kind": ASK, "chunk": chunk, "part": p, "data": squeeze(np.diff(low[a:b], prepend=np.uint32(0)))} for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-
-
-def answer_keys(rows: list[dict]) -> list[dict]:
-    """Which keys of each row another row asks about too, a byte each."""
-    asked = [np.cumsum(expand(r["data"], "u4"), dtype=np.uint32) for r in rows]
-    return [{"chunk": r["chunk"], "part": r["part"], "data": pack(np.packbits(bits)), "n": len(bits)} for r, bits in zip(rows, repeated_bits(asked), strict=True)]
-
-
 ANSWER_FIELDS = "chunk long, part int, data binary, n long"
 ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("n", pa.int64())])
 
@@ -180,15 +144,36 @@ def answered(rows: list[dict]) -> np.ndarray:
 
 
 def later_bits(rows: list[dict]) -> list[dict]:
-    """Of the windows that rows ask about (h1 as differences, h2, id, start): those whose name a lesser (id, start) has."""
+    """Of the windows that rows hold (by region: key, windows, id, start, words): those whose words a lesser (id, start)
+    of the same key has."""
     rows = sorted(rows, key=lambda r: r["chunk"])
-    columns = [[expand(blob, kind) for blob, kind in zip(unipc(r["data"]).column(0).to_pylist(), ("u8", "u4", "i8", "u4"), strict=True)] for r in rows]
-    h1, h2, ids, start = (np.concatenate(c) for c in zip(*[(np.cumsum(c[0], dtype=np.uint64), *c[1:]) for c in columns], strict=True))
-    order = np.lexsort((start, ids, h2, h1))
-    a, b = h1[order], h2[order]
-    later = np.zeros(len(order), bool)
-    later[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    cuts = np.cumsum([0, *(len(c[0]) for c in columns)])
+    columns, words = [], []
+    for r in rows:
+        key, n, ids, start, text = unipc(r["data"]).column(0).to_pylist()
+        columns.append((np.cumsum(expand(key, "u8"), dtype=np.uint64), expand(n, "u1").astype(np.int64), expand(ids, "i8"), expand(start, "u4")))
+        words.append(unpack(text))
+    key, n, ids, start = (np.concatenate(c) for c in zip(*columns, strict=True))
+    raw = b" ".join(words)
+    ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32), len(raw))
+    # A region of n windows has n + 19 words; they follow each other in raw.
+    first = np.cumsum(n + WINDOW - 1) - n - WINDOW + 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    order = np.lexsort((start, ids, key))
+    m = n[order]
+    inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    word, place = np.repeat(first[order], m) + inner, np.repeat((np.cumsum(n) - n)[order], m) + inner
+    later = np.zeros(len(place), np.uint8)
+    last, seen, hits = None, set(), []
+    for k, a, b, p in zip(np.repeat(key[order], m).tolist(), begins[word].tolist(), ends[word + WINDOW - 1].tolist(), place.tolist(), strict=True):
+        if k != last:
+            last, seen = k, set()
+        text = raw[a:b]
+        if text in seen:
+            hits.append(p)
+        else:
+            seen.add(text)
+    later[hits] = 1
+    cuts = np.cumsum([0, *(int(c[1].sum()) for c in columns)])
     return [{"chunk": r["chunk"], "part": r["part"], "data": pack(np.packbits(later[i:j])), "n": int(j - i)} for r, i, j in zip(rows, cuts[:-1], cuts[1:], strict=True)]
 
 
@@ -197,13 +182,15 @@ def ranks(ids: list) -> np.ndarray:
     return np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
 
 
-def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = 4 << 20) -> DataFrame:
-    """(key, n_words, n_removed, kept_sha256) for each row. The key must be an integer."""
+def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = 4 << 20, hot: int = 64) -> DataFrame:
+    """(key, n_words, n_removed, kept_sha256) for each row. The key must be an integer.
+
+    hot: kinds of regions from which a key's windows meet by their own words; it doesn't change the result.
+    """
     spark = df.sparkSession
     scratch = Scratch(spark)
     source = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     parts = parts_for(text_bytes(source, "_text"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = parts.bit_length() - 1
     kind = arrow_type("bigint")
     out_fields, out_arrow = "_id long, n_words long, n_removed long, kept_sha256 string", pa.schema([("_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -211,11 +198,10 @@ def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chun
         for chunk, ids, texts in gather(batches, chunk_bytes):
             parsed = Parsed([t.split() for t in texts])
             state = ipc(id=pa.array(ids, kind), text=pa.array(texts, pa.large_binary()))
-            yield from tables([{"kind": STATE, "chunk": chunk, "part": -1, "data": state}, *key_rows(chunk, parsed.keys, parts)], KEY_ARROW)
+            yield from tables([{"kind": STATE, "chunk": chunk, "part": -1, "data": state}, *ask_rows(ASK, chunk, parsed.key, parsed.region, parts, hot)], KEY_ARROW)
 
     first = scratch.save(source.mapInArrow(ask, KEY_FIELDS), by="kind")
-    bits_1 = in_groups(first.filter(F.col("kind") == ASK).select("chunk", "part", "data"), "part", answer_keys, ANSWER_FIELDS, ANSWER_ARROW)
-    bits_1 = scratch.save(bits_1)
+    codes = scratch.save(in_groups(first.filter(F.col("kind") == ASK).select("chunk", "part", "data"), "part", lambda rows: answer_asked(rows, hot), CODE_FIELDS, CODE_ARROW))
     scratch.drop_part(first, "kind", ASK)
 
     def verify(states: list[dict], answers: list[dict]) -> list[dict]:
@@ -224,46 +210,56 @@ def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chun
             table = unipc(s["data"])
             ids, lists = table.column("id").to_pylist(), [t.split() for t in table.column("text").to_pylist()]
             parsed = Parsed(lists)
-            again = answered(answers)
-            windows = parsed.candidates(again if len(again) else np.zeros(len(parsed.keys), bool))
-            doc = np.searchsorted(parsed.starts, windows, "right") - 1
-            busy = np.unique(doc)
+            code = codes_of(parsed.key, answers, False)
+            live = np.flatnonzero(code)
+            busy = np.unique(np.searchsorted(parsed.starts, parsed.first[live], "right") - 1)
             clean = np.setdiff1d(np.arange(len(ids)), busy)
             done = [(ids[i], len(lists[i]), 0, hashlib.sha256(b" ".join(lists[i])).hexdigest()) for i in clean.tolist()]
             out.append({"kind": 2, "chunk": s["chunk"], "part": -1, "data": ipc(**{n: pa.array([d[k] for d in done], t) for k, (n, t) in enumerate(zip(out_arrow.names, out_arrow.types, strict=True))})})
-            if not len(windows):
+            if not len(live):
                 continue
-            h1 = parsed.ranges.of(windows, windows + WINDOW)
-            h2 = (Ranges(mix(parsed.names ^ _M2), 0xD1342543DE82EF95).of(windows, windows + WINDOW) >> np.uint64(32)).astype(np.uint32)
-            start, rank = (windows - parsed.starts[doc]).astype(np.uint32), ranks(ids)[doc]
-            order = np.lexsort((windows, start, rank, h2, h1))
-            a, b = h1[order], h2[order]
-            fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            asked = order[fresh]
+            mild, alone = live[code[live] == 1], parsed.windows(live[code[live] == 2])
+            at, n = np.concatenate([parsed.first[mild], alone]), np.concatenate([parsed.n[mild], np.ones(len(alone), np.int64)])
+            keys = np.concatenate([parsed.key[mild], mix(parsed.ranges.of(alone, alone + WINDOW) ^ _M2)])
+            doc = np.searchsorted(parsed.starts, at, "right") - 1
+            start, rank = (at - parsed.starts[doc]).astype(np.uint32), ranks(ids)[doc]
+            # The bytes of words i to j, each with a space after it, are raw[edges[i] : edges[j]].
+            raw = b" ".join([w for words in lists for w in words]) + b" "
+            edges = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1])
+            # Of equal regions the least goes on, and the windows of all others have it before them.
+            order = np.lexsort((at, start, rank, keys))
+            seen: set[tuple[int, bytes]] = set()
+            fresh, texts = np.zeros(len(order), bool), []
+            for i, k, a, b in zip(range(len(order)), keys[order].tolist(), edges[at[order]].tolist(), edges[(at + n + WINDOW - 1)[order]].tolist(), strict=True):
+                entry = (k, raw[a : b - 1])
+                if entry not in seen:
+                    seen.add(entry)
+                    fresh[i] = True
+                    texts.append(entry[1])
+            asked, again = order[fresh], order[~fresh]
             # Places among the words of the documents that go on.
             sizes = np.array([len(lists[i]) for i in busy.tolist()], np.int64)
             moved = (np.cumsum(sizes) - sizes)[np.searchsorted(busy, doc)] + start
             state = ipc(id=pa.array([ids[i] for i in busy.tolist()], kind), text=pa.array([b" ".join(lists[i]) for i in busy.tolist()], pa.large_binary()))
-            out.append({"kind": STATE, "chunk": s["chunk"], "part": -1, "data": state, "more": pack(np.concatenate([[fresh.sum()], moved[asked], moved[order[~fresh]]]).astype(np.uint32))})
-            home = (h1[asked] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(asked), np.int64)
-            cuts = np.searchsorted(home, np.arange(parts + 1))
-            for p, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if j > i:
-                    mine = asked[i:j]
-                    out.append({"kind": ASK, "chunk": s["chunk"], "part": p, "data": ipc(c=pa.array([squeeze(c) for c in (np.diff(h1[mine], prepend=np.uint64(0)), h2[mine], rank[mine], start[mine])], pa.binary()))})
+            out.append({"kind": STATE, "chunk": s["chunk"], "part": -1, "data": state, "more": ipc(c=pa.array([squeeze(np.asarray(c, np.uint32)) for c in (moved[asked], n[asked], moved[again], n[again])], pa.binary()))})
+            for p, i, j in by_part(home_of(keys[asked], parts), parts):
+                mine = asked[i:j]
+                columns = np.diff(keys[mine], prepend=np.uint64(0)), n[mine].astype(np.uint8), rank[mine], start[mine]
+                out.append({"kind": ASK, "chunk": s["chunk"], "part": p, "data": ipc(c=pa.array([*map(squeeze, columns), pack(b" ".join(texts[i:j]))], pa.binary()))})
         return out
 
-    second = scratch.save(in_pairs(first.filter(F.col("kind") == STATE).select("chunk", "data"), bits_1, "chunk", verify, KEY_FIELDS, KEY_ARROW))
-    scratch.drop(first)
+    second = scratch.save(in_pairs(first.filter(F.col("kind") == STATE).select("chunk", "data"), codes, "chunk", verify, KEY_FIELDS, KEY_ARROW))
+    scratch.drop(first, codes)
     bits_2 = in_groups(second.filter(F.col("kind") == ASK).select("chunk", "part", "data"), "part", later_bits, ANSWER_FIELDS, ANSWER_ARROW)
 
     def finish(states: list[dict], answers: list[dict]) -> list[dict]:
         out = []
         for s in states:
-            table, places = unipc(s["data"]), unpack(s["more"], "u4").astype(np.int64)
+            table = unipc(s["data"])
+            at, n, again, m = (expand(c, "u4").astype(np.int64) for c in unipc(s["more"]).column(0).to_pylist())
+            asked, again = (np.repeat(x, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) for x, k in ((at, n), (again, m)))
             lists = [t.split() for t in table.column("text").to_pylist()]
             starts = np.cumsum([0, *map(len, lists)])
-            asked, again = places[1 : places[0] + 1], places[places[0] + 1 :]
             gone = removed_words(int(starts[-1]), np.concatenate([asked[answered(answers)], again]))
             for i, (k, words) in enumerate(zip(table.column("id").to_pylist(), lists, strict=True)):
                 mine = gone[starts[i] : starts[i + 1]]

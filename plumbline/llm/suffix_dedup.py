@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.chunks import arrow_type, expand, gather, in_groups, in_pairs, ipc, pack, parts_for, squeeze, tables, text_bytes, unipc, unpack
 from plumbline.llm.common import Scratch
-from plumbline.llm.recompression import ASK, KEY_ARROW, KEY_FIELDS, STATE, Ranges, mix
+from plumbline.llm.keys import ASK, CODE_ARROW, CODE_FIELDS, KEY_ARROW, KEY_FIELDS, STATE, Ranges, answer_asked, ask_rows, by_part, codes_of, home_of, mix
 
 WINDOW = 200
 #: Places that share an anchor, level by level; an anchor is what all windows starting at so many places have in common.
@@ -195,53 +195,9 @@ class Anchors:
         return least[new] + at, first + at, last + at, mix(h[least[new]] ^ _NAMES[0]), ranges.of(first, last + WINDOW)  # anchors' own hashes are all small
 
 
-def by_part(home: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
-    """(part, first, last) of sorted part numbers."""
-    cuts = np.searchsorted(home, np.arange(parts + 1))
-    return ((p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a)
-
-
 REPLY, REPLY_ARROW = "chunk long, part int, kind int, data binary, n long", pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("n", pa.int64())])
 
 
-def home_of(h: np.ndarray, parts: int) -> np.ndarray:
-    bits = parts.bit_length() - 1
-    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-
-
-def ask_rows(kind: int, chunk: int, key: np.ndarray, region: np.ndarray, parts: int, hot: int) -> list[dict]:
-    """A row for each part: its distinct keys, and for each key 16 bits that tell its set of regions, and whether they
-    are over hot."""
-    order = np.lexsort((region, key))
-    k, r = key[order], region[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])[: len(k)]
-    keys, start, kinds = np.unique(k[new], return_index=True, return_counts=True)
-    sign = (mix(np.add.reduceat(r[new], start)) >> np.uint64(48)).astype(np.uint16) if len(keys) else np.empty(0, np.uint16)
-    low, often = ((keys >> np.uint64(32 - (parts.bit_length() - 1))) & np.uint64(0xFFFFFFFF)).astype(np.uint32), kinds > hot
-    return [{"kind": kind, "chunk": chunk, "part": p, "data": ipc(c=pa.array([squeeze(np.diff(low[a:b], prepend=np.uint32(0))), pack(sign[a:b]), pack(np.packbits(often[a:b]))], pa.binary()))} for p, a, b in by_part(home_of(keys, parts), parts)]
-
-
-def answer_asked(rows: list[dict], hot: int) -> list[dict]:
-    """For each key of each row: 0 if no other row has it, 1 if it is repeated, 2 if its regions are of over hot kinds."""
-    blobs = [unipc(r["data"]).column(0).to_pylist() for r in rows]
-    asked = [np.cumsum(expand(b[0], "u4"), dtype=np.uint32) for b in blobs]
-    often = np.concatenate([np.unpackbits(unpack(b[2], "u1"), count=len(a)) for b, a in zip(blobs, asked, strict=True)])
-    sign = np.concatenate([unpack(b[1], "u2") for b in blobs])
-    keys, where, counts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
-    kinds = np.bincount((np.unique((where.astype(np.uint64) << np.uint64(16)) | sign) >> np.uint64(16)).astype(np.int64), minlength=len(keys))
-    heat = (np.bincount(where, often, len(keys)) > 0) | (kinds > hot)
-    code = np.where(heat, 2, counts > 1).astype(np.uint8)[where]
-    return [{"chunk": r["chunk"], "part": r["part"], "data": pack(c)} for r, c in zip(rows, np.split(code, np.cumsum([len(a) for a in asked])[:-1]), strict=True)]
-
-
-def codes_of(key: np.ndarray, answers: list[dict], last: bool) -> np.ndarray:
-    """The answer for each region's key; 1 at least where a key comes more than once here. last: nothing is hot."""
-    keys, where, times = np.unique(key, return_inverse=True, return_counts=True)
-    code = np.concatenate([unpack(r["data"], "u1") for r in sorted(answers, key=lambda r: r["part"])]) if answers else np.zeros(len(keys), np.uint8)
-    code = np.maximum(code, times > 1)
-    return (np.minimum(code, 1) if last else code)[where]
-
-
 def meet_rows(chunk: int, parts: int, level: int, key: np.ndarray, off: np.ndarray, first: np.ndarray, size: np.ndarray, raw: bytes) -> tuple[list[dict], np.ndarray, int]:
     """Rows that take regions (raw[first : first + size]) to the parts where they meet, each kind once; the number of
     each region's kind in the order of the rows; how many kinds."""
@@ -287,8 +243,6 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_b
     kind = arrow_type("bigint")
     out_fields = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     out_arrow = pa.schema([("_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    code_fields, code_arrow = "chunk long, part int, data binary", pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, texts in gather(batches, chunk_bytes):
             anchors = Anchors(texts)
@@ -296,7 +250,7 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_b
             yield from tables([state, *ask_rows(ASK, chunk, anchors.hash, anchors.region, parts, hot)], KEY_ARROW)
 
     def codes(asked: DataFrame, which: int) -> DataFrame:
-        return in_groups(asked.filter(F.col("kind") == which).select("chunk", "part", "data"), "part", lambda rows: answer_asked(rows, hot), code_fields, code_arrow)
+        return in_groups(asked.filter(F.col("kind") == which).select("chunk", "part", "data"), "part", lambda rows: answer_asked(rows, hot), CODE_FIELDS, CODE_ARROW)
 
     first = scratch.save(source.mapInArrow(ask, KEY_FIELDS), by="kind")
     answered = scratch.save(codes(first, ASK))

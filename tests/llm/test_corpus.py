@@ -258,7 +258,7 @@ def test_simhash_of_the_small_table(spark):
     check_simhash(spark, SMALL, [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize("n", [10, 5_000_000])
+@pytest.mark.parametrize("n", [10, 5_000_000, 10**9])
 def test_links_are_all_pairs_in_reach(spark, n):
     rng = random.Random(n)
     seeds = [rng.getrandbits(64) for _ in range(40)] + [0, 2**64 - 1]
@@ -305,9 +305,10 @@ def test_substring_dedup_of_awkward_rows(spark, awkward):
     assert listed(QUERIES["op7_substring_dedup"](spark, folder).select("doc_id", "n_words", "n_removed", "kept_sha256")) == plain_words(rows)
 
 
-def test_substring_dedup_over_many_chunks(spark):
+@pytest.mark.parametrize("hot", [0, 2, 64])
+def test_substring_dedup_over_many_chunks(spark, hot):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
-    got = recompression.substring_dedup(spark.read.parquet(f"{SMALL}/documents.parquet").repartition(5), chunk_bytes=20_000)
+    got = recompression.substring_dedup(spark.read.parquet(f"{SMALL}/documents.parquet").repartition(5), chunk_bytes=20_000, hot=hot)
     assert listed(got.select("doc_id", "n_words", "n_removed", "kept_sha256")) == plain_words(rows)
 
 
@@ -315,9 +316,9 @@ def test_substring_dedup_over_many_chunks(spark):
 @given(st.lists(st.sampled_from([b"a", b"b", b"c", b"dd"]), min_size=20, max_size=60), st.lists(st.sampled_from([b"a", b"b", b"q"]), max_size=12), st.lists(st.sampled_from([b"a", b"b", b"q"]), max_size=12))
 def test_equal_windows_share_a_key(passage, before, after):
     one, two = recompression.Parsed([passage]), recompression.Parsed([before + passage + after])
-    keys = set(two.keys.tolist())
-    again = np.array([k in keys for k in one.keys.tolist()], bool)
-    assert one.candidates(again).tolist() == list(range(len(passage) - 19))
+    keys = set(two.key.tolist())
+    shared = np.flatnonzero([k in keys for k in one.key.tolist()])
+    assert sorted(one.windows(shared).tolist()) == list(range(len(passage) - 19))
 
 
 # 3: suffix arrays
