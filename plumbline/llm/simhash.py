@@ -20,10 +20,11 @@ by their fingerprint alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, packed, slices
@@ -160,21 +161,19 @@ def similar(scratch: Scratch, prints: DataFrame, near: DataFrame, words: int, si
     only pairs in reach are emitted, and verified on their texts.
     """
     few = FEW if few is None else few
-    # A text's node in the graph is its fingerprint; where different texts share one, it is the name of the text's
-    # shingles, linked with the fingerprint.
-    sets = scratch.save(prints.groupBy("fp", "name").agg(F.min("bands").alias("bands"), F.min("sign").alias("sign"), F.min("size").alias("size")))
-    shared = scratch.save(sets.groupBy("fp").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
-    nodes = sets.hint("merge").join(shared.hint("merge"), "fp", "left").withColumn("node", F.when(F.col("texts").isNull(), F.col("fp")).otherwise(F.col("name")))
-    near = near.unionByName(scratch.save(sets.select("fp", "name").hint("merge").join(shared.hint("merge"), "fp").select(F.col("name").alias("u"), F.col("fp").alias("v"))))
-    sketch = scratch.save(nodes.filter(F.size("bands") > 0).drop("fp", "texts").dropDuplicates(["node"]))
-    scratch.drop(sets)
-    every = scratch.save(sketch.select("node", F.posexplode("bands").alias("band", "key")))
+    # A text's node in the graph is its fingerprint; where different texts share one, each has a node of its own,
+    # linked with the fingerprint.
+    sets = prints.groupBy("fp", "name").agg(F.min("bands").alias("bands"), F.min("sign").alias("sign"), F.min("size").alias("size"))
+    shared = F.count(F.lit(1)).over(Window.partitionBy("fp")) > 1
+    sketch = scratch.save(sets.withColumn("shared", shared).withColumn("node", F.when(F.col("shared"), F.xxhash64("fp", "name")).otherwise(F.col("fp"))))
+    near = near.unionByName(sketch.filter("shared").select(F.col("node").alias("u"), F.col("fp").alias("v")))
+    every = scratch.save(sketch.filter(F.size("bands") > 0).select("node", "name", F.posexplode("bands").alias("band", "key")))
     # Saved, so that the joins below have plain exchanges on both sides and a bucket with many rows can be split.
     buckets = scratch.save(every.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = scratch.save(every.hint("merge").join(buckets.hint("merge"), "key"))
     scratch.drop(every, buckets)
     # Only texts that some bucket pairs are shuffled.
-    names = scratch.save(members.select("node").distinct().hint("merge").join(sketch.select("node", "name").hint("merge"), "node").withColumn("_sha", F.col("name").cast("string")))
+    names = scratch.save(members.select("node", "name").distinct().withColumn("_sha", F.col("name").cast("string")))
     bits = filter_size(names.count())
     rows = marked(prints.select("name", "_text", F.col("name").cast("string").alias("_sha")), [scratch.save(hit_cells(names, half, bits, 1)) for half in (0, 1)], bits)
     texts = scratch.save(rows.filter("_maybe").groupBy("name").agg(F.min("_text").alias("_text")).hint("merge").join(names.select("node", "name").hint("merge"), "name").select("node", "_text"))
@@ -182,17 +181,19 @@ def similar(scratch: Scratch, prints: DataFrame, near: DataFrame, words: int, si
     seen = None
 
     def decide(pairs: DataFrame) -> None:
-        """Verifies the pairs in reach that were not seen before."""
+        """Verifies the distinct pairs in reach that were not seen before."""
         nonlocal seen
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         new = scratch.save(pairs if seen is None else pairs.hint("merge").join(seen.select("u", "v").hint("merge"), ["u", "v"], "left_anti"))
         if not new.isEmpty():
             found = scratch.save(verified(new, texts, words, similarity))
             seen = found if seen is None else seen.unionByName(found)
 
+    def apart(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
     def signed(pairs: DataFrame) -> DataFrame:
         """The distinct pairs whose signatures are in reach."""
-        pairs = scratch.save(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        pairs = scratch.save(apart(pairs))
         for x, sign in zip("uv", signs, strict=True):
             pairs = pairs.hint("merge").join(sign.hint("merge"), x)
         return pairs.filter(in_reach("u", "v", similarity)).select("u", "v")
@@ -205,15 +206,17 @@ def similar(scratch: Scratch, prints: DataFrame, near: DataFrame, words: int, si
         known = scratch.save(members.hint("merge").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
         parts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
         left = scratch.save(parts.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), (F.sum("c") - F.max("c")).alias("strays")).filter("strays > 0"))
+        open_, strays = left.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("strays") > few, F.col("strays"))), F.lit(0))).first()
+        if not open_:
+            break
         known = scratch.save(known.hint("merge").join(left.hint("merge"), "key"))
-        strays = known.filter((F.col("label") != F.col("main")) & (F.col("strays") > few)).count()
         last = level == BANDS or before is not None and strays > before * 7 / 8
         closing = known if last else known.filter(F.col("strays") <= few)
         closing = scratch.save(closing.hint("merge").join(sketch.select("node", "sign", "size").hint("merge"), "node"))
         u, v = (closing.select("key", "label", "main", *[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "sign", "size", "label")]) for x in "uv")
         u = u.filter(F.col("u_label") != F.col("main")).select("key", "u", "u_label", "u_sign", "u_size")
         v = v.select(F.col("key").alias("v_key"), "v", "v_label", "v_sign", "v_size")
-        decide(u.hint("merge").join(v.hint("merge"), (F.col("key") == F.col("v_key")) & (F.col("u_label") != F.col("v_label")) & in_reach("u", "v", similarity)).select("u", "v"))
+        decide(u.hint("merge").join(v.hint("merge"), (F.col("key") == F.col("v_key")) & (F.col("u_label") != F.col("v_label")) & in_reach("u", "v", similarity)).transform(apart))
         if last or not strays:
             break
         before = strays
@@ -229,17 +232,22 @@ def similar(scratch: Scratch, prints: DataFrame, near: DataFrame, words: int, si
 
 def cells(fp: Column, segments: int) -> Column:
     """Array of struct(cell, step): the popcount cell itself (step 0), and each cell one step away inside the grid."""
-    width, bits = 64 // segments, 4
+    width = 64 // segments
+    bits = width.bit_length()
     counts = [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))) for i in range(segments)]
-    own = sum((c.cast("long") * (1 << bits * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
+
+    def held(i: int, count: Column) -> Column:
+        return F.shiftleft(count.cast("long"), bits * i)
+
+    own = reduce(Column.bitwiseOR, [held(i, c) for i, c in enumerate(counts)])
 
     def at(cell: Column, step: int) -> Column:
         return F.struct(cell.alias("cell"), F.lit(step).alias("step"))
 
     steps = [at(own, 0)]
     for i, c in enumerate(counts):
-        unit = F.lit(1 << bits * i).cast("long")
-        steps += [F.when(c < width, at(own + unit, 2 * i + 1)), F.when(c > 0, at(own - unit, 2 * i + 2))]
+        rest = own.bitwiseXOR(held(i, c))
+        steps += [F.when(c < width, at(rest.bitwiseOR(held(i, c + 1)), 2 * i + 1)), F.when(c > 0, at(rest.bitwiseOR(held(i, c - 1)), 2 * i + 2))]
     return F.array_compact(F.array(*steps))
 
 
@@ -250,7 +258,7 @@ def links(distinct: DataFrame, n: int, distance: int = 2) -> DataFrame:
     """
     if not 0 <= distance <= 2:
         raise ValueError("the grid's steps cover distances 0 to 2")
-    segments = 8 if n < 4_000_000 else 16
+    segments = 8 if n < 4_000_000 else 16 if n < 400_000_000 else 32
     spread = distinct.select("fp", F.explode(cells(F.col("fp"), segments)).alias("c")).select("fp", "c.cell", "c.step")
     a, b = (spread.select("cell", F.col("fp").alias(x), F.col("step").alias(f"{x}_step")) for x in "uv")
     # Both took the same step: they were in one cell before, where step 0 compares them.
