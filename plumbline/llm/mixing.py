@@ -7,7 +7,8 @@ output shards by a binary tree: at each node a multivariate hypergeometric draw
 go left. A shard's blocks are then disjoint runs of the permuted order, shuffled within the shard.
 
 Everything random comes from the seed and from hashes of the rows, so reruns agree. The plan needs block sums only:
-max_blocks rows at most, whatever the input; more sources than max_sources raise.
+max_blocks rows at most, whatever the input, and a block a source at least; more sources than max_sources, a million,
+raise, as the driver plans them one by one.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order. Rows of size 0 and
 sources of size 0 take nothing. Repeated rows share a block and a place, and each counts. An empty table gives none.
@@ -99,9 +100,14 @@ def plan(blocks: dict[tuple[int, int], int], n_sources: int, per_source: int, sh
     return goal, sizes, [(s, b, at, need) for (s, b), (at, need) in rows.items()]
 
 
-def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 20, max_blocks: int = 1 << 20, max_sources: int = 10_000, words_per_shard: int = 500_000, carry: bool = False) -> DataFrame:
+def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 20, max_blocks: int = 1 << 20, max_sources: int = 1_000_000, words_per_shard: int = 500_000, carry: bool = False) -> DataFrame:
     """One row for each row of df: key, size, source_size, target, taken, shards (of each copy), place; with carry
     also _row, all of df. A row's copies follow each other through the shards; place orders a shard's rows."""
+    return _mix(df, text, key, source, seed, max_blocks, max_sources, words_per_shard, carry)[0]
+
+
+def _mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 20, max_blocks: int = 1 << 20, max_sources: int = 1_000_000, words_per_shard: int = 500_000, carry: bool = False) -> tuple[DataFrame, int]:
+    """mix(), and the number of shards."""
     spark = df.sparkSession
     scratch = Scratch(spark)
     row = packed(df)
@@ -133,14 +139,16 @@ def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "s
     left_out = (F.col("_need") >= 0) & ~F.coalesce(F.col("_place") <= F.col("_last"), F.lit(False))
     shards_of = F.coalesce(F.when(left_out, F.slice("_shards", 1, F.greatest(F.size("_shards") - 1, F.lit(0)))).otherwise(F.col("_shards")), F.array().cast("array<int>"))
     out = out.withColumn("shards", F.when(F.col("_size") > 0, shards_of).otherwise(F.array().cast("array<int>")))
-    return out.select(F.col("_id").alias(key), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("shards")).alias("taken"), "shards", F.col("_place").alias("place"), *["_row"] * carry)
+    return out.select(F.col("_id").alias(key), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("shards")).alias("taken"), "shards", F.col("_place").alias("place"), *["_row"] * carry), shards
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
     """The mix itself: df's rows, each as often as it is taken, gathered by shard and shuffled within it."""
-    out = mix(df, carry=True, **options)
+    out, shards = _mix(df, carry=True, **options)
     each = out.select("_row", "place", F.posexplode("shards").alias("_epoch", "_shard"))
-    return each.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64("place", "_epoch")).select("_row.*")
+    # As many partitions as shards at least, so that few shards meet in one.
+    tasks = max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return each.repartition(tasks, "_shard").sortWithinPartitions("_shard", F.xxhash64("place", "_epoch")).select("_row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
