@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import arrow_type, slices
 
 START, END = "<|im_start|>", "<|im_end|>"
 PLACEHOLDER = "<|{kind}:{number}|>"
@@ -178,7 +178,7 @@ def digests(segments: DataFrame) -> DataFrame:
     def schema(k: pa.DataType) -> pa.Schema:
         return pa.schema([("conv_id", k), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
-    last_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    last_kind = arrow_type(segments.schema["conv_id"].dataType)
     # The text to sort by is read out of the segment after the exchange, so it isn't shuffled a second time.
     body = F.expr(f"substring(segment, locate('\\n', segment) + 1, length(segment) - locate('\\n', segment) - {len(END) + 1})")
     plain = F.regexp_replace(body, r"<\\(\\*)\|", "<$1|")

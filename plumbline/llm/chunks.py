@@ -83,11 +83,6 @@ def unipc(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(unpack(data)).read_all()
 
 
-def arrow_type(kind: str) -> pa.DataType:
-    """The Arrow type of an id column."""
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def tables(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Record batches of few rows each, as the rows are large."""
     for at in range(0, len(rows), 64):

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,6 +65,11 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
+def arrow_type(kind: DataType) -> pa.DataType:
+    """The Arrow type of a column of this type, as it comes out of a table."""
+    return to_arrow_type(kind)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices without copies, so that a worker turns few texts at a time into Python objects."""
     for b in batches:

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import arrow_type, gather, in_groups, in_pairs, ipc, pack, parts_for, tables, text_bytes, unipc, unpack
-from plumbline.llm.common import Scratch, held_out
+from plumbline.llm.chunks import gather, in_groups, in_pairs, ipc, pack, parts_for, tables, text_bytes, unipc, unpack
+from plumbline.llm.common import Scratch, arrow_type, held_out
 
 #: Words longer than this, in bytes, are scored one by one.
 LONG = 48
@@ -219,7 +219,7 @@ def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: st
     spark = df.sparkSession
     scratch = Scratch(spark)
     source = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    kind = source.schema["_id"].dataType.simpleString()
+    kind, id_type = source.schema["_id"].dataType.simpleString(), arrow_type(source.schema["_id"].dataType)
     parts = parts_for(text_bytes(source, "_text"), int(spark.conf.get("spark.sql.shuffle.partitions")), part_bytes)
     held = source.select("_id", "_text", held_out(F.col("_id"), 7).alias("_held"))
     names = "chunk long, part int, words binary, counts binary, docs long, state binary"
@@ -258,7 +258,7 @@ def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: st
                 deltas.append(np.diff(place[ids][at], prepend=0).astype(np.int32))
                 times.append(n[at].astype(np.int32))
             blob = pack(np.concatenate([np.array(sizes, np.int32), *deltas, *times])) if sizes else b""
-            ids = pa.array([k["id"] for k in keys], arrow_type(kind))
+            ids = pa.array([k["id"] for k in keys], id_type)
             rows.append({"chunk": chunk, "part": -1, "words": ipc(a=ids), "counts": pack(np.array([k["held"] for k in keys], np.uint8)), "docs": docs, "state": blob})
             yield from tables(rows, arrow)
 
@@ -339,7 +339,7 @@ def score_texts(df: DataFrame, vocabulary_path: str, text: str = "text", key: st
         return out
 
     fields = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    result = pa.schema([("_id", arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    result = pa.schema([("_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     return in_pairs(states, replies, "chunk", finish, fields, result).withColumnRenamed("_id", key)
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import arrow_type, expand, gather, in_groups, in_pairs, ipc, pack, parts_for, squeeze, tables, text_bytes, unipc, unpack
+from plumbline.llm.chunks import expand, gather, in_groups, in_pairs, ipc, pack, parts_for, squeeze, tables, text_bytes, unipc, unpack
 from plumbline.llm.common import Scratch
 from plumbline.llm.keys import _M1, _M2, ASK, CODE_ARROW, CODE_FIELDS, KEY_ARROW, KEY_FIELDS, STATE, Ranges, answer_asked, ask_rows, by_part, codes_of, home_of, mix
 
@@ -191,7 +191,7 @@ def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chun
     scratch = Scratch(spark)
     source = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     parts = parts_for(text_bytes(source, "_text"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kind = arrow_type("bigint")
+    kind = pa.int64()
     out_fields, out_arrow = "_id long, n_words long, n_removed long, kept_sha256 string", pa.schema([("_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import chat, components, lattice, mixing, packing, recompression, simhash, suffix_dedup, vector_search
+from plumbline.llm import chat, components, language_id, lattice, mixing, packing, recompression, simhash, suffix_dedup, vector_search
 from plumbline.llm.common import Scratch
 from plumbline.llm.registry import ORACLE_SQL, QUERIES
 from tests.oracle import same
@@ -496,7 +496,7 @@ def test_plan_places_every_piece_once(lengths):
     assert bins <= 11 * max(1, -(-sum(lengths) // capacity)) / 9 + 6 + sum(2 * n > capacity for n in lengths)
 
 
-def check_packing(spark, folder, rows):
+def check_packing(spark, got, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -510,7 +510,6 @@ def check_packing(spark, folder, rows):
             n = (len(ids) % 2048 or 2048) if k == 0 else 2048
             expected[(i, k, at, n, zlib.crc32(ids[at : at + n].tobytes()))] += 1
             at, k = at + n, k + 1
-    got = QUERIES["op10_packing"](spark, folder)
     assert listed(got.select("doc_id", "piece", "start", "length", "ids_crc32")) == expected
     bins: dict[int, list] = {}
     for s, o, n in got.select("sequence_id", "offset", "length").collect():
@@ -522,11 +521,11 @@ def check_packing(spark, folder, rows):
 
 
 def test_packing_of_awkward_rows(spark, awkward):
-    check_packing(spark, *awkward)
+    check_packing(spark, QUERIES["op10_packing"](spark, awkward[0]), awkward[1])
 
 
 def test_packing_is_tight(spark):
-    bins, total = check_packing(spark, MIDDLE, [tuple(r) for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text").collect()])
+    bins, total = check_packing(spark, QUERIES["op10_packing"](spark, MIDDLE), [tuple(r) for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text").collect()])
     assert bins <= 1.01 * total / 2048 + 1
 
 
@@ -597,6 +596,37 @@ def test_language_id_of_awkward_rows(spark, awkward):
             assert (r["lang_pred"] == "und") == (t is None or not any(map(str.isalpha, t)))
 
 
+def test_language_id_votes_family_first_then_language(spark):
+    rng = np.random.default_rng(3)
+    langs = ["en", "de", "nl", "fr", "es", "xx", "yy", "zz"]
+    x = rng.normal(size=(160, 12)).astype(np.float32) + np.repeat(rng.normal(size=(8, 12)) * 1.5, 20, axis=0).astype(np.float32)
+    model = language_id.Model(x, [c for c in langs for _ in range(20)])
+    assert model.top.classes == ["germanic", "other 0", "other 1", "other 2", "romance"]
+
+    def winner(pairs, v):
+        votes = {c: [0, 0.0] for c in pairs.classes}
+        for w, (i, j) in zip(pairs.w, pairs.pairs, strict=True):
+            m = float(v @ w[:-1] + w[-1])
+            votes[pairs.classes[i if m >= 0 else j]][0] += 1
+            votes[pairs.classes[i]][1] += m
+            votes[pairs.classes[j]][1] -= m
+        return max(pairs.classes, key=lambda c: (votes[c][0], votes[c][1]))
+
+    family, _ = model.top.predict(x)
+    assert [model.top.classes[f] for f in family] == [winner(model.top, v) for v in x]
+    for f, pairs in enumerate(model.within):
+        assert [pairs.classes[c] for c in pairs.predict(x)[0]] == [winner(pairs, v) for v in x]
+    assert model.top.classes[0] == "germanic" and model.within[0].classes == ["de", "en", "nl"]
+
+
+def test_language_id_reads_neither_labels_nor_sources_of_what_it_predicts(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    changed = docs.withColumn("lang", F.when(held, F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.lit("one"))
+    changed.write.parquet(str(tmp_path / "documents.parquet"))
+    assert listed(QUERIES["op4_language_id"](spark, str(tmp_path))) == listed(QUERIES["op4_language_id"](spark, SMALL))
+
+
 # 2: chat
 
 
@@ -695,7 +725,22 @@ def test_pipeline_keeps_clean_documents_and_drops_copies(spark):
     assert set(rows) >= set(firsts.values()) and len(rows) == len(set(" ".join(t.split(" ")) for t in rows.values()))
     near = {r["doc_id"] for r in stages["SimHash near-dedup"](spark, one, SMALL).collect()}
     assert near == plain_groups(rows)
-    assert corpus_pipeline.run(spark, SMALL).agg(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_against_brute_force(spark):
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()}
+    rows = {i: t for i, t in rows.items() if t and any(map(str.isalpha, t))}
+    import re
+
+    first = {}
+    for i, t in rows.items():
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), i)
+    kept = plain_groups({i: rows[i] for i in first.values()})
+    near = spark.read.parquet(f"{SMALL}/documents.parquet").filter(F.col("doc_id").isin(sorted(kept)))
+    times = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(near).collect() if r["size"]}
+    taken = [(i, rows[i]) for i, n in times.items() for _ in range(n)]
+    assert taken and set(times) == kept
+    check_packing(spark, corpus_pipeline.run(spark, SMALL), taken)
 
 
 def test_pipeline_of_awkward_rows(spark, awkward, empty):
