@@ -67,12 +67,29 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, left_on: str, righ
 def first_match(left: DataFrame, right: DataFrame, left_key: str, left_on: str, right_on: str, ordinal: str, tol: float, keep: list[str]) -> DataFrame:
     """As nearest, but the match in reach with the lowest ordinal wins, however far.
 
-    Equal values fold to one on both sides first, so pairs are those of distinct values in reach of each other.
+    Equal values fold to one on both sides. Within bins of width tol each value carries the least ordinal up to it and
+    from it on; a question reads its own bin's, that of the bin after up to its reach, and that of the bin before from
+    its reach on. So the work is that of a few sorts, and no pairs are made. keep columns must be sortable.
     """
-    asked = left.select(F.col(left_on).cast("double").alias("_x")).distinct()
-    found = band_join(asked, _by_value(right, [], right_on, ordinal, keep), "_x", "_v", tol)
-    best = found.groupBy("_x").agg(F.min_by("_row", F.col("_row.o")).alias("_row")).select("_x", *[F.col(f"_row.k{i}").alias(c) for i, c in enumerate(keep)])
-    return left.withColumn("_x", F.col(left_on).cast("double")).join(best, "_x", "left").select(*left.columns, *keep)
+    bin_ = F.floor(F.col("_v") / tol)
+    stored = _by_value(right, [], right_on, ordinal, keep).withColumn("_bin", bin_)
+    turn = Window.partitionBy("_bin")
+    for name, order in (("up", F.col("_v").asc()), ("down", F.col("_v").desc())):
+        rows = turn.orderBy(order)
+        stored = stored.withColumn(f"{name}_with", F.min("_row").over(rows.rowsBetween(Window.unboundedPreceding, 0))).withColumn(f"{name}_less", F.min("_row").over(rows.rowsBetween(Window.unboundedPreceding, -1)))
+    stored = stored.select("_bin", F.col("_v").alias("_at"), F.struct("_v", "up_with", "up_less", "down_with", "down_less").alias("_hit"))
+    x = F.col("_v")
+    ask = F.explode(F.array(*[F.struct((bin_ + step).alias("_bin"), at.alias("_at"), F.lit(step).alias("_step")) for step, at in ((0, F.lit(float("inf"))), (1, x + tol), (-1, x - tol))]))
+    asked = left.select(F.col(left_on).cast("double").alias("_v")).filter("_v is not null and not isnan(_v)").distinct().select("_v", ask.alias("q")).select("_v", "q.*")
+    both = asked.unionByName(stored, allowMissingColumns=True)
+    up, down = (turn.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("_at").asc(), F.col("_at").desc()))
+    found = both.withColumns({"_a": F.last("_hit", ignorenulls=True).over(up), "_b": F.last("_hit", ignorenulls=True).over(down)}).filter("_step is not null")
+    # _a is the last value up to the reach, _b the first from it on; which of them are in reach is told by the difference.
+    above = F.when(F.col("_b._v") - x < tol, F.col("_b.up_with")).when(F.col("_a._v") - x < tol, F.col("_a.up_with")).otherwise(F.col("_a.up_less"))
+    below = F.when(x - F.col("_a._v") < tol, F.col("_a.down_with")).when(x - F.col("_b._v") < tol, F.col("_b.down_with")).otherwise(F.col("_b.down_less"))
+    best = found.groupBy("_v").agg(F.min(F.when(F.col("_step") == 0, F.col("_a.up_with")).when(F.col("_step") == 1, above).otherwise(below)).alias("_row"))
+    best = best.select("_v", *[F.col(f"_row.k{i}").alias(c) for i, c in enumerate(keep)])
+    return left.withColumn("_v", F.col(left_on).cast("double")).join(best, "_v", "left").select(*left.columns, *keep)
 
 
 def snap_dimensions(dimensions: DataFrame, ends: tuple[str, str], rows: DataFrame, row: str, on: str, ordinal: str, tol: float, boundary: DataFrame | None = None) -> DataFrame:

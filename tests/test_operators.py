@@ -313,6 +313,15 @@ def test_nearest_is_the_least_of_all_pairs(spark, left, right):
     assert got == {i: min(((abs(x - y), j) for j, (k, y) in enumerate(right) if k == g_ and abs(x - y) < 8), default=(0, None))[1] for i, (g_, x) in enumerate(left)}
 
 
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.integers(-60, 60), max_size=15), st.lists(st.integers(-60, 60), max_size=25))
+def test_first_match_is_the_first_of_all_pairs(spark, left, right):
+    a = spark.createDataFrame([(i, v / 10) for i, v in enumerate(left)], "i int, x double")
+    b = spark.createDataFrame([(j, v / 10) for j, v in enumerate(right)], "j int, y double")
+    got = {r["i"]: r["j"] for r in proximity.first_match(a, b, "i", "x", "y", "j", 1.1, ["j"]).collect()}
+    assert got == {i: min((j for j, y in enumerate(right) if abs(x / 10 - y / 10) < 1.1), default=None) for i, x in enumerate(left)}
+
+
 def test_line_reference_takes_the_first_line_and_skips_points_near_circles(spark):
     points = spark.createDataFrame([(1, 5.0, 4.0), (2, 50.0, 19.0), (3, 200.0, 0.0), (4, -14.9, 0.0)], "k int, x double, y double")
     lines = spark.createDataFrame([("far", 0, 0.0, 15.0, 100.0, 15.0), ("near", 1, 0.0, 0.0, 100.0, 0.0)], "l string, o int, x1 double, y1 double, x2 double, y2 double")
