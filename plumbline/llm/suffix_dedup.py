@@ -9,8 +9,9 @@ A whole corpus can't be one string in one task, so windows that could be equal a
 equal windows have equal anchors at equal places. The windows of one anchor are one region of at most 300 bytes.
 Chunks ask about their anchors' hashes (chunks.py): what nobody else asks about holds no repeat. Regions of repeated
 anchors meet by anchor. There identical regions collapse into one that weighs as many as it stands for, an anchor's
-bytes become one symbol, and suffix arrays over the regions put equal windows side by side: those whose weights sum
-to two or more repeat. Nothing else decides, and bytes are compared, not hashes.
+bytes and those around it that all its windows hold become one symbol, and suffix arrays over the regions put equal
+windows side by side: those whose weights sum to two or more repeat. Nothing else decides, and bytes are compared, not
+hashes.
 
 An anchor with more than `hot` kinds of regions would gather too many in a task. Its windows get deeper anchors: by
 tens of places, the 191 bytes that all windows starting there share, and where those are hot too, the window's own 200
@@ -45,57 +46,92 @@ _NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def suffix_array(s: list[int]) -> list[int]:
-    """Places of s, whose last number is its only least one, in the order of their suffixes."""
+    """Places of s, whose last number is its only least one, in the order of their suffixes.
+
+    Lists of members keep the order of places, and may hold places that have moved on; sizes don't count those.
+    """
     n = len(s)
-    by_symbol: dict[int, list[int]] = {}
-    for i, c in enumerate(s):
-        by_symbol.setdefault(c, []).append(i)
-    members = [by_symbol[c] for c in sorted(by_symbol)]
-    group = [0] * n
-    for g, m in enumerate(members):
-        for i in m:
-            group[i] = g
+    _, group = np.unique(np.array(s), return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    size = np.bincount(group).tolist()
+    members = [m.tolist() for m in np.split(order, np.cumsum(size)[:-1])]
+    group = group.tolist()
     lower, upper = list(range(-1, len(members) - 1)), [*range(1, len(members)), -1]
-    before, done = [-1] * n, bytearray(n)
+    before, done = [-1] * n, bytearray(n + 1)  # the last one answers for place -1, which is never done
     now = len(members) - 1
+
+    def raise_(js: list[int], g: int) -> None:
+        """Moves some members of g to a new group just above it, unless they are all of it."""
+        if len(js) == size[g]:
+            return
+        fresh, up = len(members), upper[g]
+        members.append(js)
+        size.append(len(js))
+        size[g] -= len(js)
+        lower.append(g)
+        upper.append(up)
+        upper[g] = lower[up] = fresh  # the group being taken is higher, so there is one above
+        for j in js:
+            group[j] = fresh
+
     while now >= 0:
-        mine = [i for i in members[now] if group[i] == now]
-        members[now] = mine
-        mine.sort()
+        mine = members[now]
+        if size[now] == 1:  # nearly all groups, in the end
+            i = mine[0]
+            if len(mine) > 1:
+                for i in mine:
+                    if group[i] == now:
+                        break
+            done[i] = 1
+            j = i - 1
+            while done[j]:
+                j = before[j]
+            before[i] = j
+            if j >= 0 and size[g := group[j]] > 1:  # raise_([j], g)
+                fresh, up = len(members), upper[g]
+                members.append([j])
+                size.append(1)
+                size[g] -= 1
+                lower.append(g)
+                upper.append(up)
+                upper[g] = lower[up] = group[j] = fresh
+            now = lower[now]
+            continue
+        mine = [i for i in mine if group[i] == now]
         for i in mine:
             done[i] = 1
-        times: dict[int, int] = {}
+        # How often the prefix follows each place; those come in order, as pointers of one group never cross.
+        last, k, moved = -2, 0, {}
+        times: list[tuple[int, int]] = []
         for i in mine:
             j = i - 1
-            while j >= 0 and done[j]:
+            while done[j]:
                 j = before[j]
             before[i] = j
-            if j >= 0:
-                times[j] = times.get(j, 0) + 1
-        moved: dict[tuple[int, int], list[int]] = {}
-        for j, k in times.items():
+            if j == last:
+                k += 1
+                continue
+            if last >= 0:
+                times.append((k, last))
+            last, k = j, 1
+        if last >= 0:
+            times.append((k, last))
+        for k, j in times:
             moved.setdefault((-k, group[j]), []).append(j)
         # Each new group goes just above the old one, so those that the prefix follows most often go first.
         for (_, g), js in sorted(moved.items()) if len(moved) > 1 else moved.items():
-            fresh, up = len(members), upper[g]
-            members.append(js)
-            lower.append(g)
-            upper.append(up)
-            upper[g] = fresh
-            lower[up] = fresh  # the group being taken is higher, so there is one above
-            for j in js:
-                group[j] = fresh
+            raise_(js, g)
         now = lower[now]
     start, at, g = [0] * len(members), 0, group[n - 1]
     while g >= 0:
         start[g] = at
-        at += len(members[g])
+        at += size[g]
         g = upper[g]
-    out, placed = [0] * n, bytearray(n)
-    out[0], placed[n - 1] = n - 1, 1
+    out, placed = [0] * n, bytearray(n + 1)
+    out[0], placed[n - 1], placed[n] = n - 1, 1, 1
     for i in range(n):
         j = out[i] - 1
-        while j >= 0 and not placed[j]:
+        while not placed[j]:
             g = group[j]
             out[start[g]] = j
             start[g] += 1
@@ -128,26 +164,36 @@ def repeated_windows(strings: list[np.ndarray], weights: list[int], window: int)
     return [hit[a : max(a, b - window)] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def compare_regions(anchor: int, keys: list[int], offs: list[int], regions: list[bytes], weights: list[int], batch: int = 20_000) -> list[np.ndarray]:
-    """For each region (its anchor, of so many bytes, off bytes from its start): which of its windows repeat.
+def compare_regions(keys: list[int], offs: list[int], regions: list[bytes], weights: list[int], batch: int = 2_000) -> list[np.ndarray]:
+    """For each region (its anchor off bytes from its start): which of its windows repeat.
 
-    Identical regions collapse into one of their summed weight. Regions meet by key and anchor, byte by byte; a suffix
-    array holds whole keys, of some batch symbols together, as only windows of one anchor can be equal.
+    Identical regions collapse into one of their summed weight. The bytes that all windows of a key hold, the anchor
+    and some around it, are one symbol, which regions share if the bytes are the same. A suffix array holds whole keys,
+    of some batch symbols together, as only windows of one key can be equal.
     """
-    number: dict[tuple[int, bytes, int, bytes], int] = {}
-    of = [number.setdefault((k, r[o : o + anchor], o, r), len(number)) for k, o, r in zip(keys, offs, regions, strict=True)]
-    weight = np.bincount(of, weights, len(number)).astype(np.int64)
+    number: dict[tuple[int, int, bytes], int] = {}
+    of = [number.setdefault(e, len(number)) for e in zip(keys, offs, regions, strict=True)]
+    weight = np.bincount(of, weights, len(number)).astype(np.int64).tolist()
+    reach: dict[int, tuple[int, int]] = {}  # the fewest and the most bytes that windows of a key have before its anchor
+    for k, o, r in number:
+        least = o - len(r) + WINDOW
+        low, high = reach.get(k, (least, o))
+        reach[k] = min(low, least), max(high, o)
     symbols: dict[tuple[int, bytes], int] = {}
-    own = sorted((symbols.setdefault((k, a), len(symbols)), i, o, r) for (k, a, o, r), i in number.items())
+    own = []
+    for (k, o, r), i in number.items():
+        low, high = reach[k]
+        own.append((high - low + 1, symbols.setdefault((k, r[o - low : o + WINDOW - high]), len(symbols)), i, o - low, o + WINDOW - high, r))
+    own.sort(key=lambda e: e[:3])
     masks: list[np.ndarray] = [np.empty(0, bool)] * len(number)
     strings, held, size = [], [], 0
-    for n, (symbol, i, o, r) in enumerate(own):
+    for n, (width, symbol, i, before, after, r) in enumerate(own):
         raw = np.frombuffer(r, np.uint8).astype(np.int64) + 2
-        strings.append(np.concatenate([raw[:o], [258 + symbol], raw[o + anchor :]]))
+        strings.append(np.concatenate([raw[:before], [258 + symbol], raw[after:]]))
         held.append(i)
         size += len(strings[-1])
-        if n + 1 == len(own) or size > batch and own[n + 1][0] != symbol:
-            for i, mask in zip(held, repeated_windows(strings, [int(weight[i]) for i in held], WINDOW - anchor + 1), strict=True):
+        if n + 1 == len(own) or own[n + 1][0] != width or size > batch and own[n + 1][1] != symbol:
+            for i, mask in zip(held, repeated_windows(strings, [weight[i] for i in held], width), strict=True):
                 masks[i] = mask
             strings, held, size = [], [], 0
     return [masks[i] for i in of]
@@ -342,7 +388,7 @@ def suffix_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chunk_b
                 weights += (1 + np.unpackbits(unpack(several, "u1"), count=len(h))).tolist()
                 regions += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 cuts.append(len(regions))
-            masks = compare_regions(WINDOW + 1 - BUCKETS[level[0]], keys, offs, regions, weights)
+            masks = compare_regions(keys, offs, regions, weights)
             out += [{"chunk": r["chunk"], "part": r["part"], "kind": level[0], "data": pack(np.packbits(bits := np.concatenate(masks[a:b]))), "n": len(bits)} for r, a, b in zip(mine, cuts[:-1], cuts[1:], strict=True)]
         return out
 

@@ -375,7 +375,7 @@ def test_suffix_arrays_decide_every_repeat(spark, awkward, monkeypatch):
     anchors = suffix_dedup.Anchors(texts)
     raw = anchors.data.tobytes()
     regions = [(h, at - a, raw[a : b + suffix_dedup.WINDOW]) for h, at, a, b in zip(anchors.hash.tolist(), anchors.at.tolist(), anchors.first.tolist(), anchors.last.tolist(), strict=True)]
-    compare = lambda: sum(m.sum() for m in suffix_dedup.compare_regions(suffix_dedup.ANCHOR, *map(list, zip(*regions, strict=True)), [1] * len(regions)))
+    compare = lambda: sum(m.sum() for m in suffix_dedup.compare_regions(*map(list, zip(*regions, strict=True)), [1] * len(regions)))
     assert compare() == sum(len(r) - suffix_dedup.WINDOW + 1 for _, _, r in regions)
     monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda strings, weights, window: [np.zeros(len(s) - window + 1, bool) for s in strings])
     assert compare() == 0
