@@ -1,16 +1,16 @@
 """Substring dedup on words by recompression.
 
-Rounds rename a text's words from the bottom up: maximal runs of one word become a symbol, then in each of three
-rounds every pair of neighbours whose left symbol falls in one half of the alphabet and whose right one in the other
-becomes a symbol. Names and halves are hashes of the content, so every chunk gives a symbol the same name without a
-dictionary to join with: equal passages get equal symbols but near their ends.
-
-How near is bounded. In a window of 20 words without a run, a symbol of the third round that holds its tenth word
-lies inside the window and is the same wherever the window stands: the run round can lose a word at either end, the
-pair rounds 1, 2 and 4 more, which leaves words 9 to 12. Every window with that symbol at that word also holds the
-words from 10 before the symbol's end to 11 after its start, and two words inside of those ends the symbols of the
-first pair round are the same too. So the symbol's name and the names of those around it are a key that equal windows
-share. A window with a run in it has the symbols of its runs for a key, cut where the window cuts them.
+Rounds rename a text's words from the bottom up: maximal runs of one word become a symbol, then in each of two rounds
+every pair of neighbours whose left symbol falls in one half of the alphabet and whose right one in the other becomes a
+symbol. Names and halves are hashes of the content, so every chunk gives a symbol the same name without a dictionary to
+join with: equal passages get equal symbols but near their ends.
+
+How near is bounded. The runs at a window's two ends may go on beyond it; those between are the same wherever the
+window stands. So are symbols of the first pair round that lie two runs inside of the ends, and of the second one four
+runs inside. A second-round symbol takes four runs at most, so where a window of 20 words has 15 runs or more (most
+have 20, of one word each) one or more starts in the part that leaves it room; the one with the least hash (the
+leftmost of equals) is the window's symbol. Its name and those of the first-round symbols up to two runs beside it are
+a key that equal windows share. A window of fewer runs has their symbols for a key, cut where the window cuts them.
 
 All windows of one key that follow each other are a region. One Spark round groups regions by key: a key that nobody
 else has rules its windows out, shared ones reveal the repeats. A second one takes the words of the regions left to
@@ -41,7 +41,10 @@ from plumbline.llm.common import Scratch
 from plumbline.llm.keys import _M1, _M2, ASK, CODE_ARROW, CODE_FIELDS, KEY_ARROW, KEY_FIELDS, STATE, Ranges, answer_asked, ask_rows, by_part, codes_of, home_of, mix
 
 WINDOW = 20
-MIDDLE, ROUNDS = 9, 3
+ROUNDS = 2
+#: A window's symbol starts so many runs after its first and before its last one; with fewer runs than FEW there may be none.
+AFTER, BEFORE, FEW = 4, 7, 15
+_PLACE = np.uint64((1 << 26) - 1)
 def names_of(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit name for each word of all lists, and the place where each list begins (and the end)."""
     import xxhash
@@ -87,28 +90,49 @@ class Parsed:
         for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
             if b - a >= window:
                 valid[a : b - window + 1] = True
-        same = np.concatenate([[0], np.cumsum(self.names[1:] == self.names[:-1])]) if n else np.zeros(1, np.int64)
         w = np.flatnonzero(valid)
-        run = same[w + window - 1] > same[w]
         runs = run_symbols(self.names, self.starts)
         first = np.zeros(n + 1, bool)
         first[self.starts] = True
         rounds = [runs]
         for k in range(ROUNDS):
             rounds.append(pair_round(k, *rounds[-1], first) if n else runs)
-        plain, broken = w[~run], w[run]
+        run_of = np.zeros(n, np.int64)
+        run_of[runs[0]] = 1
+        run_of = np.cumsum(run_of) - 1
+        low, high = run_of[w], run_of[w + window - 1]
+        many = high - low >= FEW - 1
+        plain, broken, low, high = w[many], w[~many], low[many], high[many]
         (s1, e1, name1), (s, e, name) = rounds[1], rounds[-1]
-        x = np.searchsorted(s, plain + MIDDLE, "right") - 1
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 0) | (np.diff(plain) != 1)])[: len(plain)])
-        x = x[new]
-        i = np.searchsorted(s1, e[x] - MIDDLE + 1)
-        j = np.maximum(i, np.searchsorted(e1, s[x] - MIDDLE + window - 2, "right"))
+        least = self._least(run_of[s], name, len(runs[0]), low, high)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(plain) != 1)])[: len(plain)])
+        at = least[new]
+        x = np.searchsorted(s, runs[0][at])
+        i = np.searchsorted(s1, runs[0][at - 2])
+        j = np.maximum(i, np.searchsorted(e1, runs[1][run_of[e[x] - 1] + 2], "right"))
         key = mix(Ranges(name1).of(i, j) ^ mix(name[x]))
         self.first = np.concatenate([plain[new], broken])
         self.n = np.concatenate([np.diff([*new, len(plain)]), np.ones(len(broken), np.int64)]).astype(np.int64)
         self.key = np.concatenate([key, self._run_keys(runs, broken, window)])
         self.region = self.ranges.of(self.first, self.first + self.n + window - 1)
 
+    def _least(self, s: np.ndarray, name: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The run at which the symbol of each window (its runs: low to high) starts; s: the run where each symbol does.
+
+        Windows of as many runs look over as many places: a least value is taken by blocks of that width.
+        """
+        value = np.full(n + 2 * WINDOW, np.iinfo(np.uint64).max)
+        value[s] = (mix(name ^ _M2) & ~_PLACE) | (s.astype(np.uint64) & _PLACE)
+        out = np.empty(len(low), np.int64)
+        for width in np.unique(high - low).tolist():
+            mine, width = np.flatnonzero(high - low == width), width - AFTER - BEFORE + 1
+            grid = value[: len(value) // width * width].reshape(-1, width)
+            ahead, back = np.minimum.accumulate(grid, 1).ravel(), np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+            begin = low[mine] + AFTER
+            place = np.minimum(back[begin], ahead[begin + width - 1]) & _PLACE
+            out[mine] = begin + ((place - begin.astype(np.uint64)) & _PLACE).astype(np.int64)
+        return out
+
     def _run_keys(self, runs: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray, window: int) -> np.ndarray:
         """Keys of windows with runs: the symbols of the runs inside, and the words of those at the ends with as many
         times as the window holds them."""
