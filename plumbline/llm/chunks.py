@@ -20,7 +20,7 @@ from plumbline.llm.common import slices
 
 
 def pack(data: bytes | np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data.tobytes() if isinstance(data, np.ndarray) else data)
+    return zstandard.ZstdCompressor(level=3).compress(data.tobytes() if isinstance(data, np.ndarray) else data)
 
 
 def unpack(data: bytes, kind: str | None = None):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -25,8 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables that one call writes to the shared folder, which cuts lineage and survives lost executors.
 
-    drop() removes a table that nothing reads any more; the rest go when the driver's JVM ends, as the lazy result
-    still reads them.
+    drop() removes tables that nothing reads any more, and what finished jobs shuffled; the rest go when the driver's
+    JVM ends, as the lazy result still reads them.
     """
 
     def __init__(self, spark: SparkSession):
@@ -47,11 +50,30 @@ class Scratch:
         for t in tables:
             if path := self.at.pop(id(t), None):
                 self._fs(path).delete(self._path(path), True)
+        self._free()
 
     def drop_part(self, table: DataFrame, by: str, value: object) -> None:
         """Removes the rows of one value of the column that a table was saved by."""
         path = f"{self.at[id(table)]}/{by}={value}"
         self._fs(path).delete(self._path(path), True)
+        self._free()
+
+    def _free(self) -> None:
+        """Lets go of what finished jobs shuffled.
+
+        Spark deletes the shuffle files of plans that nobody holds, but only as the driver's JVM collects its garbage,
+        which it seldom does while executors work; they would pile up to the size of the input. The JVM hears of what
+        Python no longer holds within a second, so it is asked after two, while the next job runs.
+        """
+
+        def collect() -> None:
+            with contextlib.suppress(Exception):  # the session may have ended
+                self.spark._jvm.System.gc()
+
+        gc.collect()
+        later = threading.Timer(2.0, collect)
+        later.daemon = True
+        later.start()
 
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -272,9 +272,10 @@ def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", chun
                 out.append({"kind": ASK, "chunk": s["chunk"], "part": p, "data": ipc(c=pa.array([*map(squeeze, columns), pack(b" ".join(texts[i:j]))], pa.binary()))})
         return out
 
-    second = scratch.save(in_pairs(first.filter(F.col("kind") == STATE).select("chunk", "data"), codes, "chunk", verify, KEY_FIELDS, KEY_ARROW))
+    second = scratch.save(in_pairs(first.filter(F.col("kind") == STATE).select("chunk", "data"), codes, "chunk", verify, KEY_FIELDS, KEY_ARROW), by="kind")
     scratch.drop(first, codes)
-    bits_2 = in_groups(second.filter(F.col("kind") == ASK).select("chunk", "part", "data"), "part", later_bits, ANSWER_FIELDS, ANSWER_ARROW)
+    bits_2 = scratch.save(in_groups(second.filter(F.col("kind") == ASK).select("chunk", "part", "data"), "part", later_bits, ANSWER_FIELDS, ANSWER_ARROW))
+    scratch.drop_part(second, "kind", ASK)
 
     def finish(states: list[dict], answers: list[dict]) -> list[dict]:
         out = []
