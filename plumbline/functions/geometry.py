@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,22 +43,49 @@ def line_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2
     return F.hypot(px - (x1 + along * dx), py - (y1 + along * dy))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _snap(x: Column, pairs: Sequence[tuple[float, float]], tol: float) -> Column:
+    """The second of the pair whose first is nearest to x, if within tol (inclusive; first in the list wins a tie), else x.
+
+    Bisection over the sorted list, so the work is that of its logarithm. A list whose distances may be equal by
+    rounding (values closer than tol's own precision, or none that are finite) is compared value by value.
+    """
+    if not pairs:
+        return x
+    first = {}
+    for i, (key, value) in enumerate(pairs):
+        if not math.isnan(key):
+            first.setdefault(float(key), (i, float(value)))
+    keys = sorted(first)
+    if not keys or not all(map(math.isfinite, (*keys, tol))) or any(b - a <= 2 * math.ulp(tol) for a, b in pairwise(keys)):
+        grid = F.array(*[F.struct(F.lit(float(k)).alias("k"), F.lit(i).alias("i"), F.lit(float(v)).alias("v")) for i, (k, v) in enumerate(pairs)])
+        best = F.array_min(F.transform(grid, lambda g: F.struct(F.abs(x - g["k"]).alias("d"), g["i"].alias("i"), g["v"].alias("v"))))
+        return F.when(best["d"] <= tol, best["v"]).otherwise(x)
+    places, values, order = (F.lit(np.array(a)) for a in (keys, [first[k][1] for k in keys], [first[k][0] for k in keys]))
+    halves = F.lit(np.array([1 << i for i in reversed(range(len(keys).bit_length()))], np.int32))
+
+    def nearest(x: Column) -> Column:
+        # The last place up to x, or -1; what lies outside the list is null.
+        below = F.aggregate(halves, F.lit(-1), lambda at, step: F.when(F.get(places, at + step) <= x, at + step).otherwise(at))
+        off = lambda at: F.abs(x - F.get(places, at))
+        above = lambda at: off(at).isNull() | (off(at + 1) < off(at)) | ((off(at + 1) == off(at)) & (F.get(order, at + 1) < F.get(order, at)))
+        return let(let(below, lambda at: F.when(above(at), at + 1).otherwise(at)), lambda at: F.when(off(at) <= tol, F.get(values, at)).otherwise(x))
+
+    return let(x.cast("double"), nearest)
+
+
 def snap_value(x: Column, solved: Sequence[float], tol: float = 2.0) -> Column:
     """The nearest of a short list of values if within tol (inclusive; first in the list wins a tie), else x."""
-    if not solved:
-        return x
-    grid = F.array(*[F.struct(F.lit(float(v)).alias("v"), F.lit(i).alias("i")) for i, v in enumerate(solved)])
-    best = F.array_min(F.transform(grid, lambda g: F.struct(F.abs(x - g["v"]).alias("d"), g["i"].alias("i"), g["v"].alias("v"))))
-    return F.when(best["d"] <= tol, best["v"]).otherwise(x)
+    return _snap(x, [(v, v) for v in solved], tol)
 
 
 def snap_raw(x: Column, raw_to_solved: Sequence[tuple[float, float]], tol: float = 2.0) -> Column:
     """As snap_value, but x is matched with raw coordinates and becomes the solved one of the match."""
-    if not raw_to_solved:
-        return x
-    pairs = F.array(*[F.struct(F.lit(float(r)).alias("r"), F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, (r, s) in enumerate(raw_to_solved)])
-    best = F.array_min(F.transform(pairs, lambda g: F.struct(F.abs(x - g["r"]).alias("d"), g["i"].alias("i"), g["s"].alias("s"))))
-    return F.when(best["d"] <= tol, best["s"]).otherwise(x)
+    return _snap(x, raw_to_solved, tol)
 
 
 def snap_point(p: Column, columns: Sequence[float], rows: Sequence[float], tol: float = 2.0) -> Column:

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, for costly narrow steps: a small file is one task otherwise, however many rows it holds."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(4 * cores)
+
+
 def row_bounded_groups(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("v"), F.floor(F.col("o_totalprice") / 20000).alias("r"))
     out = clustering.row_bounded_groups(o, "v", "r", 2)
@@ -210,9 +216,9 @@ def entity_transform(spark, d):
         F.lit('{"type":"DIMENSION","handle":"d","attributes":{"defpoint2":['), price, F.lit(',0],"defpoint3":[903,'), size, F.lit('],"measurement":-1,"style":{"a":[1,2]}}},'),
         F.lit('{"type":"INSERT","attributes":{"insert_point":[1,'), size, F.lit('],"attributes":[{"insert":['), price, F.lit(","), size, F.lit('],"tag":"'), "p_brand", F.lit('"}]}}]'),
     )
-    entities = drawing.parse_entities(table(spark, d, "part").select(F.col("p_partkey").alias("file"), text.alias("json")), "json")
-    snapped = drawing.entity_json(drawing.transform(entities, [i * 7.5 for i in range(300)], [i * 4.0 for i in range(13)]))
-    v = F.parse_json("value")
+    entities = drawing.parse_entities(spread(table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")).select(F.col("p_partkey").alias("file"), text.alias("json")), "json")
+    snapped = drawing.entity_json(drawing.transform(entities, [i * 7.5 for i in range(300)], [i * 4.0 for i in range(13)])).withColumn("_read", F.parse_json("value"))
+    v = F.col("_read")
     read = lambda path, kind: F.try_variant_get(v, path, kind)
     at = F.coalesce(*[read(f"$.attributes.{c}", "array<double>") for c in ("center", "defpoint2", "insert_point")])
     inner = read("$.attributes.attributes[0].insert", "array<double>")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.geometry import chebyshev, snap_value
+from plumbline.functions.geometry import chebyshev, let, snap_value
 
 # The point fields and the point-list fields of an entity's attributes.
 POINTS = ("start", "end", "center", "insert_point", "location", "defpoint", "defpoint2", "defpoint3", "defpoint4", "defpoint5", "text_midpoint")
@@ -57,15 +57,12 @@ def transform(entities: DataFrame, columns: Sequence, rows: Sequence, tol: float
     """
 
     def point(p: Column) -> Column:
-        parts = F.try_variant_get(p, "$", LIST)
-
         def moved(v: Column, grid: Sequence) -> Column:
-            x = F.try_variant_get(v, "$", "double")
-            to = snap(x, grid, tol)
-            return F.when(to != x, to.cast("variant")).otherwise(v)
+            to = lambda x: let(snap(x, grid, tol), lambda y: F.when(y != x, y.cast("variant")).otherwise(v))
+            return let(F.try_variant_get(v, "$", "double"), to)
 
-        each = F.transform(parts, lambda v, i: F.when(i == 0, moved(v, columns)).when(i == 1, moved(v, rows)).otherwise(v))
-        return F.when(F.size(parts) >= 2, F.to_variant_object(each)).otherwise(p)
+        each = lambda parts: F.transform(parts, lambda v, i: F.when(i == 0, moved(v, columns)).when(i == 1, moved(v, rows)).otherwise(v))
+        return let(F.try_variant_get(p, "$", LIST), lambda parts: F.when(F.size(parts) >= 2, F.to_variant_object(each(parts))).otherwise(p))
 
     def points(ps: Column) -> Column:
         return F.coalesce(F.to_variant_object(F.transform(F.try_variant_get(ps, "$", LIST), point)), ps)
@@ -81,11 +78,13 @@ def transform(entities: DataFrame, columns: Sequence, rows: Sequence, tol: float
     fields = F.transform_values(F.try_variant_get("attributes", "$", OBJECT), attribute)
     out = entities.withColumn("_fields", fields)
     a, b = (F.try_variant_get(F.try_element_at("_fields", F.lit(p)), "$", "array<double>") for p in ("defpoint2", "defpoint3"))
-    size = F.when(F.col("type") == "DIMENSION", chebyshev(F.get(b, 0) - F.get(a, 0), F.get(b, 1) - F.get(a, 1)))
+    size = F.when(F.col("type") == "DIMENSION", let(F.struct(a.alias("a"), b.alias("b")), lambda p: chebyshev(F.get(p["b"], 0) - F.get(p["a"], 0), F.get(p["b"], 1) - F.get(p["a"], 1))))
+    out = out.withColumn("_size", size)
+    size = F.col("_size")
     stated = F.map_concat(F.map_filter("_fields", lambda k, v: k != "measurement"), F.create_map(F.lit("measurement"), size.cast("variant")))
     out = out.withColumn("_fields", F.when(size.isNotNull(), stated).otherwise(F.col("_fields")))
     whole = F.transform_values(F.try_variant_get("entity", "$", OBJECT), lambda k, v: F.when((k == "attributes") & F.col("_fields").isNotNull(), F.to_variant_object("_fields")).otherwise(v))
-    return _views(out.withColumn("entity", F.coalesce(F.to_variant_object(whole), "entity")).drop("_fields"))
+    return _views(out.withColumn("entity", F.coalesce(F.to_variant_object(whole), "entity")).drop("_fields", "_size"))
 
 
 def entity_json(entities: DataFrame) -> DataFrame:

@@ -368,3 +368,24 @@ def test_plans_of_hops_do_not_grow(spark):
 def test_columns_read_literally_break_at_a_third_x(spark):
     p = spark.createDataFrame([(1, 2400.0, 1200.0), (2, 2401.0, 1700.0), (3, 2399.0, 2100.0)], "c int, x double, y double")
     assert {(r["a"], r["b"]) for r in clustering.column_links(p, "c", "x", "y", 3.0, 1000.0, between="x").collect()} == {(1, 2), (1, 3)}
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(-20, 20), min_size=1, max_size=30), st.lists(st.one_of(st.none(), st.integers(-50, 50).map(lambda v: v / 2), st.sampled_from([float("nan"), float("inf"), -1e300])), max_size=20))
+def test_snapping_by_bisection_is_the_nearest_of_all(spark, grid, values):
+    def model(x, tol=2.0):
+        if x is None or x != x:
+            return x
+        d, i = min((abs(x - v), i) for i, v in enumerate(grid))
+        return grid[i] * 10.0 if d <= tol else x
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
+    snapped = df.select("i", g.snap_raw(F.col("x"), [(v, v * 10) for v in grid]).alias("x"))
+    assert [repr(r["x"]) for r in sorted(snapped.collect())] == [repr(model(x)) for x in values]
+    assert "array_min" not in snapped._jdf.queryExecution().optimizedPlan().toString()
+    close = spark.range(1).select(g.snap_raw(F.lit(1e5), [(0.0, 1.0), (5e-324, 2.0)], 1e6))
+    assert close.first()[0] == 1.0
+
+
+def test_entity_transform_uses_all_cores(spark):
+    assert queries.entity_transform(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
