@@ -196,15 +196,58 @@ def far_from_all(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     return band_join(left, right.select(right_on), left_on, right_on, tol, "left_anti")
 
 
-def near_pairs(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
-    """Pairs (a, b, distance) with a < b and a Euclidean distance of radius at most, by cells of side radius."""
-    cell = [F.floor(F.col(x) / radius).alias("_cx"), F.floor(F.col(y) / radius).alias("_cy")]
-    a = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), *cell)
-    b = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), *cell)
-    beside = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = b.withColumn("_o", F.explode(beside)).withColumns({"_cx": F.col("_cx") + F.col("_o.i"), "_cy": F.col("_cy") + F.col("_o.j")})
-    distance = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return a.join(b, ["_cx", "_cy"]).filter((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance"))
+def places(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(_x, _y, _keys): one row a place, with the keys of all points there; null keys and coordinates that aren't finite have none."""
+    at = points.select(F.col(key).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    far = F.lit(float("inf"))
+    return at.filter(F.col("_k").isNotNull() & (F.abs("_x") < far) & (F.abs("_y") < far)).groupBy("_x", "_y").agg(F.collect_list("_k").alias("_keys"))
+
+
+def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left and right joined on columns of few values each. The rows that come of it outnumber those that go in, so
+    both sides are dealt by number, not by their size, and neither is broadcast for looking small as a file."""
+    parts = max(8 * left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return left.repartition(parts, *on).hint("shuffle_merge").join(right.repartition(parts, *on), on)
+
+
+def each_pair(pairs: DataFrame, ordered: Column, same: Column, keep: list[str]) -> DataFrame:
+    """(a, b, keep): every pair of a key of _p with a key of _q, which are arrays.
+
+    a is the key of _p where ordered, else the lesser one. Where same (_p and _q are one place), each pair comes once.
+    A narrow step: what is kept was worked out a pair of places, however many points share them.
+    """
+    keys = pairs.withColumns({"_same": same, "_ordered": ordered}).withColumn("_a", F.explode("_p")).withColumn("_b", F.explode("_q"))
+    keys = keys.filter((~F.col("_same") & F.col("_ordered")) | (F.col("_a") < F.col("_b")) | (~F.col("_same") & (F.col("_a") > F.col("_b"))))
+    turned = ~F.col("_ordered") & (F.col("_a") > F.col("_b"))
+    a, b = F.when(turned, F.col("_b")).otherwise(F.col("_a")), F.when(turned, F.col("_a")).otherwise(F.col("_b"))
+    return keys.select(a.alias("a"), b.alias("b"), turned.alias("_turned"), *keep)
+
+
+def _near_places(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
+    """(_p, _q, dx, dy, distance, _same): pairs of places within radius, each once, and each place with itself.
+
+    A place meets its own cell and the four after it; cells are a little wider than radius, so rounding loses nothing.
+    """
+    side = radius * 1.001
+    at = places(points, key, x, y).withColumns({"_cx": F.floor(F.col("_x") / side), "_cy": F.floor(F.col("_y") / side)})
+    p = at.select(F.col("_x").alias("px"), F.col("_y").alias("py"), F.col("_keys").alias("_p"), "_cx", "_cy")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    q = at.withColumn("_s", F.explode(steps)).select(F.col("_x").alias("qx"), F.col("_y").alias("qy"), F.col("_keys").alias("_q"), (F.col("_cx") - F.col("_s.i")).alias("_cx"), (F.col("_cy") - F.col("_s.j")).alias("_cy"), ((F.col("_s.i") == 0) & (F.col("_s.j") == 0)).alias("_own"))
+    dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+    once = ~F.col("_own") | (F.col("px") < F.col("qx")) | ((F.col("px") == F.col("qx")) & (F.col("py") <= F.col("qy")))
+    met = meet(p, q, ["_cx", "_cy"]).filter(once & (F.hypot(dx, dy) <= radius))
+    return met.select("_p", "_q", dx.alias("dx"), dy.alias("dy"), F.hypot(dx, dy).alias("distance"), ((dx == 0) & (dy == 0)).alias("_same"))
+
+
+def near_pairs(points: DataFrame, key: str, x: str, y: str, radius: float, digits: int | None = None) -> DataFrame:
+    """Pairs (a, b, distance) with a < b and a Euclidean distance of radius at most, by cells of side radius.
+
+    Points of one place fold before the join and are paired out after it, so distances (rounded to digits, if given) are
+    worked out a pair of places. The keys of one place, and the places of one cell, are held by a task.
+    """
+    near = _near_places(points, key, x, y, radius)
+    distance = F.col("distance") if digits is None else F.round("distance", digits)
+    return each_pair(near.select("_p", "_q", "_same", distance.alias("distance")), F.lit(False), F.col("_same"), ["distance"]).drop("_turned")
 
 
 def snap_to_grid(df: DataFrame, on: str, grid: DataFrame, value: str, ordinal: str, tol: float = 2.0, out: str = "snapped", max_broadcast: int = 1_000_000) -> DataFrame:
@@ -223,11 +266,11 @@ def snap_to_grid(df: DataFrame, on: str, grid: DataFrame, value: str, ordinal: s
 
 
 def beside(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
-    """near_pairs with the side on which b lies of a: right, left, above, below, or same."""
-    at = points.select(F.col(key).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    pairs = near_pairs(points, key, x, y, radius)
-    for side in ("a", "b"):
-        pairs = pairs.join(at.select(F.col("_k").alias(side), F.col("_x").alias(f"{side}x"), F.col("_y").alias(f"{side}y")), side)
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    side = F.when((dx == 0) & (dy == 0), "same").when(F.abs(dy) < F.abs(dx), F.when(dx > 0, "right").otherwise("left")).otherwise(F.when(dy > 0, "above").otherwise("below"))
-    return pairs.select("a", "b", "distance", side.alias("side"))
+    """near_pairs with the side on which b lies of a: right, left, above, below, or same; worked out a pair of places."""
+
+    def side(dx: Column, dy: Column) -> Column:
+        return F.when((dx == 0) & (dy == 0), "same").when(F.abs(dy) < F.abs(dx), F.when(dx > 0, "right").otherwise("left")).otherwise(F.when(dy > 0, "above").otherwise("below"))
+
+    near = _near_places(points, key, x, y, radius).withColumns({"_to": side(F.col("dx"), F.col("dy")), "_back": side(-F.col("dx"), -F.col("dy"))})
+    pairs = each_pair(near.select("_p", "_q", "_same", "distance", "_to", "_back"), F.lit(False), F.col("_same"), ["distance", "_to", "_back"])
+    return pairs.select("a", "b", "distance", F.when(F.col("_turned"), F.col("_back")).otherwise(F.col("_to")).alias("side"))

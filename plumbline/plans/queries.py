@@ -109,7 +109,7 @@ def boundary_snap(spark, d):
 
 def near_pairs(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))
-    return proximity.near_pairs(p, "p_partkey", "x", "y", 2.0).select("a", "b", F.round("distance", 6).alias("distance"))
+    return proximity.near_pairs(p, "p_partkey", "x", "y", 2.0, digits=6)
 
 
 def conflicts(spark, d):

@@ -389,3 +389,18 @@ def test_snapping_by_bisection_is_the_nearest_of_all(spark, grid, values):
 
 def test_entity_transform_uses_all_cores(spark):
     assert queries.entity_transform(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def crowd(spark, n=90, seed=5):
+    """Points of which many share a place, one without a place and one without a key."""
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(12) / 2 - 2, rng.randrange(5) / 1.0) for i in range(n)] + [(n, None, 1.0), (n + 1, float("nan"), 1.0), (None, 0.0, 0.0)]
+    return [r for r in rows if None not in r and r[1] == r[1]], spark.createDataFrame(rows, "c int, x double, y double")
+
+
+def test_near_pairs_of_places_that_many_points_share(spark):
+    rows, p = crowd(spark)
+    got = proximity.near_pairs(p, "c", "x", "y", 1.5, digits=3)
+    expected = sorted((a[0], b[0], round(math.hypot(a[1] - b[1], a[2] - b[2]), 3)) for a in rows for b in rows if a[0] < b[0] and math.hypot(a[1] - b[1], a[2] - b[2]) <= 1.5)
+    assert sorted(map(tuple, got.collect())) == expected
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
