@@ -404,3 +404,15 @@ def test_near_pairs_of_places_that_many_points_share(spark):
     expected = sorted((a[0], b[0], round(math.hypot(a[1] - b[1], a[2] - b[2]), 3)) for a in rows for b in rows if a[0] < b[0] and math.hypot(a[1] - b[1], a[2] - b[2]) <= 1.5)
     assert sorted(map(tuple, got.collect())) == expected
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_beside_of_places_that_many_points_share(spark):
+    rows, p = crowd(spark)
+
+    def side(dx, dy):
+        return "same" if dx == dy == 0 else ("right" if dx > 0 else "left") if abs(dy) < abs(dx) else "above" if dy > 0 else "below"
+
+    got = proximity.beside(p, "c", "x", "y", 1.5)
+    expected = sorted((a[0], b[0], side(b[1] - a[1], b[2] - a[2])) for a in rows for b in rows if a[0] < b[0] and math.hypot(a[1] - b[1], a[2] - b[2]) <= 1.5)
+    assert sorted((r["a"], r["b"], r["side"]) for r in got.collect()) == expected
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
