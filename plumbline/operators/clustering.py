@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.proximity import each_pair, meet, places
+
 
 def _led(df: DataFrame, by: list[str], value: str, ordinal: str, order: tuple[str, str], lead: Callable[[], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """by, ordinal, value, group_no and anchor, by a fold over each key's rows in order.
@@ -129,22 +131,95 @@ def column_links(points: DataFrame, key: str, x: str, y: str, x_tol: float, y_to
     strictly between theirs parts them, wherever it is in y, and small jitter then breaks a column; so the default,
     between='y', takes the next aligned point above and parts a pair by an aligned third one between them in y.
     """
-    bins = [F.floor(F.col(x) / x_tol).alias("_bx"), F.floor(F.col(y) / y_tol).alias("_by")]
-    at = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), *bins)
-    # A link's upper end lies in the lower one's bin of y or in the next, and in a bin of x beside it.
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (0, -1)])
-    to = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), *bins).withColumn("_s", F.explode(steps))
-    to = to.withColumns({"_bx": F.col("_bx") + F.col("_s.i"), "_by": F.col("_by") + F.col("_s.j")}).drop("_s")
-    above = (F.col("by") > F.col("ay")) | ((F.col("by") == F.col("ay")) & (F.col("b") > F.col("a")))
-    aligned = at.join(to, ["_bx", "_by"]).filter((F.abs(F.col("ax") - F.col("bx")) < x_tol) & above & (F.col("by") - F.col("ay") < y_tol))
-    gap = (F.col("by") - F.col("ay")).alias("gap")
     if between == "y":
-        return aligned.groupBy("a", "ay").agg(F.min(F.struct("by", "b")).alias("n")).select("a", F.col("n.b").alias("b"), (F.col("n.by") - F.col("ay")).alias("gap"))
+        return _links_above(points, key, x, y, x_tol, y_tol)
     if between != "x":
         raise ValueError("between is y or x")
-    # The next greater x, as far as x_tol reaches: within the bin, or the least of the bin after.
-    values = points.select(F.col(x).alias("_x")).filter("_x is not null").distinct().withColumn("_b", F.floor(F.col("_x") / x_tol))
+    # The next greater x, as far as x_tol reaches: within the bin, or the least of the bin after. Bins are a little wider
+    # than the tolerance, here and below, so rounding loses nothing.
+    values = points.select(F.col(x).cast("double").alias("_x")).filter("_x is not null").distinct().withColumn("_b", F.floor(F.col("_x") / (x_tol * 1.001)))
     least = values.groupBy("_b").agg(F.min("_x").alias("_least")).withColumn("_b", F.col("_b") - 1)
-    following = values.withColumn("_n", F.lead("_x").over(Window.partitionBy("_b").orderBy("_x"))).join(least, "_b", "left").select("_x", F.coalesce("_n", "_least").alias("_n"))
-    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
-    return aligned.withColumns({"_x": low, "_high": high}).join(following, "_x").filter((F.col("_high") == F.col("_x")) | (F.col("_high") == F.col("_n"))).select("a", "b", gap)
+    following = values.withColumn("_n", F.lead("_x").over(Window.partitionBy("_b").orderBy("_x"))).join(least, "_b", "left").select(F.col("_x").alias("_link"), F.coalesce("_n", "_least").alias("_x"))
+    before = following.filter(F.col("_x") - F.col("_link") < x_tol)
+    at = places(points, key, x, y).withColumn("_by", F.floor(F.col("_y") / (y_tol * 1.001)))
+    p = at.select(F.col("_x").alias("_link"), "_by", F.col("_y").alias("py"), F.col("_keys").alias("_p"))
+    # Above a place of its own x, then on either side of one at the x before.
+    own = at.withColumn("_s", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.col("_x").alias("_link"), (F.col("_by") - F.col("_s")).alias("_by"), F.col("_y").alias("qy"), F.col("_keys").alias("_q"), F.lit(True).alias("_own"))
+    beside = at.join(before, "_x").withColumn("_s", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).select("_link", (F.col("_by") - F.col("_s")).alias("_by"), F.col("_y").alias("qy"), F.col("_keys").alias("_q"), F.lit(False).alias("_own"))
+    up = F.col("py") <= F.col("qy")
+    met = meet(p, own.unionByName(beside), ["_link", "_by"]).filter((up | ~F.col("_own")) & (F.abs(F.col("qy") - F.col("py")) < y_tol))
+    level = F.col("py") == F.col("qy")
+    met = met.select(F.when(up, F.col("_p")).otherwise(F.col("_q")).alias("_p"), F.when(up, F.col("_q")).otherwise(F.col("_p")).alias("_q"), level.alias("_level"), (level & F.col("_own")).alias("_same"), F.abs(F.col("qy") - F.col("py")).alias("gap"))
+    return each_pair(met, ~F.col("_level"), F.col("_same"), ["gap"]).select("a", "b", "gap")
+
+
+def _links_above(points: DataFrame, key: str, x: str, y: str, x_tol: float, y_tol: float) -> DataFrame:
+    """(a, b, gap): of each point the least (y, key) above it that is aligned within x_tol, if nearer than y_tol in y.
+
+    A sweep from the top in each cell of one bin of x and four y_tol in y, over rows streamed in Arrow batches; points
+    just outside a cell that its own ones may reach are copied into it. Any two points of a bin are aligned, so there
+    the last one met is the nearest. Of a bin beside, a point is kept until one met later is nearer in x too, so kept
+    ones are sorted both by x and by age, and the last in reach is found by bisection. No pairs are made.
+    """
+    wide, high = x_tol * 0.999, y_tol * 4
+    at = points.select(F.col(key).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    far = F.lit(float("inf"))
+    at = at.filter((F.abs("_x") < far) & (F.abs("_y") < far)).withColumns({"_bx": F.floor(F.col("_x") / wide), "_by": F.floor(F.col("_y") / high)})
+    bins = lambda v, reach, side: F.sequence(F.floor((v - reach) / side), F.floor((v + reach) / side))
+    at = at.withColumn("_gx", F.explode(bins(F.col("_x"), x_tol * 1.001, wide))).withColumn("_gy", F.explode(F.sequence(F.floor((F.col("_y") - y_tol * 1.001) / high), F.col("_by"))))
+    # A null key is above or below by y alone: of one y it asks before, and is met after all others.
+    at = at.withColumn("_turn", F.explode(F.when(F.col("_k").isNull(), F.array(F.lit(2), F.lit(0))).otherwise(F.array(F.lit(1)))))
+    side = F.signum(F.col("_bx") - F.col("_gx")).cast("int")
+    rows = at.select("_gx", "_gy", "_turn", "_k", "_x", "_y", side.alias("_side"), ((F.col("_bx") == F.col("_gx")) & (F.col("_by") == F.col("_gy")) & (F.col("_turn") > 0)).alias("_asks"))
+    rows = rows.repartition(max(4 * points.sparkSession.sparkContext.defaultParallelism, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_gx", "_gy")
+    turn = Window.partitionBy("_gx", "_gy").orderBy(F.desc("_y"), F.desc("_turn"), F.desc("_k"))
+    rows = rows.withColumns({"_new": F.row_number().over(turn) == 1, "_at": F.dense_rank().over(turn), "_met": F.col("_turn") < 2}).select("_new", "_at", "_k", "_x", "_y", "_side", "_asks", "_met")
+    kind = rows.schema["_k"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept, waiting, now = None, {}, [], 0
+
+        def admit() -> None:
+            nonlocal last
+            for s, hit in waiting:
+                if s:
+                    spots, hits = kept[s]
+                    while spots and spots[-1] >= s * hit[1]:
+                        spots.pop()
+                        hits.pop()
+                    spots.append(s * hit[1])
+                    hits.append(hit)
+                else:
+                    last = hit
+            waiting.clear()
+
+        for b in batches:
+            out = []
+            for new, turn, k, v, y, s, asks, met in zip(*(b.column(c).to_pylist() for c in range(b.num_columns)), strict=True):
+                if new:
+                    last, kept, now = None, {-1: ([], []), 1: ([], [])}, 0
+                    waiting.clear()
+                if turn != now:
+                    admit()
+                    now = turn
+                if asks:
+                    best = last
+                    for sign, (spots, hits) in kept.items():
+                        # The last in reach; the test itself is the difference, so the search's end is put right.
+                        i = bisect_left(spots, sign * v + x_tol)
+                        while i < len(spots) and spots[i] - sign * v < x_tol:
+                            i += 1
+                        while i and spots[i - 1] - sign * v >= x_tol:
+                            i -= 1
+                        if i and (best is None or hits[i - 1][0] > best[0]):
+                            best = hits[i - 1]
+                    if best and best[2] - y < y_tol:
+                        out.append((k, y, best[2], best[3]))
+                if met:
+                    waiting.append((s, (turn, v, y, k)))
+            a, ay, by, to = zip(*out, strict=True) if out else ((), (), (), ())
+            own = b.schema.field("_k").type
+            yield pa.RecordBatch.from_arrays([pa.array(a, own), pa.array(ay, pa.float64()), pa.array(by, pa.float64()), pa.array(to, own)], ["a", "ay", "by", "b"])
+
+    found = rows.mapInArrow(work, f"a {kind}, ay double, by double, b {kind}")
+    return found.groupBy("a", "ay").agg(F.min(F.struct("by", "b")).alias("n")).select("a", F.col("n.b").alias("b"), (F.col("n.by") - F.col("ay")).alias("gap"))

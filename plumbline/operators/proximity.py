@@ -197,10 +197,10 @@ def far_from_all(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
 
 
 def places(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(_x, _y, _keys): one row a place, with the keys of all points there; null keys and coordinates that aren't finite have none."""
+    """(_x, _y, _keys): one row a place, with the keys of all points there; coordinates that aren't finite have none."""
     at = points.select(F.col(key).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     far = F.lit(float("inf"))
-    return at.filter(F.col("_k").isNotNull() & (F.abs("_x") < far) & (F.abs("_y") < far)).groupBy("_x", "_y").agg(F.collect_list("_k").alias("_keys"))
+    return at.filter((F.abs("_x") < far) & (F.abs("_y") < far)).groupBy("_x", "_y").agg(F.transform(F.collect_list(F.struct("_k")), lambda k: k["_k"]).alias("_keys"))
 
 
 def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -416,3 +416,23 @@ def test_beside_of_places_that_many_points_share(spark):
     expected = sorted((a[0], b[0], side(b[1] - a[1], b[2] - a[2])) for a in rows for b in rows if a[0] < b[0] and math.hypot(a[1] - b[1], a[2] - b[2]) <= 1.5)
     assert sorted((r["a"], r["b"], r["side"]) for r in got.collect()) == expected
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def above(a, b):
+    """b lies above a: by y, then by key; a null key is above by y alone."""
+    return b[2] > a[2] or b[2] == a[2] and None not in (a[0], b[0]) and b[0] > a[0]
+
+
+@pytest.mark.parametrize(("seed", "x_tol", "y_tol"), [(1, 1.5, 4.0), (2, 0.5, 2.0), (3, 3.0, 1.0)])
+def test_column_links_are_the_next_aligned_above(spark, seed, x_tol, y_tol):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(30) / 2 - 2, float(rng.randrange(12))) for i in range(120)] + [(None, 1.0, 3.0), (None, 1.0, 20.0), (121, 1.0, 19.0)]
+    p = spark.createDataFrame([*rows, (130, None, 1.0), (131, float("nan"), 1.0)], "c int, x double, y double")
+    expected = {}
+    for a in rows:
+        over = min(((b[2], b[0] if b[0] is not None else -1) for b in rows if abs(a[1] - b[1]) < x_tol and above(a, b)), default=None)
+        if over and over[0] - a[2] < y_tol:
+            expected[a[0], a[2]] = (None if over[1] == -1 else over[1], over[0] - a[2])
+    got = clustering.column_links(p, "c", "x", "y", x_tol, y_tol)
+    assert sorted(((r["a"], r["b"], r["gap"]) for r in got.collect()), key=repr) == sorted(((k[0], *v) for k, v in expected.items()), key=repr)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
