@@ -436,3 +436,17 @@ def test_column_links_are_the_next_aligned_above(spark, seed, x_tol, y_tol):
     got = clustering.column_links(p, "c", "x", "y", x_tol, y_tol)
     assert sorted(((r["a"], r["b"], r["gap"]) for r in got.collect()), key=repr) == sorted(((k[0], *v) for k, v in expected.items()), key=repr)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("seed", "x_tol", "y_tol"), [(1, 1.5, 4.0), (2, 0.5, 2.0), (3, 3.0, 1.0)])
+def test_columns_read_literally_of_places_that_many_points_share(spark, seed, x_tol, y_tol):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([0.0, 0.25, 1.0, 2.0, 7.0, 7.5]), float(rng.randrange(8))) for i in range(90)] + [(None, 1.0, 3.0)]
+    p = spark.createDataFrame([*rows, (130, None, 1.0), (131, float("nan"), 1.0)], "c int, x double, y double")
+    xs = {r[1] for r in rows}
+    parted = lambda a, b: any(min(a[1], b[1]) < x < max(a[1], b[1]) for x in xs)
+    expected = [(a[0], b[0], b[2] - a[2]) for a in rows for b in rows if above(a, b) and abs(a[1] - b[1]) < x_tol and b[2] - a[2] < y_tol and not parted(a, b)]
+    got = clustering.column_links(p, "c", "x", "y", x_tol, y_tol, between="x")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+    # Neither side of the join of places is broadcast for looking small.
+    assert "SortMergeJoin [_link" in got._jdf.queryExecution().executedPlan().toString()
