@@ -137,7 +137,7 @@ def column_links(points: DataFrame, key: str, x: str, y: str, x_tol: float, y_to
         raise ValueError("between is y or x")
     # The next greater x, as far as x_tol reaches: within the bin, or the least of the bin after. Bins are a little wider
     # than the tolerance, here and below, so rounding loses nothing.
-    values = points.select(F.col(x).cast("double").alias("_x")).filter("_x is not null").distinct().withColumn("_b", F.floor(F.col("_x") / (x_tol * 1.001)))
+    values = points.select(F.col(x).cast("double").alias("_x")).filter(F.abs("_x") < F.lit(float("inf"))).distinct().withColumn("_b", F.floor(F.col("_x") / (x_tol * 1.001)))
     least = values.groupBy("_b").agg(F.min("_x").alias("_least")).withColumn("_b", F.col("_b") - 1)
     following = values.withColumn("_n", F.lead("_x").over(Window.partitionBy("_b").orderBy("_x"))).join(least, "_b", "left").select(F.col("_x").alias("_link"), F.coalesce("_n", "_least").alias("_x"))
     before = following.filter(F.col("_x") - F.col("_link") < x_tol)
