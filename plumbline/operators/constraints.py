@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import chebyshev, orientation
@@ -32,23 +33,55 @@ def datum_assign(circles: DataFrame, datums: DataFrame, row: str, x: str, value:
 def ordered_shift(points: DataFrame, relations: DataFrame, row: str, ordinal: str, x: str) -> DataFrame:
     """Applies relations (row, seq, left_ordinal, right_ordinal, value) in order of seq within each row.
 
-    Each one sets the right point value away from the left one by shifting every point beyond the left one; later
-    ones read what earlier ones left, so this is a fold, over one collected row of a drawing at a time. A row of n
-    points and m relations costs n * m steps and must fit a task; a drawing's row has tens of both.
+    Each one sets the right point value away from the left one by shifting every point beyond the left one; of points
+    that share its x, those with greater ordinals lie beyond it. Later ones read what earlier ones left, so this is a
+    fold. Rows stream sorted in Arrow batches; a task holds one row of a drawing, and one of n points and m relations
+    costs m passes over an array of n.
     """
-    xs = points.groupBy(row).agg(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(x).cast("double").alias("x")))).alias("ps"))
-    one = F.struct(F.col("seq").cast("int").alias("seq"), F.col("left_ordinal").cast("int").alias("left_ordinal"), F.col("right_ordinal").cast("int").alias("right_ordinal"), F.col("value").cast("double").alias("value"))
-    rs = relations.groupBy(row).agg(F.array_sort(F.collect_list(one)).alias("rs"))
-    none = F.expr("cast(array() as array<struct<seq:int,left_ordinal:int,right_ordinal:int,value:double>>)")
-
-    def apply(ps, r):
-        at = lambda name: F.get(F.filter(ps, lambda p: p["o"] == r[name]), F.lit(0))["x"]
-        left, right = at("left_ordinal"), at("right_ordinal")
-        shift = F.coalesce(left + r["value"] - right, F.lit(0.0))
-        return F.transform(ps, lambda p: F.struct(p["o"].alias("o"), (p["x"] + F.when(p["x"] > left, shift).otherwise(0.0)).alias("x")))
-
-    folded = xs.join(rs, row, "left").select(row, F.explode(F.aggregate(F.coalesce("rs", none), F.col("ps"), apply)).alias("p"))
-    return folded.select(row, F.col("p.o").alias(ordinal), F.col("p.x").alias(x))
+    none = F.lit(None)
+    number = F.col(ordinal).cast("long")
+    parts = points.select(F.col(row).alias("_row"), F.lit(0).alias("_kind"), number.alias("_a"), none.cast("long").alias("_b"), none.cast("long").alias("_c"), F.col(x).cast("double").alias("_v"), F.col(ordinal).alias("_o"))
+    rules = relations.filter(F.col(row).isNotNull()).select(F.col(row).alias("_row"), F.lit(1).alias("_kind"), *[F.col(c).cast("int").cast("long").alias(n) for c, n in (("seq", "_a"), ("left_ordinal", "_b"), ("right_ordinal", "_c"))], F.col("value").cast("double").alias("_v"), none.cast(points.schema[ordinal].dataType).alias("_o"))
+    turn = Window.partitionBy("_row").orderBy("_kind", "_a", "_b", "_c", "_v")
+    rows = parts.unionByName(rules).withColumn("_new", F.row_number().over(turn) == 1)
+    kinds = {n: rows.schema[n].dataType.simpleString() for n in ("_row", "_o")}
+
+    def fold(t: pa.Table) -> pa.RecordBatch:
+        kind = t.column("_kind").to_numpy()
+        n = int(np.searchsorted(kind, 1))
+        ps, rs = t.slice(0, n).combine_chunks(), t.slice(n)
+        at, xs = ps.column("_v").to_numpy().copy(), ps.column("_v").is_null().to_numpy()
+        # An ordinal's first point is the one that relations name; one without an ordinal lies before all others.
+        numbers = ps.column("_a").fill_null(np.iinfo(np.int64).min).to_numpy()
+        named = {}
+        for i, o in enumerate(ps.column("_a").to_pylist()):
+            named.setdefault(o, i)
+        for left, right, value in zip(*(rs.column(c).to_pylist() for c in ("_b", "_c", "_v")), strict=True):
+            i, j = (named.get(o) if o is not None else None for o in (left, right))
+            if i is None or j is None or value is None or xs[i] or xs[j]:
+                continue
+            beyond = (at > at[i]) | ((at == at[i]) & (numbers > left))
+            at[beyond] += at[i] + value - at[j]
+        return pa.RecordBatch.from_arrays([ps.column("_row").combine_chunks(), ps.column("_o").combine_chunks(), pa.array(at, mask=xs)], ["_row", "_o", "_x"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            done, begun = [], 0
+            for i in [*np.flatnonzero(b.column("_new").to_numpy(zero_copy_only=False)).tolist(), b.num_rows]:
+                if i > begun:
+                    held.append(b.slice(begun, i - begun))
+                if i < b.num_rows and held:
+                    done.append(fold(pa.Table.from_batches(held)))
+                    held = []
+                begun = i
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        if held:
+            yield fold(pa.Table.from_batches(held))
+
+    out = rows.mapInArrow(work, f"_row {kinds['_row']}, _o {kinds['_o']}, _x double")
+    return out.select(F.col("_row").alias(row), F.col("_o").alias(ordinal), F.col("_x").alias(x))
 
 
 def conflicts(df: DataFrame, keys: list[str], value: str, eps: float = 0.0) -> DataFrame:

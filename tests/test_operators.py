@@ -449,4 +449,12 @@ def test_columns_read_literally_of_places_that_many_points_share(spark, seed, x_
     got = clustering.column_links(p, "c", "x", "y", x_tol, y_tol, between="x")
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
     # Neither side of the join of places is broadcast for looking small.
-    assert "SortMergeJoin [_link" in got._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "_link" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_ordered_shift_moves_points_that_share_the_left_ones_x(spark):
+    p = spark.createDataFrame([(1, 1, 10.0), (1, 2, 10.0), (1, 3, 10.0), (1, 4, None), (2, 1, 5.0), (None, 1, 7.0)], "r int, o int, x double")
+    rel = spark.createDataFrame([(1, 1, 1, 2, 100.0), (1, 2, 2, 3, 50.0), (1, 3, 3, 4, 9.0), (1, 4, 3, 99, 9.0), (3, 1, 1, 2, 9.0), (None, 1, 1, 1, 9.0)], "r int, seq int, left_ordinal int, right_ordinal int, value double")
+    got = {(r["r"], r["o"]): r["x"] for r in constraints.ordered_shift(p, rel, "r", "o", "x").collect()}
+    assert got == {(1, 1): 10.0, (1, 2): 110.0, (1, 3): 160.0, (1, 4): None, (2, 1): 5.0, (None, 1): 7.0}
