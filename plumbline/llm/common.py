@@ -29,8 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables that one call writes to the shared folder, which cuts lineage and survives lost executors.
 
-    drop() removes tables that nothing reads any more, and what finished jobs shuffled; the rest go when the driver's
-    JVM ends, as the lazy result still reads them.
+    drop() removes tables that nothing reads any more, and what finished jobs shuffled, keep() all but those that a lazy
+    result still reads; the rest go when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -53,6 +53,10 @@ class Scratch:
                 self._fs(path).delete(self._path(path), True)
         self._free()
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all tables but these."""
+        self.drop(*[t for t in getattr(self, "_keep", []) if not any(t is k for k in tables)])
+
     def drop_part(self, table: DataFrame, by: str, value: object) -> None:
         """Removes the rows of one value of the column that a table was saved by."""
         path = f"{self.at[id(table)]}/{by}={value}"

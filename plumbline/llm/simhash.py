@@ -302,7 +302,9 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words: int
     unsure = scratch.save(rows_of.filter("_gone or _n > 1").select(F.col("_id").alias("_sha"), "_gone"))
     # Rows that a Bloom filter of those names rules out pass straight through; only the others shuffle with their text.
     bits = filter_size(unsure.count())
-    rows = marked(packed(df).withColumn("_sha", name(F.col(f"_row.{key}"), F.col(f"_row.{text}"))), [scratch.save(hit_cells(unsure, half, bits, 1)) for half in (0, 1)], bits)
+    maps = [scratch.save(hit_cells(unsure, half, bits, 1)) for half in (0, 1)]
+    scratch.keep(unsure, *maps)  # fingerprints, sketches and texts of pairs aren't read again
+    rows = marked(packed(df).withColumn("_sha", name(F.col(f"_row.{key}"), F.col(f"_row.{text}"))), maps, bits)
     once = rows.filter("_maybe").dropDuplicates(["_sha"])  # folds within tasks, so a row repeated often shuffles little
     stay = once.hint("merge").join(unsure.filter("_gone").select("_sha").hint("merge"), "_sha", "left_anti")
     return rows.filter("not _maybe").select("_row.*").unionByName(stay.select("_row.*"))

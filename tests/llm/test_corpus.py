@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import chat, components, language_id, lattice, mixing, packing, recompression, simhash, suffix_dedup, vector_search
+from plumbline.llm import chat, common, components, language_id, lattice, mixing, packing, recompression, simhash, suffix_dedup, vector_search
 from plumbline.llm.common import Scratch
 from plumbline.llm.registry import ORACLE_SQL, QUERIES
 from tests.oracle import same
@@ -195,6 +195,21 @@ def test_keep_one_holds_texts_of_high_similarity(spark, monkeypatch, few):
     assert got == expected
 
 
+def left_in(folder):
+    """The columns of every table that is left in a shared folder."""
+    return [set(pq.read_schema(next(t.glob("*.parquet"))).names) for t in folder.iterdir()]
+
+
+def test_keep_one_leaves_no_table_that_its_result_does_not_read(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = simhash.keep_one(docs)
+    # What goes or repeats, and two bitmaps of it.
+    assert sorted(left_in(tmp_path), key=sorted) == [{"_bucket0", "_map0"}, {"_bucket1", "_map1"}, {"_sha", "_gone"}]
+    assert {r["doc_id"] for r in got.collect()} == plain_groups(rows)
+
+
 def test_keep_one_tells_rows_apart_whatever_their_ids(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
@@ -743,6 +758,13 @@ def test_pipeline_against_brute_force(spark):
     check_packing(spark, corpus_pipeline.run(spark, SMALL), taken)
 
 
+def test_pipeline_keeps_one_copy_of_the_documents(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, SMALL)
+    assert sum(bool(names & {"text", "_text"}) for names in left_in(tmp_path)) == 1
+    assert out.count()
+
+
 def test_pipeline_of_awkward_rows(spark, awkward, empty):
     assert corpus_pipeline.run(spark, awkward[0]).count() > 10
     assert corpus_pipeline.run(spark, empty).count() == 0
