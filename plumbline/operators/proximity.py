@@ -210,13 +210,23 @@ def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.repartition(parts, *on).hint("shuffle_merge").join(right.repartition(parts, *on), on)
 
 
-def each_pair(pairs: DataFrame, ordered: Column, same: Column, keep: list[str]) -> DataFrame:
+def _slices(keys: str, size: int) -> Column:
+    """An array of keys as an array of arrays of size keys at most."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(keys) - 1) / size).cast("int")), lambda i: F.slice(F.col(keys), i * size + 1, size))
+
+
+def each_pair(pairs: DataFrame, ordered: Column, same: Column, keep: list[str], size: int = 64) -> DataFrame:
     """(a, b, keep): every pair of a key of _p with a key of _q, which are arrays.
 
     a is the key of _p where ordered, else the lesser one. Where same (_p and _q are one place), each pair comes once.
     A narrow step: what is kept was worked out a pair of places, however many points share them.
+
+    Compiled code holds what all matches of a left row explode into until it returns to that row, which grew with the
+    square of the points at a place. So keys are cut to size before, and the sort, whose order means nothing, parts the
+    two steps: it takes the join's rows into pages that can spill, and gives one pair of slices at a time.
     """
-    keys = pairs.withColumns({"_same": same, "_ordered": ordered}).withColumn("_a", F.explode("_p")).withColumn("_b", F.explode("_q"))
+    cut = pairs.withColumns({"_same": same, "_ordered": ordered}).withColumn("_p", F.explode(_slices("_p", size))).withColumn("_q", F.explode(_slices("_q", size)))
+    keys = cut.sortWithinPartitions(F.element_at("_p", 1)).withColumn("_a", F.explode("_p")).withColumn("_b", F.explode("_q"))
     keys = keys.filter((~F.col("_same") & F.col("_ordered")) | (F.col("_a") < F.col("_b")) | (~F.col("_same") & (F.col("_a") > F.col("_b"))))
     turned = ~F.col("_ordered") & (F.col("_a") > F.col("_b"))
     a, b = F.when(turned, F.col("_b")).otherwise(F.col("_a")), F.when(turned, F.col("_a")).otherwise(F.col("_b"))

@@ -2,6 +2,8 @@
 
 import math
 import random
+import subprocess
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -418,6 +420,28 @@ def test_beside_of_places_that_many_points_share(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_pairs_of_keys_in_slices(spark, size):
+    rows = [(list(range(70)), list(range(70)), True), ([1, 5, 9, 200], [2, 7, 300, 4, 8], False), ([3], [1], False)]
+    pairs = spark.createDataFrame(rows, "_p array<int>, _q array<int>, same boolean")
+    got = proximity.each_pair(pairs, F.lit(False), F.col("same"), ["same"], size).drop("_turned")
+    expected = [(min(a, b), max(a, b), same) for p, q, same in rows for a in p for b in q if a < b or not same]
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_beside_of_one_place_in_little_memory():
+    """8,000 points of one place are 32 million pairs, which a session of 512 MB can't hold."""
+    code = """
+from pyspark.sql import functions as F
+from plumbline.operators import proximity
+from plumbline.session import local_session
+spark = local_session(2, 2, "512m")
+p = spark.range(8000).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+proximity.beside(p, "id", "x", "y", 1.5).write.format("noop").mode("overwrite").save()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
+
+
 def above(a, b):
     """b lies above a: by y, then by key; a null key is above by y alone."""
     return b[2] > a[2] or b[2] == a[2] and None not in (a[0], b[0]) and b[0] > a[0]
